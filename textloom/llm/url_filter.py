@@ -18,8 +18,8 @@ from pyspark.sql import types as T
 
 from textloom.llm.common import cut, mix
 
-#: Bits that a broadcast cascade may have; above it, build() refuses.
-MAX_BITS = 1 << 31
+#: Listed keys that are held by the driver and, some bits each, by every worker; above it, build() refuses.
+MAX_LISTED = 20_000_000
 MAX_LEVELS = 64
 
 
@@ -57,63 +57,54 @@ def contains(levels: Sequence[Level], keys: np.ndarray) -> np.ndarray:
     return out
 
 
-def _level(keys: DataFrame, n: int, rate: float, salt: int) -> Level:
-    """A filter of keys (key long) with so many entries and so low a rate of mistakes, its bits set by the executors."""
+def _level(keys: np.ndarray, rate: float, salt: int) -> Level:
+    """A filter of keys with so low a rate of mistakes."""
     n_hashes = max(1, round(-math.log2(rate)))
-    n_bits = max(64, math.ceil(n * 1.4427 * -math.log2(rate)))
-    if n_bits > MAX_BITS:
-        raise OverflowError(f"a level needs {n_bits} bits")
-
-    def spots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = np.unique(np.concatenate([*places(batch.column(0).to_numpy().view(np.uint64), n_bits, n_hashes, salt)]))
-            word, start = np.unique(found >> np.uint64(6), return_index=True)
-            value = np.bitwise_or.reduceat(np.uint64(1) << (found & np.uint64(63)), start) if len(found) else found
-            yield pa.RecordBatch.from_arrays([pa.array(word.astype(np.int64)), pa.array(value.view(np.int64))], ["word", "value"])
-
+    n_bits = max(64, math.ceil(len(keys) * 1.4427 * -math.log2(rate)))
     bits = np.zeros(-(-n_bits // 64), dtype=np.uint64)
-    rows = keys.mapInArrow(spots, "word long, value long").groupBy("word").agg(F.bit_or("value").alias("value"))
-    for row in rows.toLocalIterator():  # at most n_bits / 64 rows
-        bits[row.word] = np.uint64(row.value % 2**64)
+    for at in places(keys, n_bits, n_hashes, salt):
+        np.bitwise_or.at(bits, at >> np.uint64(6), np.uint64(1) << (at & np.uint64(63)))
     return Level(bits, n_bits, n_hashes, salt)
 
 
-def build(listed: DataFrame, universe: DataFrame) -> list[Level]:
-    """A cascade for listed (key long), exact on the keys of universe (key long); both distinct.
+def build(lists: Sequence[np.ndarray], universe: DataFrame) -> list[list[Level]]:
+    """A cascade for each list of keys, exact on the keys of universe (key long), which is distinct.
 
-    The first level's rate of mistakes is about listed / universe, so the second encodes about as many keys as are listed, and later ones
-    half as many each: in all about 1.44 log2(universe / listed) + 5 bits for each listed key, whatever the size of the corpus.
-    Raises OverflowError where a level would pass MAX_BITS, and ValueError where keys can't be told apart.
+    The first level's rate of mistakes is about listed / universe, so about as many keys pass it by mistake as are listed; one pass over the
+    universe by the executors finds these. Later levels have half as many each and are made from these two sets: in all about
+    1.44 log2(universe / listed) + 5 bits for each listed key, whatever the size of the corpus.
+    Raises OverflowError where more than MAX_LISTED keys are listed, and ValueError where keys can't be told apart.
     """
-    n_listed, n_all = listed.count(), universe.count()
-    if not n_listed:
-        return []
-    yes, no = listed, universe.join(listed, "key", "left_anti")
-    levels: list[Level] = []
-    inside, n_inside = yes, n_listed
-    for k in range(MAX_LEVELS):
-        rate = min(0.5, n_listed / max(1, n_all)) if k == 0 else 0.5
-        levels.append(_level(inside, n_inside, rate, k + 1))
-        outside = cut(_passing(no if k % 2 == 0 else yes, levels[-1]))
-        n_outside = outside.count()
-        if not n_outside:
-            return levels
-        if k % 2 == 0:
-            no = outside
-        else:
-            yes = outside
-        inside, n_inside = outside, n_outside
-    raise ValueError("listed and other keys share hashes")
-
-
-def _passing(keys: DataFrame, level: Level) -> DataFrame:
-    sent = keys.sparkSession.sparkContext.broadcast(level)
-
-    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield batch.filter(pa.array(sent.value.has(batch.column(0).to_numpy().view(np.uint64))))
+    if sum(map(len, lists)) > MAX_LISTED:
+        raise OverflowError(f"more than {MAX_LISTED} keys are listed")
+    n_all = universe.count()
+    cascades = [[_level(keys, min(0.5, len(keys) / max(1, n_all)), 1)] if len(keys) else [] for keys in lists]
+    sent = universe.sparkSession.sparkContext.broadcast([levels[:1] for levels in cascades])
 
-    return keys.mapInArrow(keep, "key long")
+    def passing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = batch.column(0).to_numpy().view(np.uint64)
+            for which, levels in enumerate(sent.value):
+                if levels and len(found := keys[levels[0].has(keys)]):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), which, dtype=np.int32)), pa.array(found.view(np.int64))], ["which", "key"])
+
+    passed: list[list[int]] = [[] for _ in lists]
+    most = 64 + 16 * MAX_LISTED
+    for row in universe.mapInArrow(passing, "which int, key long").toLocalIterator():  # listed keys and about as many mistakes
+        passed[row.which].append(row.key % 2**64)
+        if (most := most - 1) < 0:
+            raise OverflowError("too many keys pass the first level")
+    for levels, keys, found in zip(cascades, lists, passed, strict=True):
+        if not levels:
+            continue
+        listed = np.unique(keys)
+        sides = [listed, np.setdiff1d(np.array(found, dtype=np.uint64), listed)]
+        while len(wrong := sides[len(levels) % 2][levels[-1].has(sides[len(levels) % 2])]):
+            if len(levels) == MAX_LEVELS:
+                raise ValueError("listed and other keys share hashes")
+            sides[len(levels) % 2] = wrong
+            levels.append(_level(wrong, 0.5, len(levels) + 1))
+    return cascades
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
@@ -155,12 +146,9 @@ def judge(urls: DataFrame, rules: Sequence[tuple[str, str, str]], url_col: str =
     if not rules:
         return parted.withColumn("rule", F.lit(None).cast("string")).withColumn("verdict", F.lit(otherwise))
     asked = parted.withColumn("__keys", candidate_rules(F.col("host"), F.col("path"), lengths))
-    universe = cut(asked.select(F.explode("__keys").alias("key")).distinct().select(F.xxhash64("key").alias("key")).distinct())
-    cascades = []
-    for kind in ("allow", "block"):
-        rows = sorted({(h + p,) for k, h, p in rules if k == kind})
-        listed = spark.createDataFrame(rows, "rule string").select(F.xxhash64("rule").alias("key")) if rows else universe.limit(0)
-        cascades.append(build(listed, universe))
+    universe = cut(asked.select(F.explode("__keys").alias("key")).select(F.xxhash64("key").alias("key")).distinct())
+    listed = spark.createDataFrame([(k, h + p) for k, h, p in rules], "kind string, rule string").select("kind", F.xxhash64("rule").alias("key")).collect()
+    cascades = build([np.array([r.key % 2**64 for r in listed if r.kind == kind], dtype=np.uint64) for kind in ("allow", "block")], universe)
     sent = spark.sparkContext.broadcast(cascades)
 
     def hits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
