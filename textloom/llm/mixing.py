@@ -19,7 +19,7 @@ from textloom.llm.common import cut, word_count
 
 NEWTON_STEPS = 40
 #: Documents that are rounded together, in one task's memory; a larger source is dealt into several blocks of about this size.
-BLOCK_ROWS = 20_000
+BLOCK_ROWS = 1_000
 
 
 def targets(sources: DataFrame, weights: Sequence[float], share: float, most: float) -> DataFrame:
