@@ -6,7 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from textloom.llm.language_id import op4_language_id
 from textloom.llm.mixing import op2_mix_sources
+from textloom.llm.pieces import op3_pieces
+from textloom.llm.quality import op8_quality
 from textloom.llm.url_filter import OP10_SQL, op10_url_filter
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -15,6 +18,9 @@ Query = Callable[[SparkSession, str], DataFrame]
 def queries() -> dict[str, Query]:
     return {
         "op2_mix_sources": op2_mix_sources,
+        "op3_pieces": op3_pieces,
+        "op4_language_id": op4_language_id,
+        "op8_quality": op8_quality,
         "op10_url_filter": op10_url_filter,
     }
 
