@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: A word is a run of characters other than space and U+0009 to U+000D.
 GAP = r"[\x20\x09-\x0D]+"
@@ -151,3 +152,11 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         raise RuntimeError(f"components have not settled in {max_rounds} rounds")
     stars = now.select(F.col("u").alias("node"), F.col("v").alias("component"))
     return stars.unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+
+
+def extended(schema: T.StructType, **columns: str) -> T.StructType:
+    """A schema with more columns, by name and type; the given one stays as it is."""
+    out = T.StructType(list(schema.fields))
+    for name, kind in columns.items():
+        out.add(name, T.DataType.fromDDL(kind))
+    return out

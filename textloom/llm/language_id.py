@@ -16,6 +16,8 @@ import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from textloom.llm.common import extended
+
 #: Bounds of the training sample: documents of each language, characters of each document, bytes of each dictionary.
 SAMPLE_DOCS = 400
 SAMPLE_CHARS = 4096
@@ -96,10 +98,7 @@ def identify(docs: DataFrame, dictionaries: dict[str, bytes], text_col: str = "t
             more = [pa.array([x[k] for x in found], kind) for k, kind in enumerate((pa.string(), pa.float64(), pa.bool_()))]
             yield pa.RecordBatch.from_arrays([*batch.columns, *more], [*batch.schema.names, "lang_pred", "score", "rejected"])
 
-    schema = docs.schema
-    for name, kind in (("lang_pred", "string"), ("score", "double"), ("rejected", "boolean")):
-        schema = schema.add(name, kind)
-    return docs.mapInArrow(predict, schema)
+    return docs.mapInArrow(predict, extended(docs.schema, lang_pred="string", score="double", rejected="boolean"))
 
 
 def fold(doc_id: str, n: int) -> Column:

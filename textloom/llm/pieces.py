@@ -19,6 +19,8 @@ import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from textloom.llm.common import extended
+
 SPACE = "▁"
 #: Units that a worker process remembers, and the most characters of one that it does.
 MEMORY_UNITS = 400_000
@@ -254,9 +256,6 @@ def coder(model_file: str) -> Coder:
 
 def _with(docs: DataFrame, model_file: str, text_col: str, names: list[str], kinds: list[str], of) -> DataFrame:
     docs = docs.drop(*names)
-    schema = docs.schema
-    for name, kind in zip(names, kinds, strict=True):
-        schema = schema.add(name, kind)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = coder(model_file)
@@ -268,7 +267,7 @@ def _with(docs: DataFrame, model_file: str, text_col: str, names: list[str], kin
                 more = [pa.array([x[k] for x in found], kind) for k, kind in enumerate(types)]
                 yield pa.RecordBatch.from_arrays([*part.columns, *more], [*part.schema.names, *names])
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(run, extended(docs.schema, **dict(zip(names, kinds, strict=True))))
 
 
 def encode(docs: DataFrame, model_file: str, text_col: str = "text", ids_col: str = "ids") -> DataFrame:

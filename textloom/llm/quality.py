@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm.common import batches_of_text, mix, words_of
+from textloom.llm.common import batches_of_text, extended, mix, words_of
 from textloom.llm.language_id import fold
 
 #: Labelled documents that the fit takes at most, spread evenly by a hash of the id.
@@ -158,7 +158,7 @@ def measured(docs: DataFrame, text_col: str) -> DataFrame:
             lists = pa.FixedSizeListArray.from_arrays(pa.array(stats.ravel()), len(FEATURES)).cast(pa.list_(pa.float64()))
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in rest], lists], [*rest, "__stats"])
 
-    return docs.mapInArrow(measure, docs.select(rest).schema.add("__stats", "array<double>"))
+    return docs.mapInArrow(measure, extended(docs.select(rest).schema, __stats="array<double>"))
 
 
 def score(docs: DataFrame, model: Discriminant | None, text_col: str = "text") -> DataFrame:
@@ -174,7 +174,7 @@ def score(docs: DataFrame, model: Discriminant | None, text_col: str = "text") -
             found = sent.value.score(statistics(batch, text_col)) if sent.value is not None else np.full(len(batch), 0.5)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.float64())], [*batch.schema.names, "score"])
 
-    return docs.mapInArrow(rate, docs.schema.add("score", "double"))
+    return docs.mapInArrow(rate, extended(docs.schema, score="double"))
 
 
 #: Score from which the query predicts label 1.
