@@ -10,6 +10,7 @@ from textloom.llm.language_id import op4_language_id
 from textloom.llm.mixing import op2_mix_sources
 from textloom.llm.pieces import op3_pieces
 from textloom.llm.quality import op8_quality
+from textloom.llm.substring_dedup import OP1_SQL, op1_substring_dedup
 from textloom.llm.url_filter import OP10_SQL, op10_url_filter
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -17,6 +18,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 def queries() -> dict[str, Query]:
     return {
+        "op1_substring_dedup": op1_substring_dedup,
         "op2_mix_sources": op2_mix_sources,
         "op3_pieces": op3_pieces,
         "op4_language_id": op4_language_id,
@@ -26,4 +28,7 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_url_filter": OP10_SQL}
+    return {
+        "op1_substring_dedup": OP1_SQL,
+        "op10_url_filter": OP10_SQL,
+    }
