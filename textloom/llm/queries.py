@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from textloom.llm.jaccard_join import OP7_SQL, op7_jaccard_join
 from textloom.llm.language_id import op4_language_id
 from textloom.llm.mixing import op2_mix_sources
 from textloom.llm.pieces import op3_pieces
@@ -22,6 +23,7 @@ def queries() -> dict[str, Query]:
         "op2_mix_sources": op2_mix_sources,
         "op3_pieces": op3_pieces,
         "op4_language_id": op4_language_id,
+        "op7_jaccard_join": op7_jaccard_join,
         "op8_quality": op8_quality,
         "op10_url_filter": op10_url_filter,
     }
@@ -30,5 +32,6 @@ def queries() -> dict[str, Query]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_substring_dedup": OP1_SQL,
+        "op7_jaccard_join": OP7_SQL,
         "op10_url_filter": OP10_SQL,
     }
