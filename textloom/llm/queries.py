@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from textloom.llm.embedding_dedup import OP6_SQL, op6_embedding_dedup
 from textloom.llm.jaccard_join import OP7_SQL, op7_jaccard_join
 from textloom.llm.language_id import op4_language_id
 from textloom.llm.mixing import op2_mix_sources
@@ -23,6 +24,7 @@ def queries() -> dict[str, Query]:
         "op2_mix_sources": op2_mix_sources,
         "op3_pieces": op3_pieces,
         "op4_language_id": op4_language_id,
+        "op6_embedding_dedup": op6_embedding_dedup,
         "op7_jaccard_join": op7_jaccard_join,
         "op8_quality": op8_quality,
         "op10_url_filter": op10_url_filter,
@@ -32,6 +34,7 @@ def queries() -> dict[str, Query]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_substring_dedup": OP1_SQL,
+        "op6_embedding_dedup": OP6_SQL,
         "op7_jaccard_join": OP7_SQL,
         "op10_url_filter": OP10_SQL,
     }
