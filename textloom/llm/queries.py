@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from textloom.llm.embedding_dedup import OP6_SQL, op6_embedding_dedup
+from textloom.llm.fingerprints import op5_fingerprints
 from textloom.llm.jaccard_join import OP7_SQL, op7_jaccard_join
 from textloom.llm.language_id import op4_language_id
 from textloom.llm.mixing import op2_mix_sources
@@ -24,6 +25,7 @@ def queries() -> dict[str, Query]:
         "op2_mix_sources": op2_mix_sources,
         "op3_pieces": op3_pieces,
         "op4_language_id": op4_language_id,
+        "op5_fingerprints": op5_fingerprints,
         "op6_embedding_dedup": op6_embedding_dedup,
         "op7_jaccard_join": op7_jaccard_join,
         "op8_quality": op8_quality,
