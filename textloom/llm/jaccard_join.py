@@ -4,12 +4,12 @@ Sets are ordered by (very common, hash) of their shingles, and two sets that are
 these go to inverted lists. Sets' relations then save most comparisons:
 
 * Equal sets are one set, whose copies take over its answer.
-* A list is ordered by set size. In a first round each of its sets meets only the next one; links found so make groups of highly similar sets.
+* A list is ordered by set size. In a first round each of its sets meets only the next one, or a few; links found so make groups of highly similar sets.
 * In the second round the sets of a group derive their answers from one another: only sets of different groups meet. Lists are in blocks that
   know their sizes, least positions and groups, and a pair of blocks is skipped as a whole where these leave no pair to compare: sizes too far
-  apart, too little left after the positions, or one group.
+  apart, too little left after the positions, or one group. Parity bits of the sets, which bound what two of them can share, screen the pairs that meet.
 
-Each pair that is left is compared in full, so links are exact (up to equal 64-bit hashes of different shingles). What is returned, components, needs
+Pairs that pass are compared in full, so links are exact (up to equal 64-bit hashes of different shingles). What is returned, components, needs
 no more: pairs within a group could only join what is joined already.
 """
 
@@ -34,6 +34,10 @@ MAX_COMMON = 1 << 18
 #: Most ids that are broadcast (8 bytes each); more are joined by a shuffle.
 MAX_BROADCAST_IDS = 1_000_000
 BLOCK = 64
+#: In the first round, a set of a list of LONG sets or more meets the next REACH if the list is one of FAR_LISTS (as sets of a large group share many
+#: lists), and else only the next. As many chances as REACH join nearly all sets of a large group even where few of its pairs are alike, which
+#: leaves the second round little; that finds whatever the first has left.
+LONG, REACH, FAR_LISTS = 64, 32, 4
 
 
 def needed(a, b):
@@ -72,8 +76,30 @@ def _take(start: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + start[owner], owner
 
 
+SURVEY = ["shingle", "doc_id", "n", "k1", "k2", "bits"]
+
+
+def _parities(values: np.ndarray, sizes: np.ndarray) -> pa.Array:
+    """Of each set, whether the number of hashes with the same low bits is odd, for each value of these: two to four bits a shingle."""
+    width = np.maximum(64, 2 ** np.ceil(np.log2(np.maximum(2 * sizes, 1))).astype(np.int64))
+    start = np.append(0, np.cumsum(width))
+    owner = np.repeat(np.arange(len(sizes)), sizes)
+    spots = start[owner] + (values.astype(np.int64) & (width[owner] - 1))
+    packed = np.packbits(np.bincount(spots, minlength=start[-1]) & 1 == 1, bitorder="little")
+    return pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer((start // 8).astype(np.int32).tobytes()), pa.py_buffer(packed.tobytes())])
+
+
+def most_shared(n_a: int, n_b: int, a: np.ndarray, b: np.ndarray) -> int:
+    """A bound of the intersection of two sets from their sizes and parities: each parity that differs takes a shingle that only one set has."""
+    while len(a) > len(b):
+        a = a[: len(a) // 2] ^ a[len(a) // 2 :]
+    while len(b) > len(a):
+        b = b[: len(b) // 2] ^ b[len(b) // 2 :]
+    return (n_a + n_b - int(np.bitwise_count(a ^ b).sum())) // 2
+
+
 def _survey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row (null, doc_id, size, two hashes of the set) for each document and a row (shingle, sets that have it) for each common shingle."""
+    """A row (null, doc_id, size, two hashes and the parities of the set) for each document, a row (shingle, sets that have it) for each common shingle."""
     for batch in batches:
         ids = batch.column("doc_id").to_numpy(zero_copy_only=False).astype(np.int64)
         first = []
@@ -81,17 +107,17 @@ def _survey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             sizes = np.diff(start)
             sums = [np.append(0, np.cumsum(mix(values ^ np.uint64(salt)))).astype(np.uint64) for salt in (0x51ED270B9F3C6D15, 0x2545F4914F6CDD1D)]
             keys = [pa.array((s[start[1:]] - s[start[:-1]]).view(np.int64)) for s in sums]
-            yield pa.RecordBatch.from_arrays([pa.nulls(to - at, pa.int64()), pa.array(ids[at:to]), pa.array(sizes.astype(np.int64)), *keys], ["shingle", "doc_id", "n", "k1", "k2"])
+            yield pa.RecordBatch.from_arrays([pa.nulls(to - at, pa.int64()), pa.array(ids[at:to]), pa.array(sizes.astype(np.int64)), *keys, _parities(values, sizes)], SURVEY)
             first.append(values[_take(start[:-1], _prefix(sizes))[0]])
         if first:
             shingle, count = np.unique(np.concatenate(first), return_counts=True)
             shingle, count = shingle[count >= COMMON], count[count >= COMMON].astype(np.int64)
             none = pa.nulls(len(shingle), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(shingle.view(np.int64)), none, pa.array(count), none, none], ["shingle", "doc_id", "n", "k1", "k2"])
+            yield pa.RecordBatch.from_arrays([pa.array(shingle.view(np.int64)), none, pa.array(count), none, none, pa.nulls(len(shingle), pa.binary())], SURVEY)
 
 
-def _next_in_list(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of lists with two sets or more, with the next set of the list if the two can be alike. Rows come by shingle, size and id."""
+def _in_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of lists with two sets or more; rows come by shingle."""
     held: tuple[np.ndarray, ...] | None = None  # the last row, which waits for the one after it
     held_listed = False  # whether the row before that is of its list
     for batch in _and_end(batches):
@@ -101,21 +127,29 @@ def _next_in_list(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             rows = new if held is None else tuple(np.concatenate(x) for x in zip(held, new, strict=True))
         if rows is None or not len(rows[0]):
             continue
-        shingle, doc, place = rows
-        same = shingle[1:] == shingle[:-1]
-        n = place >> 32
-        left = n - (place & 0xFFFFFFFF)
-        good = same & (np.minimum(left[:-1], left[1:]) >= needed(n[:-1], n[1:]))
+        same = rows[0][1:] == rows[0][:-1]
         listed = np.append(same, False) | np.append(held_listed, same)
-        stop = len(shingle) - (batch is not None)
+        stop = len(listed) - (batch is not None)
         out = np.flatnonzero(listed[:stop])
         if len(out):
-            after = pa.array(np.append(doc[1:], 0)[out], mask=~np.append(good, False)[out])
-            yield pa.RecordBatch.from_arrays([pa.array(shingle[out]), pa.array(doc[out]), pa.array(place[out]), after], ["shingle", "doc_id", "place", "after"])
+            yield pa.RecordBatch.from_arrays([pa.array(x[out]) for x in rows], ["shingle", "doc_id", "place"])
         held = tuple(x[-1:] for x in rows)
         held_listed = bool(same[-1]) if len(same) else held_listed
 
 
+def _nearby(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs of each set and the next of its list, in long lists the next REACH; rows come by shingle, size and id."""
+    for shingle, doc, place in _lists(batches):
+        n = place >> 32
+        left = n - (place & 0xFFFFFFFF)
+        far = len(n) >= LONG and shingle[0] % FAR_LISTS == 0
+        for k in range(1, min(len(n), REACH + 1 if far else 2)):
+            at = np.flatnonzero(np.minimum(left[:-k], left[k:]) >= needed(n[:-k], n[k:]))
+            if len(at):
+                x, y = doc[at], doc[at + k]
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], ["u", "v"])
+
+
 def _and_end(batches: Iterator) -> Iterator:
     yield from batches
     yield None
@@ -125,7 +159,7 @@ def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]
     """Columns of one list after the other, rows coming by list."""
     parts: list[tuple[np.ndarray, ...]] = []
     for batch in batches:
-        rows = tuple(batch.column(k).to_numpy() for k in range(batch.num_columns))
+        rows = tuple(batch.column(k).to_numpy(zero_copy_only=False) for k in range(batch.num_columns))
         if not len(rows[0]):
             continue
         head = np.append(np.flatnonzero(np.append(True, rows[0][1:] != rows[0][:-1])), len(rows[0]))
@@ -138,33 +172,59 @@ def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]
         yield tuple(np.concatenate(x) for x in zip(*parts, strict=True))
 
 
+def _mixed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of lists that have sets of several groups; rows come by shingle."""
+    for rows in _lists(batches):
+        if (rows[3] != rows[3][0]).any():
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in rows], ["shingle", "doc_id", "place", "group"])
+
+
+def _folded(bits: list[bytes]) -> np.ndarray:
+    """Parities as rows of equal length, the shortest one's."""
+    width = min(map(len, bits))
+    out = np.empty((len(bits), width // 8), dtype=np.uint64)
+    for k, x in enumerate(bits):
+        row = np.frombuffer(x, dtype=np.uint64)
+        while len(row) > width // 8:
+            row = row[: len(row) // 2] ^ row[len(row) // 2 :]
+        out[k] = row
+    return out
+
+
 def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pairs of sets of different groups that a list has and that can be alike; rows come by shingle, size and id."""
-    for _, doc, place, group in _lists(batches):
-        if (group == group[0]).all():
-            continue
+    for _, doc, place, group, bits in _lists(batches):
         n = place >> 32
         left = n - (place & 0xFFFFFFFF)  # at the first shingle that two sets share, they can share no more than this
         head = np.arange(0, len(n), BLOCK)
         low, high = n[head], np.maximum.reduceat(n, head)
         most_left = np.maximum.reduceat(left, head)
         one = np.minimum.reduceat(group, head) == np.maximum.reduceat(group, head)
+        parities = [_folded(bits[a : a + BLOCK]) for a in head]
         for k, a in enumerate(head):
             # Blocks from this one on: near enough in size, enough left, not both of one group.
-            reach = np.searchsorted(low, DEN * high[k] // NUM, side="right")
-            others = np.arange(k, reach)
+            others = np.arange(k, np.searchsorted(low, DEN * high[k] // NUM, side="right"))
             bound = np.minimum(most_left[others], most_left[k])
             others = others[(bound >= needed(low[others], low[k])) & ~(one[k] & one[others] & (group[head[others]] == group[a]))]
-            if not len(others):
-                continue
             mine = np.arange(a, min(a + BLOCK, len(n)))
-            theirs = _take(head[others], np.minimum(BLOCK, len(n) - head[others]))[0]
-            meet = (theirs[None, :] > mine[:, None]) & (group[mine][:, None] != group[theirs][None, :])
-            meet &= np.minimum(left[mine][:, None], left[theirs][None, :]) >= needed(n[mine][:, None], n[theirs][None, :])
-            i, j = np.nonzero(meet)
-            if len(i):
-                x, y = doc[mine[i]], doc[theirs[j]]
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], ["u", "v"])
+            for other in others:
+                theirs = np.arange(head[other], min(head[other] + BLOCK, len(n)))
+                least = needed(n[mine][:, None], n[theirs][None, :])
+                meet = (theirs[None, :] > mine[:, None]) & (group[mine][:, None] != group[theirs][None, :])
+                meet &= np.minimum(left[mine][:, None], left[theirs][None, :]) >= least
+                i, j = np.nonzero(meet)
+                if not len(i):
+                    continue
+                p, q = parities[k], parities[other]
+                while p.shape[1] > q.shape[1]:
+                    p = p[:, : p.shape[1] // 2] ^ p[:, p.shape[1] // 2 :]
+                while q.shape[1] > p.shape[1]:
+                    q = q[:, : q.shape[1] // 2] ^ q[:, q.shape[1] // 2 :]
+                shared = (n[mine[i]] + n[theirs[j]] - np.bitwise_count(p[i] ^ q[j]).sum(axis=1, dtype=np.int64)) // 2
+                keep = shared >= least[i, j]
+                if keep.any():
+                    x, y = doc[mine[i[keep]]], doc[theirs[j[keep]]]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], ["u", "v"])
 
 
 def _with_ids(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
@@ -174,6 +234,21 @@ def _with_ids(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
     return docs.join(ids, "doc_id", how)
 
 
+def _screened(pairs: DataFrame, sizes: DataFrame) -> DataFrame:
+    """Those of pairs (u, v) that sizes and parities leave possible."""
+    known = [sizes.select(F.col("doc_id").alias(k), F.col("n").alias(f"n_{k}"), F.col("bits").alias(f"bits_{k}")) for k in "uv"]
+    both = pairs.join(known[0], "u").join(known[1], "v").select("u", "v", "n_u", "n_v", "bits_u", "bits_v")
+
+    def possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n_u, n_v = (batch.column(k).to_pylist() for k in ("n_u", "n_v"))
+            bits_u, bits_v = ([np.frombuffer(x, dtype=np.uint8) for x in batch.column(k).to_pylist()] for k in ("bits_u", "bits_v"))
+            keep = [most_shared(a, b, x, y) >= needed(a, b) for a, b, x, y in zip(n_u, n_v, bits_u, bits_v, strict=True)]
+            yield batch.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
+
+    return cut(both.mapInArrow(possible, "u long, v long").distinct())
+
+
 def _verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     """Those of pairs (u, v) whose sets are alike. pairs is kept and distinct."""
     ids = cut(pairs.select(F.explode(F.array("u", "v")).alias("doc_id")).distinct())
@@ -184,7 +259,7 @@ def _verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
                 sets = pa.Array.from_buffers(pa.binary(), to - at, [None, pa.py_buffer((start * 8).astype(np.int32).tobytes()), pa.py_buffer(values.tobytes())])
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(at, to - at), sets], ["doc_id", "hashes"])
 
-    sets = _with_ids(docs, ids, "left_semi").select("doc_id", "text").mapInArrow(whole, "doc_id long, hashes binary").dropDuplicates(["doc_id"])
+    sets = _with_ids(docs, ids, "left_semi").select("doc_id", "text").mapInArrow(whole, "doc_id long, hashes binary")
     both = pairs.join(sets.select(F.col("doc_id").alias("u"), F.col("hashes").alias("a")), "u").join(sets.select(F.col("doc_id").alias("v"), F.col("hashes").alias("b")), "v")
 
     def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -196,7 +271,7 @@ def _verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
                 found.append(both >= needed(len(a), len(b)))
             yield batch.select(["u", "v"]).filter(pa.array(found, pa.bool_()))
 
-    return both.select("u", "v", "a", "b").mapInArrow(alike, "u long, v long")
+    return both.select("u", "v", "a", "b").mapInArrow(alike, "u long, v long").distinct()
 
 
 def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -208,7 +283,7 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     spark = docs.sparkSession
     n = partitions(spark)
-    seen = cut(docs.mapInArrow(_survey, "shingle long, doc_id long, n long, k1 long, k2 long"))
+    seen = cut(docs.mapInArrow(_survey, "shingle long, doc_id long, n long, k1 long, k2 long, bits binary"))
     sizes = seen.where("shingle IS NULL").drop("shingle")
     common = seen.where("shingle IS NOT NULL").groupBy("shingle").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "shingle").limit(MAX_COMMON)
     last = spark.sparkContext.broadcast(np.sort(np.array([r.shingle for r in common.collect()], dtype=np.int64).view(np.uint64)))
@@ -232,14 +307,16 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     rows = _with_ids(docs, copies.select("doc_id").distinct(), "left_anti").select("doc_id", "text").mapInArrow(listed, "shingle long, doc_id long, place long")
     size = F.shiftright("place", 32)
     lists = rows.repartition(n, "shingle").sortWithinPartitions("shingle", size, "doc_id")
-    lists = cut(lists.mapInArrow(_next_in_list, "shingle long, doc_id long, place long, after long"))
+    lists = cut(lists.mapInArrow(_in_lists, "shingle long, doc_id long, place long"))
 
-    near = cut(lists.where("after IS NOT NULL").select(F.least("doc_id", "after").alias("u"), F.greatest("doc_id", "after").alias("v")).where("u <> v").distinct())
-    links = cut(_verified(docs, near))
+    near = cut(lists.mapInArrow(_nearby, "u long, v long").where("u <> v").distinct())  # kept lists are still in order
+    links = cut(_verified(docs, _screened(near, sizes)))
     groups = cut(connected_components(links))
     grouped = lists.join(groups.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("shingle", "doc_id", "place", F.coalesce("component", "doc_id").alias("group"))
     grouped = grouped.repartition(n, "shingle").sortWithinPartitions("shingle", size, "doc_id")
-    pairs = grouped.mapInArrow(_across, "u long, v long").distinct().join(near, ["u", "v"], "left_anti")
+    mixed = cut(grouped.mapInArrow(_mixed, "shingle long, doc_id long, place long, group long"))
+    mixed = mixed.join(sizes.select("doc_id", "bits"), "doc_id").select("shingle", "doc_id", "place", "group", "bits").repartition(n, "shingle").sortWithinPartitions("shingle", size, "doc_id")
+    pairs = mixed.mapInArrow(_across, "u long, v long").distinct().join(near, ["u", "v"], "left_anti")
     more = _verified(docs, cut(pairs))
 
     # Groups that the second round joins, then sets' groups, then copies' sets.
