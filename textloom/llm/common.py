@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 from collections.abc import Iterator
 
@@ -117,7 +118,11 @@ def cut(df: DataFrame) -> DataFrame:
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
-    return df.checkpoint(eager=True)
+    kept = df.checkpoint(eager=True)
+    # Shuffle files that only df needed go when the driver's collectors see that nothing refers to them; at once, as they can be larger than the input.
+    gc.collect()
+    sc._jvm.System.gc()
+    return kept
 
 
 def partitions(spark: SparkSession) -> int:

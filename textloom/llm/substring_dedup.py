@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm.common import batches_of_text, partitions, sequence_hashes, words_of
+from textloom.llm.common import batches_of_text, cut, partitions, sequence_hashes, words_of
 
 WINDOW = 13
 ANCHOR = 6
@@ -280,12 +280,19 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     A span is the first window and the number of windows, in the upper and lower half of a long; spans may meet or overlap.
     """
     n = partitions(docs.sparkSession)
-    by_text = F.when((F.col("at").bitwiseAND(3)) == 1, F.col("doc_id")).otherwise(F.col("anchor"))
-    asked = docs.mapInArrow(_anchors, "anchor long, doc_id long, at long").repartition(n, by_text).sortWithinPartitions("anchor")
-    segments = asked.mapInArrow(_shared, "anchor long, doc_id long, at long").groupBy("doc_id").agg(F.collect_list(F.struct("anchor", "at")).alias("segments"))
-    contents = docs.join(segments, "doc_id").mapInArrow(_contents, "anchor long, doc_id long, first int, known int, words binary")
-    dealt = contents.repartition(n, F.when(F.col("words").isNull(), F.col("doc_id")).otherwise(F.col("anchor"))).sortWithinPartitions("anchor", "doc_id")
-    return dealt.mapInArrow(_covered, "doc_id long, span long").groupBy("doc_id").agg(F.collect_list("span").alias("spans"))
+
+    def shared() -> DataFrame:
+        own = F.when((F.col("at").bitwiseAND(3)) == 1, F.col("doc_id")).otherwise(F.col("anchor"))
+        asked = docs.mapInArrow(_anchors, "anchor long, doc_id long, at long").repartition(n, own).sortWithinPartitions("anchor")
+        return asked.mapInArrow(_shared, "anchor long, doc_id long, at long").groupBy("doc_id").agg(F.collect_list(F.struct("anchor", "at")).alias("segments"))
+
+    def covered(segments: DataFrame) -> DataFrame:
+        contents = docs.join(segments, "doc_id").mapInArrow(_contents, "anchor long, doc_id long, first int, known int, words binary")
+        own = F.when(F.col("words").isNull(), F.col("doc_id")).otherwise(F.col("anchor"))
+        dealt = contents.repartition(n, own).sortWithinPartitions("anchor", "doc_id")
+        return dealt.mapInArrow(_covered, "doc_id long, span long").groupBy("doc_id").agg(F.collect_list("span").alias("spans"))
+
+    return cut(covered(cut(shared())))
 
 
 def keep(words: list[bytes], spans: Iterable[int]) -> list[bytes]:
