@@ -11,6 +11,7 @@ from textloom.llm.fingerprints import op5_fingerprints
 from textloom.llm.jaccard_join import OP7_SQL, op7_jaccard_join
 from textloom.llm.language_id import op4_language_id
 from textloom.llm.mixing import op2_mix_sources
+from textloom.llm.personal_data import op9_personal_data
 from textloom.llm.pieces import op3_pieces
 from textloom.llm.quality import op8_quality
 from textloom.llm.substring_dedup import OP1_SQL, op1_substring_dedup
@@ -29,6 +30,7 @@ def queries() -> dict[str, Query]:
         "op6_embedding_dedup": op6_embedding_dedup,
         "op7_jaccard_join": op7_jaccard_join,
         "op8_quality": op8_quality,
+        "op9_personal_data": op9_personal_data,
         "op10_url_filter": op10_url_filter,
     }
 
