@@ -120,8 +120,10 @@ def cut(df: DataFrame) -> DataFrame:
         sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
     kept = df.checkpoint(eager=True)
     # Shuffle files that only df needed go when the driver's collectors see that nothing refers to them; at once, as they can be larger than the input.
+    del df
     gc.collect()
-    sc._jvm.System.gc()
+    for _ in range(2):  # the first frees what holds the references that the second finds gone
+        sc._jvm.System.gc()
     return kept
 
 
