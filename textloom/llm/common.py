@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 from collections.abc import Iterator
 
 import numpy as np
@@ -124,6 +125,7 @@ def cut(df: DataFrame) -> DataFrame:
     gc.collect()
     for _ in range(2):  # the first frees what holds the references that the second finds gone
         sc._jvm.System.gc()
+        time.sleep(0.2)
     return kept
 
 

@@ -292,7 +292,7 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
         dealt = contents.repartition(n, own).sortWithinPartitions("anchor", "doc_id")
         return dealt.mapInArrow(_covered, "doc_id long, span long").groupBy("doc_id").agg(F.collect_list("span").alias("spans"))
 
-    return cut(covered(cut(shared())))
+    return covered(cut(shared()))
 
 
 def keep(words: list[bytes], spans: Iterable[int]) -> list[bytes]:
@@ -310,7 +310,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     """(doc_id, n_words, n_removed, kept): kept is what is left of each text, its words joined by single spaces.
 
     Each word of a window of WINDOW words that also starts in a document with a smaller id goes; windows are those of the given texts. A null
-    text has no words, a text with fewer than WINDOW words stays. Ids should be unique: rows with one id don't cover one another, and where
+    text has no words, a text with fewer than WINDOW words stays, and so does a document without an id. Ids should be unique: rows with one id don't cover one another, and where
     one of them has a repeated window at a place, it is cut from all of them. Other columns are ignored.
     """
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
@@ -330,7 +330,10 @@ def _cut(docs: DataFrame, name: str, kind: str, of) -> DataFrame:
             columns = [pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.string()))]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], ["doc_id", "n_words", "n_removed", name])
 
-    return docs.join(repeated_spans(docs), "doc_id", "left").mapInArrow(run, f"doc_id long, n_words long, n_removed long, {name} {kind}")
+    # With the same filter on both sides of its use, the texts' shuffle is one.
+    known = docs.where(F.col("doc_id").isNotNull())
+    spans = known.join(repeated_spans(known), "doc_id", "left").unionByName(docs.where(F.col("doc_id").isNull()).withColumn("spans", F.lit(None).cast("array<long>")))
+    return spans.mapInArrow(run, f"doc_id long, n_words long, n_removed long, {name} {kind}")
 
 
 def remove_reference(docs: DataFrame, reference: list[str], text_col: str = "text") -> DataFrame:
