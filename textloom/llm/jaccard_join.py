@@ -19,7 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from textloom.llm.common import batches_of_text, connected_components, cut, mix, partitions, sequence_hashes, words_of
@@ -27,10 +27,10 @@ from textloom.llm.common import batches_of_text, connected_components, cut, mix,
 WIDTH = 5
 #: The threshold as a fraction.
 NUM, DEN = 3, 4
-#: A shingle is very common if so many sets of one batch have it in their first shingles; the most common of them are listed up to a bound
-#: that limits the broadcast (8 bytes each). The list only orders shingles: results are the same with any.
-COMMON = 8
-MAX_COMMON = 1 << 18
+#: A shingle is common if so many different sets of one batch have it; the most common of them are listed up to a bound that limits the broadcast
+#: (8 bytes each). The list only orders shingles: results are the same with any.
+COMMON = 3
+MAX_COMMON = 1 << 19
 #: Most ids that are broadcast (8 bytes each); more are joined by a shuffle.
 MAX_BROADCAST_IDS = 1_000_000
 BLOCK = 64
@@ -38,6 +38,8 @@ BLOCK = 64
 #: lists), and else only the next. As many chances as REACH join nearly all sets of a large group even where few of its pairs are alike, which
 #: leaves the second round little; that finds whatever the first has left.
 LONG, REACH, FAR_LISTS = 64, 32, 4
+#: Pairs of a set that the first round compares in full.
+TRIES = 2
 
 
 def needed(a, b):
@@ -102,24 +104,52 @@ def _survey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A row (null, doc_id, size, two hashes and the parities of the set) for each document, a row (shingle, sets that have it) for each common shingle."""
     for batch in batches:
         ids = batch.column("doc_id").to_numpy(zero_copy_only=False).astype(np.int64)
-        first = []
+        all_shingles: list[np.ndarray] = []
+        known: set[int] = set()
         for at, to, values, start in _sets(batch):
             sizes = np.diff(start)
             sums = [np.append(0, np.cumsum(mix(values ^ np.uint64(salt)))).astype(np.uint64) for salt in (0x51ED270B9F3C6D15, 0x2545F4914F6CDD1D)]
             keys = [pa.array((s[start[1:]] - s[start[:-1]]).view(np.int64)) for s in sums]
             yield pa.RecordBatch.from_arrays([pa.nulls(to - at, pa.int64()), pa.array(ids[at:to]), pa.array(sizes.astype(np.int64)), *keys, _parities(values, sizes)], SURVEY)
-            first.append(values[_take(start[:-1], _prefix(sizes))[0]])
-        if first:
-            shingle, count = np.unique(np.concatenate(first), return_counts=True)
+            other = [k for k, key in enumerate(keys[0].to_pylist()) if key not in known and not known.add(key)]
+            all_shingles.append(values[_take(start[other], sizes[other])[0]])
+        if all_shingles:
+            shingle, count = np.unique(np.concatenate(all_shingles), return_counts=True)
             shingle, count = shingle[count >= COMMON], count[count >= COMMON].astype(np.int64)
             none = pa.nulls(len(shingle), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(shingle.view(np.int64)), none, pa.array(count), none, none, pa.nulls(len(shingle), pa.binary())], SURVEY)
 
 
+def _and_end(batches: Iterator) -> Iterator:
+    yield from batches
+    yield None
+
+
+def _whole_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple[np.ndarray, ...], np.ndarray]]:
+    """Columns of runs of whole lists, and where each list starts, with the end; rows come by list."""
+    held: list[tuple[np.ndarray, ...]] = []
+    for batch in _and_end(batches):
+        if batch is not None:
+            rows = tuple(batch.column(k).to_numpy(zero_copy_only=False) for k in range(batch.num_columns))
+            if not len(rows[0]):
+                continue
+            held.append(rows)
+            if held[0][0][0] == rows[0][-1]:
+                continue  # all one list so far
+        if not held:
+            continue
+        rows = tuple(np.concatenate(x) for x in zip(*held, strict=True)) if len(held) > 1 else held[0]
+        head = np.append(np.flatnonzero(np.append(True, rows[0][1:] != rows[0][:-1])), len(rows[0]))
+        stop = head[-1] if batch is None else head[-2]
+        held = [tuple(x[stop:] for x in rows)] if stop < len(rows[0]) else []
+        if stop:
+            yield tuple(x[:stop] for x in rows), head[head <= stop]
+
+
 def _in_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of lists with two sets or more; rows come by shingle."""
-    held: tuple[np.ndarray, ...] | None = None  # the last row, which waits for the one after it
-    held_listed = False  # whether the row before that is of its list
+    """Rows of lists with two sets or more; rows come by shingle. Of a list that is in progress, only the last row is held."""
+    held: tuple[np.ndarray, ...] | None = None
+    held_listed = False  # whether the row before the held one is of its list
     for batch in _and_end(batches):
         rows = held
         if batch is not None:
@@ -137,46 +167,53 @@ def _in_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held_listed = bool(same[-1]) if len(same) else held_listed
 
 
-def _nearby(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of each set and the next of its list, in long lists the next REACH; rows come by shingle, size and id."""
-    for shingle, doc, place in _lists(batches):
-        n = place >> 32
-        left = n - (place & 0xFFFFFFFF)
-        far = len(n) >= LONG and shingle[0] % FAR_LISTS == 0
-        for k in range(1, min(len(n), REACH + 1 if far else 2)):
-            at = np.flatnonzero(np.minimum(left[:-k], left[k:]) >= needed(n[:-k], n[k:]))
-            if len(at):
-                x, y = doc[at], doc[at + k]
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], ["u", "v"])
+def _pairs(x: np.ndarray, y: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], ["u", "v"])
 
 
-def _and_end(batches: Iterator) -> Iterator:
-    yield from batches
-    yield None
+def _apart(head: np.ndarray, picked: np.ndarray, most: int) -> Iterator[tuple[np.ndarray, int]]:
+    """For each distance up to most: rows of the picked lists that have another so far behind in their list."""
+    size = np.diff(head)
+    left = np.repeat(head[1:], size) - 1 - np.arange(head[-1])  # rows behind each in its list
+    rows = np.flatnonzero(np.repeat(picked, size) & (left > 0))
+    for k in range(1, most + 1):
+        rows = rows[left[rows] >= k]
+        if not len(rows):
+            return
+        yield rows, k
 
 
-def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
-    """Columns of one list after the other, rows coming by list."""
-    parts: list[tuple[np.ndarray, ...]] = []
-    for batch in batches:
-        rows = tuple(batch.column(k).to_numpy(zero_copy_only=False) for k in range(batch.num_columns))
-        if not len(rows[0]):
-            continue
-        head = np.append(np.flatnonzero(np.append(True, rows[0][1:] != rows[0][:-1])), len(rows[0]))
-        for a, z in zip(head[:-1], head[1:], strict=True):
-            if parts and parts[0][0][0] != rows[0][a]:
-                yield tuple(np.concatenate(x) for x in zip(*parts, strict=True)) if len(parts) > 1 else parts[0]
-                parts = []
-            parts.append(tuple(x[a:z] for x in rows))
-    if parts:
-        yield tuple(np.concatenate(x) for x in zip(*parts, strict=True))
+def _nearby(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs of each set and the next of its list, in some long lists the next REACH; rows come by shingle, size and id."""
+    for (shingle, doc, place), head in _whole_lists(batches):
+        n = place >> 32
+        left = n - (place & 0xFFFFFFFF)
+        far = (np.diff(head) >= LONG) & (shingle[head[:-1]] % FAR_LISTS == 0)
+        for picked, most in ((~far, 1), (far, REACH)):
+            for at, k in _apart(head, picked, most):
+                at = at[np.minimum(left[at], left[at + k]) >= needed(n[at], n[at + k])]
+                if len(at):
+                    yield _pairs(doc[at], doc[at + k])
 
 
 def _mixed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of lists that have sets of several groups; rows come by shingle."""
-    for rows in _lists(batches):
-        if (rows[3] != rows[3][0]).any():
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in rows], ["shingle", "doc_id", "place", "group"])
+    """Of lists that have sets of several groups: pairs of different groups of those shorter than LONG, and rows of the others. Rows come by
+    shingle, size and id."""
+    names = ["u", "v", "shingle", "doc_id", "place", "group"]
+    for (shingle, doc, place, group), head in _whole_lists(batches):
+        size = np.diff(head)
+        several = np.minimum.reduceat(group, head[:-1]) != np.maximum.reduceat(group, head[:-1])
+        n = place >> 32
+        left = n - (place & 0xFFFFFFFF)
+        for at, k in _apart(head, several & (size < LONG), LONG):
+            at = at[(np.minimum(left[at], left[at + k]) >= needed(n[at], n[at + k])) & (group[at] != group[at + k])]
+            if len(at):
+                none = pa.nulls(len(at), pa.int64())
+                yield pa.RecordBatch.from_arrays([*_pairs(doc[at], doc[at + k]).columns, none, none, none, none], names)
+        rows = np.flatnonzero(np.repeat(several & (size >= LONG), size))
+        if len(rows):
+            none = pa.nulls(len(rows), pa.int64())
+            yield pa.RecordBatch.from_arrays([none, none, *[pa.array(x[rows]) for x in (shingle, doc, place, group)]], names)
 
 
 def _folded(bits: list[bytes]) -> np.ndarray:
@@ -193,38 +230,42 @@ def _folded(bits: list[bytes]) -> np.ndarray:
 
 def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pairs of sets of different groups that a list has and that can be alike; rows come by shingle, size and id."""
-    for _, doc, place, group, bits in _lists(batches):
-        n = place >> 32
-        left = n - (place & 0xFFFFFFFF)  # at the first shingle that two sets share, they can share no more than this
-        head = np.arange(0, len(n), BLOCK)
-        low, high = n[head], np.maximum.reduceat(n, head)
-        most_left = np.maximum.reduceat(left, head)
-        one = np.minimum.reduceat(group, head) == np.maximum.reduceat(group, head)
-        parities = [_folded(bits[a : a + BLOCK]) for a in head]
-        for k, a in enumerate(head):
-            # Blocks from this one on: near enough in size, enough left, not both of one group.
-            others = np.arange(k, np.searchsorted(low, DEN * high[k] // NUM, side="right"))
-            bound = np.minimum(most_left[others], most_left[k])
-            others = others[(bound >= needed(low[others], low[k])) & ~(one[k] & one[others] & (group[head[others]] == group[a]))]
-            mine = np.arange(a, min(a + BLOCK, len(n)))
-            for other in others:
-                theirs = np.arange(head[other], min(head[other] + BLOCK, len(n)))
-                least = needed(n[mine][:, None], n[theirs][None, :])
-                meet = (theirs[None, :] > mine[:, None]) & (group[mine][:, None] != group[theirs][None, :])
-                meet &= np.minimum(left[mine][:, None], left[theirs][None, :]) >= least
-                i, j = np.nonzero(meet)
-                if not len(i):
-                    continue
-                p, q = parities[k], parities[other]
-                while p.shape[1] > q.shape[1]:
-                    p = p[:, : p.shape[1] // 2] ^ p[:, p.shape[1] // 2 :]
-                while q.shape[1] > p.shape[1]:
-                    q = q[:, : q.shape[1] // 2] ^ q[:, q.shape[1] // 2 :]
-                shared = (n[mine[i]] + n[theirs[j]] - np.bitwise_count(p[i] ^ q[j]).sum(axis=1, dtype=np.int64)) // 2
-                keep = shared >= least[i, j]
-                if keep.any():
-                    x, y = doc[mine[i[keep]]], doc[theirs[j[keep]]]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], ["u", "v"])
+    for columns, starts in _whole_lists(batches):
+        for a, z in zip(starts[:-1], starts[1:], strict=True):
+            yield from _across_list(*[x[a:z] for x in columns[1:]])
+
+
+def _across_list(doc: np.ndarray, place: np.ndarray, group: np.ndarray, bits: np.ndarray) -> Iterator[pa.RecordBatch]:
+    n = place >> 32
+    left = n - (place & 0xFFFFFFFF)  # at the first shingle that two sets share, they can share no more than this
+    head = np.arange(0, len(n), BLOCK)
+    low, high = n[head], np.maximum.reduceat(n, head)
+    most_left = np.maximum.reduceat(left, head)
+    one = np.minimum.reduceat(group, head) == np.maximum.reduceat(group, head)
+    parities = [_folded(bits[a : a + BLOCK]) for a in head]
+    for k, a in enumerate(head):
+        # Blocks from this one on: near enough in size, enough left, not both of one group.
+        others = np.arange(k, np.searchsorted(low, DEN * high[k] // NUM, side="right"))
+        bound = np.minimum(most_left[others], most_left[k])
+        others = others[(bound >= needed(low[others], low[k])) & ~(one[k] & one[others] & (group[head[others]] == group[a]))]
+        mine = np.arange(a, min(a + BLOCK, len(n)))
+        for other in others:
+            theirs = np.arange(head[other], min(head[other] + BLOCK, len(n)))
+            least = needed(n[mine][:, None], n[theirs][None, :])
+            meet = (theirs[None, :] > mine[:, None]) & (group[mine][:, None] != group[theirs][None, :])
+            meet &= np.minimum(left[mine][:, None], left[theirs][None, :]) >= least
+            i, j = np.nonzero(meet)
+            if not len(i):
+                continue
+            p, q = parities[k], parities[other]
+            while p.shape[1] > q.shape[1]:
+                p = p[:, : p.shape[1] // 2] ^ p[:, p.shape[1] // 2 :]
+            while q.shape[1] > p.shape[1]:
+                q = q[:, : q.shape[1] // 2] ^ q[:, q.shape[1] // 2 :]
+            shared = (n[mine[i]] + n[theirs[j]] - np.bitwise_count(p[i] ^ q[j]).sum(axis=1, dtype=np.int64)) // 2
+            keep = shared >= least[i, j]
+            if keep.any():
+                yield _pairs(doc[mine[i[keep]]], doc[theirs[j[keep]]])
 
 
 def _with_ids(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
@@ -286,7 +327,7 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     seen = cut(docs.mapInArrow(_survey, "shingle long, doc_id long, n long, k1 long, k2 long, bits binary"))
     sizes = seen.where("shingle IS NULL").drop("shingle")
     common = seen.where("shingle IS NOT NULL").groupBy("shingle").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "shingle").limit(MAX_COMMON)
-    last = spark.sparkContext.broadcast(np.sort(np.array([r.shingle for r in common.collect()], dtype=np.int64).view(np.uint64)))
+    last = spark.sparkContext.broadcast(np.sort(common.select("shingle").toPandas()["shingle"].to_numpy(dtype=np.int64).view(np.uint64)))
 
     equal = sizes.where("n > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("least"))
     copies = cut(sizes.where("n > 0").join(equal, ["k1", "k2"]).where("doc_id <> least").select("doc_id", "least"))
@@ -309,14 +350,17 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     lists = rows.repartition(n, "shingle").sortWithinPartitions("shingle", size, "doc_id")
     lists = cut(lists.mapInArrow(_in_lists, "shingle long, doc_id long, place long"))
 
-    near = cut(lists.mapInArrow(_nearby, "u long, v long").where("u <> v").distinct())  # kept lists are still in order
-    links = cut(_verified(docs, _screened(near, sizes)))
-    groups = cut(connected_components(links))
+    near = _screened(lists.mapInArrow(_nearby, "u long, v long").where("u <> v").distinct(), sizes)  # kept lists are still in order
+    # TRIES of each set's pairs are nearly sure to join what all would; the second round meets the others again, if they still matter.
+    tried = near.withColumn("k", F.row_number().over(Window.partitionBy("v").orderBy(F.xxhash64("u", "v")))).where(F.col("k") <= TRIES).select("u", "v")
+    tried = cut(tried)
+    groups = cut(connected_components(_verified(docs, tried)))
     grouped = lists.join(groups.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("shingle", "doc_id", "place", F.coalesce("component", "doc_id").alias("group"))
     grouped = grouped.repartition(n, "shingle").sortWithinPartitions("shingle", size, "doc_id")
-    mixed = cut(grouped.mapInArrow(_mixed, "shingle long, doc_id long, place long, group long"))
-    mixed = mixed.join(sizes.select("doc_id", "bits"), "doc_id").select("shingle", "doc_id", "place", "group", "bits").repartition(n, "shingle").sortWithinPartitions("shingle", size, "doc_id")
-    pairs = mixed.mapInArrow(_across, "u long, v long").distinct().join(near, ["u", "v"], "left_anti")
+    mixed = cut(grouped.mapInArrow(_mixed, "u long, v long, shingle long, doc_id long, place long, group long"))
+    long = mixed.where("u IS NULL").join(sizes.select("doc_id", "bits"), "doc_id").select("shingle", "doc_id", "place", "group", "bits")
+    long = long.repartition(n, "shingle").sortWithinPartitions("shingle", size, "doc_id").mapInArrow(_across, "u long, v long")
+    pairs = _screened(mixed.where("u IS NOT NULL").select("u", "v").distinct(), sizes).unionByName(long).distinct().join(tried, ["u", "v"], "left_anti")
     more = _verified(docs, cut(pairs))
 
     # Groups that the second round joins, then sets' groups, then copies' sets.
