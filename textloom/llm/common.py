@@ -114,18 +114,21 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df, computed once and kept in the checkpoint folder that executors share."""
+def cut(df: DataFrame, free: bool = False) -> DataFrame:
+    """df, computed once and kept in the checkpoint folder that executors share.
+
+    free: wait for the shuffle files that only df needed to go. Spark removes them when its collectors find that nothing refers to them, which may
+    otherwise be long after the next ones are written; they can be larger than the input.
+    """
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
     kept = df.checkpoint(eager=True)
-    # Shuffle files that only df needed go when the driver's collectors see that nothing refers to them; at once, as they can be larger than the input.
     del df
-    gc.collect()
-    for _ in range(2):  # the first frees what holds the references that the second finds gone
+    for _ in range(3 if free else 0):  # what the first round finds gone, refers to what the next can find
+        gc.collect()
         sc._jvm.System.gc()
-        time.sleep(0.2)
+        time.sleep(0.7)
     return kept
 
 

@@ -27,6 +27,8 @@ from textloom.llm.common import batches_of_text, cut, partitions, sequence_hashe
 
 WINDOW = 13
 ANCHOR = 6
+#: Bits of an anchor's hash; of two anchors with one hash, both are looked up.
+ANCHOR_BITS = 48
 #: Words of a reference that may be broadcast.
 MAX_BROADCAST_WORDS = 5_000_000
 
@@ -114,7 +116,7 @@ def _segments(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[n
         none = np.zeros(0, dtype=np.int64)
         return none.astype(np.uint64), none, none, none
     doc = np.repeat(np.arange(len(starts)), np.diff(before))
-    low = sequence_hashes(hashes, ANCHOR)
+    low = sequence_hashes(hashes, ANCHOR) >> np.uint64(64 - ANCHOR_BITS)
     left, reach = WINDOW - ANCHOR + 1, 1
     while reach < left:
         step = min(reach, left - reach)
@@ -145,14 +147,13 @@ def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not parts:
             continue
         anchor, doc, where = (np.concatenate(x) for x in zip(*parts, strict=True))
-        order = np.argsort(anchor, kind="stable")
-        anchor, doc, where = anchor[order], doc[order], where[order]
         if len(anchor):
-            head = np.flatnonzero(np.append(True, anchor[1:] != anchor[:-1]))
-            shared = np.minimum.reduceat(doc, head) != np.maximum.reduceat(doc, head)
-            known = np.repeat(shared, np.diff(np.append(head, len(anchor))))
-            where = where | known
-            tell = head[shared]
+            order = np.argsort(anchor, kind="stable")
+            sorted_anchor, sorted_doc = anchor[order], doc[order]
+            head = np.flatnonzero(np.append(True, sorted_anchor[1:] != sorted_anchor[:-1]))
+            shared = np.minimum.reduceat(sorted_doc, head) != np.maximum.reduceat(sorted_doc, head)
+            where[order] |= np.repeat(shared, np.diff(np.append(head, len(anchor))))
+            tell = order[head[shared]]
             anchor, doc, where = np.append(anchor, anchor[tell]), np.append(doc, doc[tell]), np.append(where, where[tell] & ~3 | 2)
         yield pa.RecordBatch.from_arrays([pa.array(anchor.view(np.int64)), pa.array(doc), pa.array(where)], ["anchor", "doc_id", "at"])
 
@@ -292,7 +293,7 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
         dealt = contents.repartition(n, own).sortWithinPartitions("anchor", "doc_id")
         return dealt.mapInArrow(_covered, "doc_id long, span long").groupBy("doc_id").agg(F.collect_list("span").alias("spans"))
 
-    return covered(cut(shared()))
+    return covered(cut(shared(), free=True))
 
 
 def keep(words: list[bytes], spans: Iterable[int]) -> list[bytes]:
