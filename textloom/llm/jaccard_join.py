@@ -39,7 +39,7 @@ BLOCK = 64
 #: leaves the second round little; that finds whatever the first has left.
 LONG, REACH, FAR_LISTS = 64, 32, 4
 #: Pairs of a set that the first round compares in full.
-TRIES = 2
+TRIES = 5
 
 
 def needed(a, b):
