@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from textloom.operators import text_stats
+from textloom.operators import graph, history, overlap, rules, scoring, text_stats
 
-MODULES = (text_stats,)
+MODULES = (text_stats, overlap, rules, scoring, history, graph)
 
 
 def queries() -> dict:
