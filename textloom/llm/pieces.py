@@ -23,9 +23,9 @@ from textloom.llm.common import extended
 
 SPACE = "▁"
 #: Units that a worker process remembers, and the most characters of one that it does.
-MEMORY_UNITS = 400_000
+MEMORY_UNITS = 250_000
 MEMORY_CHARS = 40
-MEMORY_PAIRS = 1_000_000
+MEMORY_PAIRS = 500_000
 
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 
@@ -104,8 +104,9 @@ class Coder:
     def __init__(self, model: Model):
         self.model = model
         self._pairs: dict[int, bool] = {}
-        self._units: dict[str, tuple[str, str, int]] = {}
-        self._older: dict[str, tuple[str, str, int]] = {}
+        self._units: dict[str, str] = {}
+        self._older: dict[str, str] = {}
+        self._odd: dict[str, str] = {}  # decodings of units that aren't the unit's own text
         #: Pieces that are their own encoding; no other ever occurs.
         self._alone = {p: i for p, i in model.ids.items() if (p == SPACE or p.strip(SPACE)) and self._merged(p) == [i]}
         self._automaton = ahocorasick.Automaton()
@@ -188,21 +189,23 @@ class Coder:
 
     def encode(self, text: str) -> list[int]:
         """Ids of a text, with the end id."""
-        return [int(x) for unit in self._split(text) for x in self._known(unit)[0].split()] + [self.model.end]
+        return [int(x) for unit in self._split(text) for x in self._known(unit).split()] + [self.model.end]
 
     def _split(self, text: str) -> list[str]:
         if not text:
             return []
         return self._UNIT.findall((SPACE if self.model.prefix else "") + text.replace(" ", SPACE))
 
-    def _known(self, unit: str) -> tuple[str, str, int]:
-        """Ids of a unit as text, its decoding, and the number of ids."""
+    def _known(self, unit: str) -> str:
+        """Ids of a unit as text."""
         known = self._units.get(unit)
         if known is None:
             known = self._older.get(unit)
             if known is None:
                 ids = self._unit(unit)
-                known = " ".join(map(str, ids)), self._plain(ids), len(ids)
+                known = " ".join(map(str, ids))
+                if (plain := self._plain(ids)) != unit.replace(SPACE, " "):
+                    self._odd[unit] = plain
                 if len(unit) > MEMORY_CHARS:
                     return known
             if len(self._units) >= MEMORY_UNITS:
@@ -234,13 +237,13 @@ class Coder:
 
     def digests(self, text: str | None) -> tuple[int, str, str]:
         """Number of ids, SHA-256 of the ids in decimal joined by spaces, SHA-256 of the decoded text."""
-        known = self._known
-        units = [known(u) for u in self._split(text or "")]
-        ids = " ".join([u[0] for u in units] + [str(self.model.end)])
-        plain = "".join([u[1] for u in units])
+        units = self._split(text or "")
+        ids = " ".join([*map(self._known, units), str(self.model.end)])
+        odd = self._odd
+        plain = "".join([odd.get(u, u) for u in units] if odd else units).replace(SPACE, " ")
         if self.model.prefix and plain[:1] == " ":
             plain = plain[1:]
-        return sum(u[2] for u in units) + 1, hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(plain.encode()).hexdigest()
+        return ids.count(" ") + 1, hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(plain.encode()).hexdigest()
 
 
 _coders: dict[str, Coder] = {}
