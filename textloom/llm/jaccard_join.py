@@ -34,6 +34,8 @@ MAX_COMMON = 1 << 19
 #: Most ids that are broadcast (8 bytes each); more are joined by a shuffle.
 MAX_BROADCAST_IDS = 1_000_000
 BLOCK = 64
+#: Parts in which a batch's shingles are counted.
+PARTS = 16
 #: In the first round, a set of a list of LONG sets or more meets the next REACH if the list is one of FAR_LISTS (as sets of a large group share many
 #: lists), and else only the next. As many chances as REACH join nearly all sets of a large group even where few of its pairs are alike, which
 #: leaves the second round little; that finds whatever the first has left.
@@ -113,8 +115,9 @@ def _survey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.nulls(to - at, pa.int64()), pa.array(ids[at:to]), pa.array(sizes.astype(np.int64)), *keys, _parities(values, sizes)], SURVEY)
             other = [k for k, key in enumerate(keys[0].to_pylist()) if key not in known and not known.add(key)]
             all_shingles.append(values[_take(start[other], sizes[other])[0]])
-        if all_shingles:
-            shingle, count = np.unique(np.concatenate(all_shingles), return_counts=True)
+        for part in range(PARTS if all_shingles else 0):  # by the hashes' last bits, which keeps the sorted copies small
+            own = np.concatenate([x[x % PARTS == part] for x in all_shingles])
+            shingle, count = np.unique(own, return_counts=True)
             shingle, count = shingle[count >= COMMON], count[count >= COMMON].astype(np.int64)
             none = pa.nulls(len(shingle), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(shingle.view(np.int64)), none, pa.array(count), none, none, pa.nulls(len(shingle), pa.binary())], SURVEY)
