@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from textloom.operators import graph, history, overlap, rules, scoring, text_stats
+from textloom.operators import graph, history, inference, overlap, rules, scoring, text_stats
 
-MODULES = (text_stats, overlap, rules, scoring, history, graph)
+MODULES = (text_stats, overlap, rules, scoring, history, graph, inference)
 
 
 def queries() -> dict:
