@@ -14,10 +14,19 @@ FIRE = {
     "security/sql-construction": ("ts", "'SELECT * FROM t WHERE a = ' + x"), "security/unsafe-html-render": ("tsx", "dangerouslySetInnerHTML={{ __html: x }}"), "swift/fatal-error-thrown": ("swift", "fatalError()"), "swift/force-unwrap": ("swift", "try! x()"),
     "swift/implicitly-unwrapped-optional": ("swift", "var x: View!"), "swift/print-debug": ("swift", "print(1); print(2)"), "ts/enum-vs-as-const": ("ts", "export enum A { B }"), "ts/import-type-misuse": ("ts", "import { type A } from 'b'"),
     "wcag/missing-alt": ("html", '<img src="a.png">'), "security/target-blank-no-noopener": ("html", '<a href="x" target="_blank">'), "typo/placeholder-text": ("html", '<input placeholder="Lorem ipsum">'),
+    "ai/library-reinvention": ("ts", "function debounce(f) {}\nconst chunk = (a) => a"), "ai/markdown-leakage": ("", "```ts\nimport x from 'y'"), "cpp/magic-numbers": ("cpp", "if (x == 42) {"), "cs/async-without-await": ("cs", "async Task Run() { x(); }"),
+    "dart/missing-dispose": ("dart", "TextController c = TextController();"), "dart/unwrapped-futures": ("dart", "  save(x);"), "go/nil-slice-vs-empty": ("go", "var xs []int\nxs = []int{}"), "java/suspicious-implementation": ("java", "boolean validateToken(String t) { return true; }"),
+    "java/thread-sleep-in-loop": ("java", "while (x) { Thread.sleep(5); }"), "kt/coroutine-cancellation-missing": ("kt", "launch { work() }"), "kt/string-template-injection": ("kt", 'db.rawQuery("SELECT $x")'), "rb/n-plus-one-query": ("rb", "a.each do |x|\n  x.items.count\nend"),
+    "security/missing-auth-check": ("ts", "export async function POST(req) { return x }"), "security/public-admin-route": ("ts", "app.get('/admin/users', f)"), "security/dangerous-cors": ("ts", "cors({ origin: '*' })"), "swift/strong-self-capture": ("swift", "run { x in self.y() }"),
+    "test/fake-placeholder": ("ts", "{ name: 'John Doe' }"), "test/weak-assertion": ("ts", "expect(true).toBe(true)"), "ts/excessive-type-assertion": ("ts", "x as unknown as Y"), "ts/never-vs-unknown": ("ts", "function f(): never { g() }"),
+    "dead/dead-branch": ("ts", "if (false) { x() }"), "dead/unreachable": ("ts", "  return x;\n  y();"), "perf/cls-image": ("html", '<img loading="lazy" src="x">'), "wcag/focus-appearance": ("html", '<a class="outline-none x">'),
+    "wcag/focus-obscured": ("html", '<div class="fixed top-0">'), "component/giant-component": ("tsx", "function Big() {\n" + "x\n" * 210 + "}"), "component/multiple-components-per-file": ("tsx", "function A() {}\nfunction B() {}"), "logic/reactive-hook-soup": ("tsx", "useEffect(a); useEffect(b); useEffect(c)"),
+    "logic/key-prop-missing": ("tsx", "xs.map(x => <li>{x}</li>)"), "visual/arbitrary-escape": ("html", "w-[3px] h-[4px] p-[5px]"), "visual/inline-style-dominance": ("html", '<a style="x:1"><b style="y:2"><i style="z:3">'), "visual/math-default-font": ("html", "font-sans font-serif font-mono"),
 }
 QUIET = {
     "wcag/missing-alt": ("html", '<img src="a.png" alt="x">'), "security/target-blank-no-noopener": ("html", '<a href="x" target="_blank" rel="noopener">'), "ai/fetch-default-overuse": ("ts", "import axios; fetch(a); fetch(b); fetch(c)"),
-    "security/eval": ("js", "// eval(x)\nevaluate(x)"), "swift/force-unwrap": ("swift", "a != b"), "rust/unwrap-in-production": ("rs", "#[cfg(test)] x.unwrap()"), "security/hardcoded-secret": ("", 'token = "short"'), "dart/print-debug": ("py", "print(x)"),
+    "security/eval": ("js", "// eval(x)\nevaluate(x)"), "swift/force-unwrap": ("swift", "a != b"), "rust/unwrap-in-production": ("rs", "#[cfg(test)] x.unwrap()"), "security/hardcoded-secret": ("", 'token = "short"'), "dart/print-debug": ("py", "print(x)"), "cs/async-without-await": ("cs", "async Task Run() { await x(); }"), "logic/key-prop-missing": ("tsx", "xs.map(x => <li key={x}>{x}</li>)"),
+    "dead/unreachable": ("ts", "  if (a) return x;\n}\n  y();"), "security/missing-auth-check": ("ts", "export async function POST(req) { await requireAuth(req) }"), "wcag/focus-appearance": ("html", '<a class="outline-none focus-visible:ring-2">'), "go/nil-slice-vs-empty": ("go", "var xs []int\nys = []int{}"),
 }
 
 
@@ -41,3 +50,14 @@ def test_rules_fire_where_they_should(fired):
 def test_lines(spark):
     frame = spark.createDataFrame([(1, "js", "a\nb\neval(x)")], "doc_id long, ext string, text string")
     assert [(r.rule_id, r.n, r.line) for r in pattern_findings(frame, extension_col="ext").collect()] == [("security/eval", 1, 3)]
+
+
+def test_families(spark):
+    from textloom.operators.families import class_gini, fired
+
+    texts = [(1, "rounded-md " * 6), (2, "gap-2 " * 9 + "gap-4"), (3, " ".join(f"rounded-{k}" for k in "abcdefgh")), (4, "grid-cols-3 " * 4), (5, None), (6, "")]
+    frame = spark.createDataFrame(texts, "doc_id long, text string")
+    got = {(r.doc_id, r.rule_id) for r in fired(frame).collect()}
+    assert {(1, "visual/math-rounded-entropy"), (2, "layout/gap-monopoly"), (4, "layout/math-grid-uniformity")} <= got and not any(d in (5, 6) for d, _ in got) and (3, "visual/math-rounded-entropy") not in got
+    g = class_gini(spark.createDataFrame([(1, '<a class="x y"><b class="x"><i class="x">')], "doc_id long, text string")).first()
+    assert (g.classes, g.total, g.gini) == (2, 4, 0.25)

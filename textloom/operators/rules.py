@@ -73,6 +73,38 @@ PATTERNS = (
     Pattern("wcag/missing-alt", "wcag", "medium", False, r"(?i)<img\b(?![^>]*\balt\s*=)(?![^>]*\brole\s*=\s*['\"]?(?:presentation|none))[^>]*>", "tsx|jsx|vue|svelte|html"),
     Pattern("security/target-blank-no-noopener", "security", "medium", False, r"(?i)<a\b(?=[^>]*\btarget\s*=\s*['\"]?_blank)(?![^>]*\brel\s*=\s*['\"][^'\"]*no(?:opener|referrer))[^>]*>", "tsx|jsx|vue|svelte|html"),
     Pattern("typo/placeholder-text", "typo", "low", False, r"(?i)placeholder\s*=\s*['\"](?:lorem ipsum|enter text|your text here|placeholder)[^'\"]*['\"]", "tsx|jsx|vue|svelte|html"),
+    Pattern("ai/library-reinvention", "ai", "medium", True, r"\bfunction\s+(?:debounce|throttle|deepClone|cloneDeep|groupBy|chunk|uniq|classNames)\b|\bconst\s+(?:debounce|throttle|deepClone|cloneDeep|groupBy|chunk|uniq|classNames)\s*=", SCRIPT, 2, r"lodash|ramda|clsx|classnames"),
+    Pattern("ai/markdown-leakage", "ai", "high", True, r"\A\s*```[a-z]*\s*\n\s*(?:import|const|let|function|class|export|def|package|#include)\b", "", 1, "", False),
+    Pattern("cpp/magic-numbers", "typo", "low", True, r"(?m)^(?!.*\b(?:const|constexpr|#define)\b).*(?:[<>=]=?|\breturn)\s*(?:[2-9]\d|\d{3,})\b", "c|cc|cpp|h|hpp"),
+    Pattern("cs/async-without-await", "logic", "medium", False, r"\basync\s+[\w<>]+\s+\w+\s*\([^)]*\)\s*\{(?:(?!\bawait\b)[^{}])*\}", "cs"),
+    Pattern("dart/missing-dispose", "logic", "high", True, r"\b\w*Controller\s+\w+\s*=\s*\w*Controller\s*\(", "dart", 1, r"\.dispose\s*\("),
+    Pattern("dart/unwrapped-futures", "logic", "high", True, r"(?m)^\s*(?!await\b|return\b|throw\b|print\b|setState\b|runZoned\b|debugPrint\b|if\b|for\b|while\b|switch\b)[a-z]\w*\([^;{]*\);\s*$", "dart"),
+    Pattern("go/nil-slice-vs-empty", "typo", "low", True, r"\bvar\s+(\w+)\s+\[\]\w+[\s\S]*?\b\1\s*=\s*(?:\[\]\w+\{\}|make\s*\(\s*\[\])", "go"),
+    Pattern("java/suspicious-implementation", "security", "high", False, r"\b(?:validate|verify|authenticate|authorize|encrypt|sanitize)\w*\s*\([^)]*\)\s*(?:throws\s+\w+\s*)?\{\s*(?:return\s+(?:true|null|\w+)\s*;)?\s*\}", "java"),
+    Pattern("java/thread-sleep-in-loop", "perf", "medium", False, r"\b(?:for|while)\s*\([^)]*\)\s*\{[^{}]*\bThread\.sleep\s*\(", "java"),
+    Pattern("kt/coroutine-cancellation-missing", "logic", "medium", False, r"\b(?:launch|async)\s*\{(?:(?!isActive|ensureActive|cancel|withTimeout|yield)[^{}])*\}", "kt"),
+    Pattern("kt/string-template-injection", "security", "high", False, r"(?:rawQuery|execSQL|exec|File)\s*\(\s*\"[^\"\n]*\$\{?\w", "kt", 1, "", False),
+    Pattern("rb/n-plus-one-query", "perf", "medium", False, r"\.each\s+do\s*\|(\w+)\|[^\n]*\n(?:(?!\bend\b)[\s\S])*?\b\1\.\w+\.(?:each|map|count|first|where|to_a)\b", "rb", 1, r"\b(?:includes|preload|eager_load)\s*\("),
+    Pattern("security/missing-auth-check", "security", "medium", False, r"\bexport\s+(?:async\s+)?function\s+(?:GET|POST|PUT|PATCH|DELETE)\b", "ts|js", 1, r"(?i)auth|session|token|getUser|currentUser|verify"),
+    Pattern("security/public-admin-route", "security", "medium", False, r"['\"`]/(?:api/)?(?:admin|internal|superuser)\b[^'\"`]*['\"`]", SCRIPT, 1, r"(?i)role|permission|isAdmin|authorize"),
+    Pattern("security/dangerous-cors", "security", "medium", True, r"Access-Control-Allow-Origin['\"]?\s*[,:]\s*['\"]\*['\"]|\borigin\s*:\s*(?:true|['\"]\*['\"])", SCRIPT),
+    Pattern("swift/strong-self-capture", "logic", "medium", True, r"\{\s*(?!\[(?:weak|unowned))[^{}\[]*\bin\b[^{}]*\bself\.", "swift"),
+    Pattern("test/fake-placeholder", "test", "high", True, r"(?i)\b(?:name|email|password)\s*:\s*['\"](?:john doe|jane doe|test@(?:test|example)\.com|password123|foo|bar)['\"]", "ts|tsx|js|jsx"),
+    Pattern("test/weak-assertion", "test", "medium", True, r"expect\s*\(\s*(true|false|1|0)\s*\)\s*\.\s*toBe\s*\(\s*\1\s*\)|\.toBe(?:Defined|Truthy)\s*\(\s*\)", "ts|tsx|js|jsx"),
+    Pattern("ts/excessive-type-assertion", "typo", "low", True, r"\bas\s+unknown\s+as\b", "ts|tsx"),
+    Pattern("ts/never-vs-unknown", "typo", "low", True, r"\)\s*:\s*never\s*\{(?:(?!\b(?:throw|while|for)\b)[^{}])*\}", "ts|tsx"),
+    Pattern("dead/dead-branch", "logic", "medium", True, r"\b(?:if|while)\s*\(\s*(?:false|0)\s*\)", SCRIPT),
+    Pattern("dead/unreachable", "logic", "high", True, r"(?m)^\s*(?:return\b[^\n;{}]*|throw\b[^\n;{}]*|break|continue)\s*;[ \t]*\n[ \t]*(?!\}|case\b|default\b|//|/\*|function\b)[A-Za-z_$]", SCRIPT),
+    Pattern("perf/cls-image", "perf", "low", False, r"(?i)<img\b(?=[^>]*\bloading\s*=\s*['\"]lazy)(?![^>]*\b(?:width|height)\s*=)(?![^>]*aspect-)[^>]*>", "tsx|jsx|vue|svelte|html"),
+    Pattern("wcag/focus-appearance", "wcag", "high", False, r"(?i)class(?:Name)?\s*=\s*['\"](?=[^'\"]*\boutline-none\b)(?![^'\"]*focus-visible:ring)[^'\"]*['\"]", "tsx|jsx|vue|svelte|html"),
+    Pattern("wcag/focus-obscured", "wcag", "low", False, r"(?i)class(?:Name)?\s*=\s*['\"](?=[^'\"]*\b(?:fixed|sticky)\b)(?![^'\"]*\bscroll-(?:mt|pt|m|p)-)[^'\"]*['\"]", "tsx|jsx|vue|svelte|html"),
+    Pattern("component/giant-component", "component", "high", True, r"(?s)\bfunction\s+[A-Z]\w*\s*\([^)]*\)\s*\{(?:[^\n]*\n){201,}", "tsx|jsx"),
+    Pattern("component/multiple-components-per-file", "component", "medium", False, r"\bfunction\s+[A-Z]\w*\s*\(|\bconst\s+[A-Z]\w*\s*=\s*\([^)]*\)\s*=>", "tsx|jsx", 2),
+    Pattern("logic/reactive-hook-soup", "logic", "medium", True, r"\buseEffect\s*\(", "tsx|jsx|ts|js", 3),
+    Pattern("logic/key-prop-missing", "logic", "high", False, r"\.map\s*\(\s*\(?[\w, ]+\)?\s*=>\s*\(?\s*<(?!>)(?![^>]*\bkey\s*=)[^>]*>", "tsx|jsx"),
+    Pattern("visual/arbitrary-escape", "visual", "medium", True, r"\b(?:w|h|p|m|top|left|gap|inset)[xytrbl]?-\[[^\]]+\]", "tsx|jsx|vue|svelte|html", 3),
+    Pattern("visual/inline-style-dominance", "visual", "medium", False, r"(?i)\bstyle\s*=\s*(?:['\"][^'\"]+['\"]|\{\{[^}]+\}\})", "tsx|jsx|vue|svelte|html", 3),
+    Pattern("visual/math-default-font", "visual", "high", True, r"\bfont-(?:sans|serif|mono)\b", "tsx|jsx|vue|svelte|html", 3, r"@font-face|next/font|fonts\.googleapis"),
 )
 #: (rule, category, severity, AI-specific) of the statistical rules.
 STATISTICAL = (
