@@ -44,9 +44,9 @@ def similar_pairs(docs: DataFrame, num: int, den: int) -> DataFrame:
     before the join. Only sizes near one another meet, and each pair is compared in full once. Of units with equal texts, the first stands for all
     in the join, and pairs of representatives are expanded in the end.
     """
-    single = Window.partitionBy("lang", "h")
-    every = shingled(docs).withColumn("rep", F.min("doc_id").over(single))
-    sets = every.where("doc_id = rep").drop("rep")
+    keys = docs.select("doc_id", F.coalesce("lang", F.lit("")).alias("k"), F.sha2("text", 256).alias("h"))
+    reps = keys.groupBy("k", "h").agg(F.min("doc_id").alias("rep"))
+    sets = shingled(docs.join(reps.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi"))
     rows = sets.select("doc_id", "lang", "n", F.explode("s").alias("x"))
     df = rows.groupBy("lang", "x").agg(F.count("*").alias("df"))
     ranked = rows.join(df, ["lang", "x"]).withColumn("k", F.row_number().over(Window.partitionBy("doc_id").orderBy("df", "x")))
@@ -57,7 +57,7 @@ def similar_pairs(docs: DataFrame, num: int, den: int) -> DataFrame:
     sides = [sets.select(F.col("doc_id").alias(k), F.col("s").alias(f"s{k}")) for k in "lr"]
     both = pairs.join(sides[0], "l").join(sides[1], "r").withColumn("i", F.size(F.array_intersect("sl", "sr")))
     both = both.withColumn("u", F.size("sl") + F.size("sr") - F.col("i")).where(den * F.col("i") >= num * F.col("u")).select("l", "r", "i", "u")
-    copies = every.select("doc_id", "rep")
+    copies = keys.join(reps, ["k", "h"]).select("doc_id", "rep")
     out = both.join(copies.select(F.col("rep").alias("l"), F.col("doc_id").alias("x")), "l").join(copies.select(F.col("rep").alias("r"), F.col("doc_id").alias("y")), "r")
     return out.select(F.least("x", "y").alias("left_id"), F.greatest("x", "y").alias("right_id"), F.col("i").cast("long").alias("intersection"), F.col("u").cast("long").alias("union_size"))
 
