@@ -21,6 +21,7 @@ from textloom.llm.common import extended
 #: Bounds of the training sample: documents of each language, characters of each document, bytes of each dictionary.
 SAMPLE_DOCS = 400
 SAMPLE_CHARS = 4096
+SPARE = 4
 DICTIONARY_BYTES = 1 << 17
 LEVEL = 6
 #: A text is rejected where the second smallest size is above the smallest by less than this part of it.
@@ -37,14 +38,17 @@ def plain(text: str) -> str:
 
 
 def learn(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", order: Column | None = None) -> dict[str, bytes]:
-    """A dictionary for each language, most common first, from a bounded sample: SAMPLE_DOCS documents of each at most, in the order given
-    (by default of a hash of the text). Null texts and null languages teach nothing.
+    """A dictionary for each language, most common first, from a bounded sample: SAMPLE_DOCS documents of each at most, by the hash given
+    (by default of the text). Null texts and null languages teach nothing.
     """
     rows = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     rows = rows.select(F.col(lang_col).alias("lang"), F.substring(text_col, 1, SAMPLE_CHARS).alias("text"), (F.xxhash64(text_col) if order is None else order).alias("o"))
-    common = [r.lang for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").collect()]
-    # Each task passes on no more than the sample's bound.
-    first = rows.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("o", "text"))).where(F.col("n") <= SAMPLE_DOCS)
+    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").collect()  # a row for each language
+    common = [r.lang for r in counts]
+    # Of each language, those least by the hash up to SPARE times the sample's size are looked at; so no task gets more than that, whatever the corpus.
+    parts = F.create_map(*[F.lit(x) for r in counts for x in (r.lang, min(1.0, SPARE * SAMPLE_DOCS / r["count"]))]) if counts else F.create_map(F.lit(""), F.lit(1.0))
+    some = rows.where((F.col("o").cast("double") + 2.0**63) / 2.0**64 <= F.coalesce(parts[F.col("lang")], F.lit(1.0)))
+    first = some.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("o", "text"))).where(F.col("n") <= SAMPLE_DOCS)
     texts: dict[str, dict[str, None]] = {lang: {} for lang in common}
     for r in sorted(first.collect(), key=lambda r: r.n):
         if t := plain(r.text):
