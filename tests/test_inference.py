@@ -2,7 +2,7 @@ from math import comb
 
 from pyspark.sql import functions as F
 
-from textloom.operators.inference import check_constitution, clopper_pearson, find_similar, fisher, louvain
+from textloom.operators.inference import bootstrap, check_constitution, clopper_pearson, find_similar, fisher, louvain, posterior, wilcoxon
 from textloom.sources import sinks
 
 
@@ -43,3 +43,18 @@ def test_reports(spark, tmp_path):
     sinks.append_history(f.select(F.lit(1).alias("x")), str(tmp_path / "history"))
     sinks.append_history(f.select(F.lit(2).alias("x")), str(tmp_path / "history"))
     assert spark.read.parquet(str(tmp_path / "history")).count() == 2
+
+
+def test_wilcoxon_and_posterior():
+    assert wilcoxon([]) == (0.0, 1.0) and wilcoxon([0, 0]) == (0.0, 1.0)
+    assert wilcoxon([1, -1])[0] == 1.5 and wilcoxon([1, -1])[1] == 1.0
+    assert wilcoxon(list(range(1, 21)))[1] < 0.001
+    assert posterior(0.5, []) == 0.5 and abs(posterior(0.3, [2.0, 3.5]) - 0.75) < 1e-9
+
+
+def test_bootstrap(spark):
+    rows = spark.createDataFrame([(g, float((g * 7 + k) % 5)) for g in range(60) for k in range(10)] + [(1, None)], "g long, v double")
+    r = bootstrap(rows, "g", "v", 200).first()
+    assert r["mean"] == 2.0 and r.low <= 2.0 <= r.high and r.high - r.low < 1
+    spread = bootstrap(spark.createDataFrame([(g, float(g)) for g in range(60)], "g long, v double"), "g", "v", 300).first()
+    assert 20 < spread.low < 29.5 < spread.high < 39

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from math import comb, exp, lgamma, log
+from math import comb, erfc, exp, factorial, lgamma, log
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -110,6 +110,49 @@ def _tail(k: int, n: int, p: float) -> float:
     return sum(_mass(i, n, p) for i in range(k, n + 1))
 
 
+def wilcoxon(differences: list[float]) -> tuple[float, float]:
+    """Signed-rank statistic (the smaller sum) and two-sided normal p-value: zeros dropped, tied sizes share their mean rank."""
+    some = sorted((abs(d), d > 0) for d in differences if d != 0)
+    n = len(some)
+    if not n:
+        return 0.0, 1.0
+    up = down = 0.0
+    at = 0
+    while at < n:
+        to = at
+        while to < n and some[to][0] == some[at][0]:
+            to += 1
+        rank = (at + 1 + to) / 2
+        for _, positive in some[at:to]:
+            up, down = (up + rank, down) if positive else (up, down + rank)
+        at = to
+    z = (min(up, down) - n * (n + 1) / 4) / (n * (n + 1) * (2 * n + 1) / 24) ** 0.5
+    return min(up, down), min(1.0, erfc(abs(z) / 2**0.5))
+
+
+def bootstrap(rows: DataFrame, group: str, value: str, replicates: int = 1000, seed: int = 1) -> DataFrame:
+    """One row: the mean of a value with the 2.5 and 97.5 percentiles of means over groups drawn with replacement.
+
+    Executors reduce the rows to a sum and a number for each group; the draw of groups is a Poisson weight by hash for each group and replicate, so
+    no task holds all groups.
+    """
+    g = rows.where(F.col(value).isNotNull()).groupBy(group).agg(F.sum(value).alias("s"), F.count("*").alias("n"))
+    u = (F.xxhash64(F.col(group).cast("string"), "r", F.lit(seed)).cast("double") + 2.0**63) / 2.0**64
+    steps = [F.lit(exp(-1) * sum(1 / factorial(i) for i in range(k + 1))) for k in range(8)]
+    drawn = g.withColumn("r", F.explode(F.sequence(F.lit(1), F.lit(replicates)))).withColumn("w", sum(((u > c).cast("int") for c in steps), F.lit(0)))
+    means = drawn.groupBy("r").agg((F.sum(F.col("w") * F.col("s")) / F.nullif(F.sum(F.col("w") * F.col("n")), F.lit(0))).alias("m")).where("m IS NOT NULL")
+    whole = g.agg((F.sum("s") / F.nullif(F.sum("n"), F.lit(0))).alias("mean"))
+    return whole.crossJoin(means.agg(F.expr("percentile(m, 0.025)").alias("low"), F.expr("percentile(m, 0.975)").alias("high")))  # a row each
+
+
+def posterior(prior: float, ratios: list[float]) -> float:
+    """Probability after independent likelihood ratios."""
+    odds = prior / (1 - prior)
+    for r in ratios:
+        odds *= r
+    return odds / (1 + odds)
+
+
 def bh_fdr(spark: SparkSession, folder: str, alpha: float = 0.05) -> DataFrame:
     """Rules whose fires differ between arms by the exact test, false discoveries held at alpha. There are as many rows as rules."""
     c = scoring.rule_confusion(spark, folder)
