@@ -363,3 +363,12 @@ def test_components(spark):
     least = components_of({x for e in edges for x in e}, edges)
     got = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "u long, v long")).collect()}
     assert all(got.get(n, n) == c for n, c in least.items())
+
+
+def test_rows_without_ids(spark):
+    docs = spark.createDataFrame([(None, "a b c d e f"), (1, "a b c d e f"), (None, None)], "doc_id long, text string")
+    assert [(r.doc_id, r.component_id) for r in jaccard_join.components(docs).collect()] == [(1, 1)]
+    vectors = spark.createDataFrame([(None, [1.0, 2.0], 1), (1, [1.0, 2.0], 1), (2, [1.0, 2.0], 1)], "vec_id long, embedding array<double>, label int")
+    assert sorted((str(r.vec_id), r.n_links) for r in embedding_dedup.near_duplicates(vectors).collect()) == [("1", 1), ("2", 1), ("None", 0)]
+    assert fingerprints.with_next(docs).count() == 1 and mixing.mix_sources(docs.withColumn("source", F.lit("s"))).count() == 3
+    assert pieces.digests(docs, pieces.default_model()).count() == 3 and personal_data.personal_spans(docs).count() == 3

@@ -77,13 +77,13 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98, id_col: str = "
     """(vec_id, n_links, component_id, kept): vectors linked directly, least id that links reach, and whether that's its own.
 
     Vectors link if their labels are equal and not null, they have one length, and their cosine in double precision is at least threshold. Those
-    that are null, empty, zero or hold null, NaN or infinite components link with nothing. Ids should be unique. Other columns are ignored.
+    that are null, empty, zero or hold null, NaN or infinite components, or have no id, link with nothing. Ids should be unique. Other columns are ignored.
     """
     spark = vectors.sparkSession
     n = partitions(spark)
     given = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("v"), F.col(label_col).alias("label"))
     fine = F.forall("v", lambda x: F.coalesce(~F.isnan(x) & (F.abs(x) != float("inf")), F.lit(False))) & F.exists("v", lambda x: x != 0)
-    sound = given.where(F.col("label").isNotNull() & F.col("v").isNotNull()).where(fine)
+    sound = given.where(F.col("label").isNotNull() & F.col("v").isNotNull() & F.col("vec_id").isNotNull()).where(fine)
     # An equal vector is told by its components; -0.0 and 0.0 are one.
     same = sound.withColumn("v", F.transform("v", lambda x: x + F.lit(0.0))).groupBy("label", "v")
     single = cut(same.agg(F.min("vec_id").alias("vec_id"), F.count("*").alias("m")).withColumn("g", F.xxhash64("label", F.size("v"))).withColumn("d", F.size("v")))
@@ -147,7 +147,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98, id_col: str = "
     counts = found.groupBy(F.col("u").alias("rep")).agg(F.sum("links").alias("links"))
     groups = connected_components(found.select("u", "v"))
     reps = single.select("label", F.col("v").alias("w"), F.col("vec_id").alias("rep"), "m")
-    clean = given.withColumn("sound", F.col("label").isNotNull() & F.col("v").isNotNull() & F.coalesce(fine, F.lit(False)))
+    clean = given.withColumn("sound", F.col("label").isNotNull() & F.col("v").isNotNull() & F.col("vec_id").isNotNull() & F.coalesce(fine, F.lit(False)))
     clean = clean.withColumn("w", F.when(F.col("sound"), F.transform("v", lambda x: x + F.lit(0.0))))
     named = clean.join(reps, ["label", "w"], "left")
     named = named.select("vec_id", "rep", "m").join(counts, "rep", "left").join(groups.withColumnRenamed("node", "rep"), "rep", "left")

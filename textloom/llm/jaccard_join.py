@@ -322,9 +322,9 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """(doc_id, n_shingles, component_id) of docs: the size of each document's set and the least id that links reach, its own included.
 
     A set holds the runs of WIDTH words, A-Z lower-cased; a text with fewer words is one shingle, a text without words (or null) has an empty
-    set and links with nothing. Ids should be unique; rows with one id are linked where both have sets. Other columns are ignored.
+    set and links with nothing. Ids should be unique; rows with one id are linked where both have sets, and rows without an id are left out. Other columns are ignored.
     """
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id IS NOT NULL")
     spark = docs.sparkSession
     n = partitions(spark)
     seen = cut(docs.mapInArrow(_survey, "shingle long, doc_id long, n long, k1 long, k2 long, bits binary"))
