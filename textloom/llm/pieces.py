@@ -23,7 +23,7 @@ from textloom.llm.common import extended
 
 SPACE = "▁"
 #: Units that a worker process remembers, and the most characters of one that it does.
-MEMORY_UNITS = 250_000
+MEMORY_UNITS = 350_000
 MEMORY_CHARS = 40
 MEMORY_PAIRS = 500_000
 
@@ -238,7 +238,8 @@ class Coder:
     def digests(self, text: str | None) -> tuple[int, str, str]:
         """Number of ids, SHA-256 of the ids in decimal joined by spaces, SHA-256 of the decoded text."""
         units = self._split(text or "")
-        ids = " ".join([*map(self._known, units), str(self.model.end)])
+        held, known = self._units.get, self._known
+        ids = " ".join([held(u) or known(u) for u in units] + [str(self.model.end)])
         odd = self._odd
         plain = "".join([odd.get(u, u) for u in units] if odd else units).replace(SPACE, " ")
         if self.model.prefix and plain[:1] == " ":
