@@ -329,7 +329,15 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     n = partitions(spark)
     seen = cut(docs.mapInArrow(_survey, "shingle long, doc_id long, n long, k1 long, k2 long, bits binary"))
     sizes = seen.where("shingle IS NULL").drop("shingle")
-    common = seen.where("shingle IS NOT NULL").groupBy("shingle").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "shingle").limit(MAX_COMMON)
+    counted = cut(seen.where("shingle IS NOT NULL").groupBy("shingle").agg(F.sum("n").alias("n")).withColumn("level", F.floor(F.log2("n") * 16).cast("int")))
+    # The least level from which on no more than MAX_COMMON are listed; levels are few, whatever the corpus, and so is what reaches the driver.
+    lowest, left = None, MAX_COMMON
+    for r in counted.groupBy("level").agg(F.count("*").alias("many")).orderBy(F.desc("level")).collect():
+        left -= r.many
+        if left < 0:
+            break
+        lowest = r.level
+    common = counted.where(F.col("level") >= lowest) if lowest is not None else counted.limit(0)
     last = spark.sparkContext.broadcast(np.sort(common.select("shingle").toPandas()["shingle"].to_numpy(dtype=np.int64).view(np.uint64)))
 
     equal = sizes.where("n > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("least"))
