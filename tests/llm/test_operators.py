@@ -317,6 +317,17 @@ def test_personal_data(spark, none):
     assert personal_data.personal_spans(none).count() == 0
 
 
+def test_cards_with_separated_digits(spark):
+    digits = ["4111111111111111", "0" * 14, "0" * 19, "4111111111111112", "0" * 13, "0" * 20]
+    texts = [f"x {sep.join(d)} y" for d in digits for sep in (" ", "-", "")] + ["4-1 1-1 1-1 1-1 1-1 1-1 1-1 1-1"]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r for r in personal_data.personal_spans(frame).collect()}
+    assert [len(got[k].card) for k in range(len(texts))] == [1] * 9 + [0] * 9 + [1]
+    assert [[(s.start, s.rank, s.kind, s.end) for s in got[k].base] for k in range(len(texts))] == [base_spans(t) for t in texts]
+    j = frame.where("doc_id = 0").join(personal_data.personal_spans(frame).select("doc_id", "spans"), "doc_id")
+    assert j.select(personal_data.masked(F.col("text"), F.col("spans"))).first()[0] == "x [CARD] y"
+
+
 def test_patterns_find_more(spark):
     rows_ = [(k, f"w{k} please call +1 415 555 {1000 + k} now") for k in range(12)] + [(20, "x please call 4155551234 now"), (21, "x never say 4155551234 now")]
     got = {r.doc_id: r.spans for r in personal_data.personal_spans(spark.createDataFrame(rows_, "doc_id long, text string")).collect()}

@@ -89,7 +89,7 @@ def formats(text: Column) -> dict[str, Column]:
     return {
         "email": of(F.contains(text, F.lit("@")), EMAIL),
         "ip": of(text.rlike(r"[0-9]\.[0-9]"), IP, _octets),
-        "card": of(text.rlike("[0-9][0-9 -]{12}[0-9]"), CARD, _luhn),
+        "card": of(text.rlike(r"[0-9](?:[\x20-]?[0-9]){13}"), CARD, _luhn),
         "phone": of(F.contains(text, F.lit("+")), PHONE, lambda v: F.length(_digits(v)).between(10, 15)),
     }
 
