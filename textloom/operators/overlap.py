@@ -134,7 +134,7 @@ y AS (SELECT *, CASE WHEN li - lag(li, 1, -100) OVER (PARTITION BY l, r, d ORDER
 z AS (SELECT *, sum(new) OVER (PARTITION BY l, r, d ORDER BY li) AS isle FROM y)
 SELECT l AS left_id, r AS right_id, min(li)::INT AS left_line, (min(li) + d)::INT AS right_line, (max(li) - min(li) + 20)::INT AS n_lines FROM z GROUP BY l, r, d, isle"""
 
-PERMS, ROWS = 64, 4
+PERMS, ROWS = 128, 4
 
 
 def _signatures(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -153,17 +153,37 @@ def minhash(docs: DataFrame) -> DataFrame:
     return shingled(docs).select("doc_id", "lang", "s").mapInPandas(_signatures, "doc_id long, lang string, sig array<long>")
 
 
-def lsh_candidates(spark: SparkSession, folder: str) -> DataFrame:
-    """Pairs that share a band of ROWS minimums, with the part of all minimums that agree. Equal signatures meet through their first document."""
-    sigs = minhash(units(spark, folder)).withColumn("rep", F.min("doc_id").over(Window.partitionBy("sig")))
-    reps = sigs.where("doc_id = rep")
-    bands = reps.select("doc_id", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(PERMS // ROWS - 1)), lambda b: F.xxhash64(b, F.slice("sig", b * ROWS + 1, ROWS)))).alias("band", "h"))
-    a, b = bands.select("band", "h", F.col("doc_id").alias("left_id")), bands.select("band", "h", F.col("doc_id").alias("right_id"))
+def banded(docs: DataFrame) -> DataFrame:
+    """(left_id, right_id, similarity): candidates among units as classes of equal signatures and pairs of classes, so that rows grow with copies, not their square.
+
+    Similarity 1 tells membership: each unit of a class but the first, right, is with the first, left. Other rows are pairs of firsts that share a
+    band of ROWS minimums, with the part of all minimums that agree; they hold for all members of the two classes, which expanded() writes out.
+    """
+    sigs = minhash(docs)
+    reps = sigs.groupBy("sig").agg(F.min("doc_id").alias("rep"))
+    members = sigs.join(reps, "sig").where("doc_id <> rep").select(F.col("rep").alias("left_id"), F.col("doc_id").alias("right_id"), F.lit(1.0).alias("similarity"))
+    bands = reps.select("rep", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(PERMS // ROWS - 1)), lambda b: F.xxhash64(b, F.slice("sig", b * ROWS + 1, ROWS)))).alias("band", "h"))
+    a, b = bands.select("band", "h", F.col("rep").alias("left_id")), bands.select("band", "h", F.col("rep").alias("right_id"))
     pairs = a.join(b, ["band", "h"]).where("left_id < right_id").select("left_id", "right_id").distinct()
-    sides = [reps.select(F.col("doc_id").alias(f"{k}_id"), F.col("sig").alias(k)) for k in ("left", "right")]
+    sides = [reps.select(F.col("rep").alias(f"{k}_id"), F.col("sig").alias(k)) for k in ("left", "right")]
     both = pairs.join(sides[0], "left_id").join(sides[1], "right_id")
     agree = F.aggregate(F.zip_with("left", "right", lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, x: s + x)
-    return both.select("left_id", "right_id", (agree / PERMS).alias("similarity"))
+    return both.select("left_id", "right_id", (agree / PERMS).alias("similarity")).unionByName(members)
+
+
+def expanded(found: DataFrame) -> DataFrame:
+    """All pairs of units that banded() tells of, those within a class and between members of two; as many as pairs, so for small inputs."""
+    equal, pairs = found.where("similarity = 1"), found.where("similarity < 1")
+    firsts = found.select(F.explode(F.array("left_id", "right_id")).alias("doc_id")).join(equal.select(F.col("right_id").alias("doc_id")), "doc_id", "left_anti").distinct()
+    of = firsts.select(F.col("doc_id").alias("rep"), "doc_id").union(equal.select("left_id", "right_id"))
+    x, y = of.select(F.col("rep").alias("left_id"), F.col("doc_id").alias("x")), of.select(F.col("rep").alias("right_id"), F.col("doc_id").alias("y"))
+    within = x.join(y, F.col("left_id") == F.col("right_id")).where("x < y").select("x", "y", F.lit(1.0).alias("similarity"))
+    out = pairs.join(x, "left_id").join(y, "right_id").select("x", "y", "similarity").union(within)
+    return out.select(F.least("x", "y").alias("left_id"), F.greatest("x", "y").alias("right_id"), "similarity")
+
+
+def lsh_candidates(spark: SparkSession, folder: str) -> DataFrame:
+    return banded(units(spark, folder))
 
 
 QUERIES = {
