@@ -234,6 +234,18 @@ def test_embeddings(spark):
     assert embedding_dedup.near_duplicates(frame.limit(0)).count() == 0
 
 
+def test_embeddings_with_a_common_component(spark):
+    rng = np.random.default_rng(4)
+    a = embedding_dedup.unit(rng.normal(size=(1500, 64)) / 8 * 0.31 + 0.95 * np.eye(64)[0])
+    z = rng.normal(size=a.shape)
+    z = embedding_dedup.unit(z - (z * a).sum(axis=1, keepdims=True) * a)
+    x = np.vstack([a, 0.982 * a + math.sqrt(1 - 0.982**2) * z])
+    frame = spark.createDataFrame([(k, v.tolist(), 1) for k, v in enumerate(x)], "vec_id long, embedding array<double>, label int")
+    hit = embedding_dedup.unit(x) @ embedding_dedup.unit(x).T >= 0.98
+    found = sum(r.n_links for r in embedding_dedup.near_duplicates(frame).collect())
+    assert hit.sum() - len(x) >= 3000 and 0.99 * (hit.sum() - len(x)) <= found <= hit.sum() - len(x)
+
+
 def sets_of(text):
     w = words(text.translate({c: c + 32 for c in range(65, 91)}) if text else "")
     return {tuple(w[k : k + 5]) for k in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} - {()}

@@ -1,7 +1,8 @@
 """Near-duplicate embeddings by iterative quantisation.
 
 A rotation of centred, normalised vectors is learned so that the signs of the rotated coordinates are balanced, near binary codes. Runs of code
-bits are keys of several Hamming tables; vectors that share a key in any table meet, and their cosine is taken from the original vectors. Key
+bits, here signs of the rotated vectors themselves, are keys of several Hamming tables; vectors that share a key in any table meet, and their
+cosine is taken from the original vectors. Signs after the mean is subtracted would part pairs more often than their own angle says. Key
 length follows the largest label, and the number of tables follows from it, so that a pair at the threshold meets with a probability of RECALL.
 
 Equal vectors are one vector with a count. A table cell with more than BLOCK vectors is dealt into pairs of blocks, and a task sends back
@@ -27,8 +28,8 @@ RECALL = 0.999
 BLOCK = 256
 
 
-def rotations(sample: np.ndarray, count: int, seed: int = 11) -> tuple[np.ndarray, list[np.ndarray]]:
-    """The mean of normalised vectors and so many learned rotations of what is left, from different starts."""
+def rotations(sample: np.ndarray, count: int, seed: int = 11) -> list[np.ndarray]:
+    """So many rotations, learned from normalised vectors less their mean, from different starts."""
     d = sample.shape[1]
     mean = sample.mean(axis=0) if len(sample) else np.zeros(d)
     x = sample - mean
@@ -40,7 +41,7 @@ def rotations(sample: np.ndarray, count: int, seed: int = 11) -> tuple[np.ndarra
             left, _, right = np.linalg.svd(codes.T @ x)
             r = (left @ right).T
         out.append(r)
-    return mean, out
+    return out
 
 
 def unit(vectors: np.ndarray) -> np.ndarray:
@@ -51,14 +52,14 @@ def unit(vectors: np.ndarray) -> np.ndarray:
 class Tables:
     """Keys of vectors of one dimension."""
 
-    def __init__(self, mean: np.ndarray, turns: list[np.ndarray], bits: int, count: int):
-        self.mean, self.turns, self.bits, self.count = mean, turns, bits, count
+    def __init__(self, turns: list[np.ndarray], bits: int, count: int):
+        self.turns, self.bits, self.count = turns, bits, count
 
     def keys(self, units: np.ndarray) -> np.ndarray:
         """A row of keys, one for each table."""
         out = []
         for turn in self.turns:
-            code = (units - self.mean) @ turn >= 0
+            code = units @ turn >= 0
             width = min(self.bits, code.shape[1])
             weights = 1 << np.arange(width, dtype=np.int64)
             out += [code[:, k * width : (k + 1) * width] @ weights for k in range(code.shape[1] // width)]
@@ -92,7 +93,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98, id_col: str = "
     for d, largest in shapes.items():
         bits, count, turns = plan(largest, d, threshold)
         rows = single.where(F.col("d") == d).orderBy(F.xxhash64("vec_id")).limit(SAMPLE_ROWS).select("v").toPandas()
-        tables[d] = Tables(*rotations(unit(np.vstack(rows["v"].to_numpy())), turns), bits, count)
+        tables[d] = Tables(rotations(unit(np.vstack(rows["v"].to_numpy())), turns), bits, count)
     sent = spark.sparkContext.broadcast(tables)  # a matrix of d by d for each rotation
 
     def in_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
