@@ -160,15 +160,24 @@ def statistical_findings(spark: SparkSession, folder: str) -> DataFrame:
     return out
 
 
-#: The one pattern rule that prose can break.
+#: The pattern rule that the SQL of findings has.
 SECRET = next(p for p in PATTERNS if p.rule_id == "security/hardcoded-secret")
 
 
 def findings(spark: SparkSession, folder: str) -> DataFrame:
-    """All findings on documents."""
+    """Findings on documents that SQL can express too: without ai/compression-profile, as SQL has no deflate, and ai/markdown-leakage; all_findings has these."""
     return statistical_findings(spark, folder).unionByName(pattern_findings(units(spark, folder), (SECRET,)))
 
 
+def all_findings(spark: SparkSession, folder: str) -> DataFrame:
+    """All findings on documents: those of findings, compression profiles and the other pattern rules that need no extension."""
+    rule = next(r for r in STATISTICAL if r[0] == "ai/compression-profile")
+    fires = text_stats.compression_profile(spark, folder).where("fires")
+    profile = fires.select("doc_id", *[F.lit(v).alias(k) for k, v in zip(("rule_id", "category", "severity", "ai_specific"), rule, strict=True)], F.lit(1).cast("long").alias("n"), F.lit(1).alias("line"))
+    others = tuple(p for p in PATTERNS if not p.extensions and p != SECRET)
+    return findings(spark, folder).unionByName(profile).unionByName(pattern_findings(units(spark, folder), others))
+
+
 def _fired_sql() -> str:
     s = {k: v for k, v in text_stats.ORACLES.items()}
     parts = [
@@ -204,5 +213,5 @@ MARKUP_SQL = r"""WITH p AS (SELECT page_id, html, flatten(list_transform(regexp_
 SELECT page_id, len(regexp_extract_all(html, '<a\b'))::INT AS anchors, len(list_filter(regexp_extract_all(html, '(?i)<img\b[^>]*>'), lambda t: NOT regexp_matches(t, '(?i)\balt\s*=') AND NOT regexp_matches(t, '(?i)\brole\s*=\s*[''"]?(?:presentation|none)')))::INT AS missing_alt,
 len(list_filter(regexp_extract_all(html, '(?i)<a\b[^>]*>'), lambda t: regexp_matches(t, '(?i)\btarget\s*=\s*[''"]?_blank') AND NOT regexp_matches(t, '(?i)\brel\s*=\s*[''"][^''"]*no(?:opener|referrer)')))::INT AS unsafe_blank, len(c)::INT AS classes, len(list_distinct(c))::INT AS distinct_classes FROM p"""
 
-QUERIES = {"findings": findings, "markup_rules": markup_rules}
+QUERIES = {"findings": findings, "all_findings": all_findings, "markup_rules": markup_rules}
 ORACLES = {"findings": FINDINGS_SQL, "markup_rules": MARKUP_SQL}
