@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
-import time
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -32,9 +30,9 @@ _powers: dict[int, np.ndarray] = {}
 
 
 def _power(base: int, n: int) -> np.ndarray:
-    """base to the powers 0 .. n-1 modulo 2**64."""
-    if base not in _powers or len(_powers[base]) < n:
-        steps = np.full(max(n, STEP_BYTES + 1024), base, dtype=np.uint64)
+    """base to the powers 0 .. n-1 modulo 2**64, for n up to STEP_BYTES + 1."""
+    if base not in _powers:
+        steps = np.full(STEP_BYTES + 1, base, dtype=np.uint64)
         steps[0] = 1
         _powers[base] = np.multiply.accumulate(steps)
     return _powers[base][:n]
@@ -65,13 +63,34 @@ def words_of(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, fold: bool
     begin_at[inner] = True
     end_at[inner - 1] = True
     first, last = np.flatnonzero(begin_at), np.flatnonzero(end_at) + 1
-    table = _FOLDED if fold else _BYTE
-    total = np.zeros(n + 1, dtype=np.uint64)
-    np.cumsum(table[data] * _power(_BASE, n), out=total[1:])
-    hashes = mix((total[last] - total[first]) * _power(_INVERSE, n + 1)[first])
+    hashes = mix(_hashes(data, first, last, _FOLDED if fold else _BYTE))
     return first, last, hashes, np.append(np.searchsorted(first, starts), len(first))
 
 
+def _hashes(data: np.ndarray, first: np.ndarray, last: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """Polynomials of the bytes first[i] .. last[i] - 1, by steps of STEP_BYTES, whatever the length of a text or a word."""
+    out = np.empty(len(first), dtype=np.uint64)
+    at = 0
+    while at < len(first):
+        base = int(first[at])
+        to = int(np.searchsorted(last, base + STEP_BYTES, side="right"))
+        if to <= at:  # a word longer than a step
+            total = 0
+            for begin in range(base, int(last[at]), STEP_BYTES):
+                piece = table[data[begin : min(begin + STEP_BYTES, int(last[at]))]]
+                total += int((piece * _power(_BASE, len(piece))).sum(dtype=np.uint64)) * pow(_BASE, begin - base, 2**64)
+            out[at] = total % 2**64
+            at += 1
+            continue
+        part = table[data[base : last[to - 1]]]
+        sums = np.zeros(len(part) + 1, dtype=np.uint64)
+        np.cumsum(part * _power(_BASE, len(part)), out=sums[1:])
+        begin, end = first[at:to] - base, last[at:to] - base
+        out[at:to] = (sums[end] - sums[begin]) * _power(_INVERSE, len(part) + 1)[begin]
+        at = to
+    return out
+
+
 def batches_of_text(batch: pa.RecordBatch, column: str) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
     """Runs of rows of about STEP_BYTES: first row, row after the last, the bytes, where each text starts and where it ends. Null is empty."""
     text = batch.column(column)
@@ -114,22 +133,30 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def cut(df: DataFrame, free: bool = False) -> DataFrame:
-    """df, computed once and kept in the checkpoint folder that executors share.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all machines share, from spark.checkpoint.dir; only a session in one process may go without."""
+    sc = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if folder is None and not sc.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return (folder or tempfile.mkdtemp(prefix="checkpoint-")).rstrip("/")
 
-    free: wait for the shuffle files that only df needed to go. Spark removes them when its collectors find that nothing refers to them, which may
-    otherwise be long after the next ones are written; they can be larger than the input.
-    """
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
-    kept = df.checkpoint(eager=True)
-    del df
-    for _ in range(3 if free else 0):  # what the first round finds gone, refers to what the next can find
-        gc.collect()
-        sc._jvm.System.gc()
-        time.sleep(0.7)
-    return kept
+
+#: With this setting Spark removes the shuffle files of a query as soon as it ends.
+_FREE = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """df, computed once and kept in the checkpoint folder that executors share. Shuffle files of its making are removed at once, as nothing reads them again."""
+    spark = df.sparkSession
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(shared_folder(spark))
+    before = spark.conf.get(_FREE, "false")
+    spark.conf.set(_FREE, "true")
+    try:
+        return df.select("*").checkpoint(eager=True)
+    finally:
+        spark.conf.set(_FREE, before)
 
 
 def partitions(spark: SparkSession) -> int:
@@ -166,6 +193,27 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     return stars.unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
 
 
+def with_key(docs: DataFrame, id_col: str) -> tuple[DataFrame, str]:
+    """docs and the column that tells its rows apart: the id, or, where ids are null or repeated, a new column __row of a kept copy."""
+    odd = docs.groupBy(id_col).agg(F.count("*").alias("__n")).where((F.col("__n") > 1) | F.col(id_col).isNull()).limit(1)
+    if not odd.count():
+        return docs, id_col
+    return cut(docs.withColumn("__row", F.monotonically_increasing_id())), "__row"
+
+
+def ranked(df: DataFrame, order: Sequence[Column], name: str) -> DataFrame:
+    """df with each row's rank from 0 by the order given, sorted in parts by the executors; a number for each part goes to the driver. Kept."""
+    place = cut(df.repartitionByRange(partitions(df.sparkSession), *order).sortWithinPartitions(*order).withColumn(name, F.monotonically_increasing_id()))
+    part = F.shiftright(name, 33)
+    sizes = sorted((r.part, r.n) for r in place.groupBy(part.alias("part")).agg(F.count("*").alias("n")).collect())
+    start, before = {}, 0
+    for k, n in sizes:
+        start[k] = before
+        before += n
+    offsets = F.create_map(*[F.lit(x).cast("long") for k, n in start.items() for x in (k, n)]) if start else F.create_map(F.lit(0).cast("long"), F.lit(0).cast("long"))
+    return place.withColumn(name, offsets[part] + F.col(name).bitwiseAND((1 << 33) - 1))
+
+
 def extended(schema: T.StructType, **columns: str) -> T.StructType:
     """A schema with more columns, by name and type; the given one stays as it is."""
     out = T.StructType(list(schema.fields))

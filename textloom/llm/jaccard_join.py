@@ -358,13 +358,13 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     rows = _with_ids(docs, copies.select("doc_id").distinct(), "left_anti").select("doc_id", "text").mapInArrow(listed, "shingle long, doc_id long, place long")
     in_order = [F.col("shingle"), F.shiftright("place", 32), F.col("doc_id")]
-    lists = cut(rows.repartition(n, "shingle").sortWithinPartitions(*in_order).mapInArrow(_in_lists, "shingle long, doc_id long, place long"), free=True)
+    lists = cut(rows.repartition(n, "shingle").sortWithinPartitions(*in_order).mapInArrow(_in_lists, "shingle long, doc_id long, place long"))
 
     near = _screened(lists.mapInArrow(_nearby, "u long, v long").where("u <> v").distinct(), sizes)  # kept lists are still in order
     # TRIES of each set's pairs are nearly sure to join what all would; the second round meets the others again, if they still matter.
     tried = near.withColumn("k", F.row_number().over(Window.partitionBy("v").orderBy(F.xxhash64("u", "v")))).where(F.col("k") <= TRIES).select("u", "v")
     tried = cut(tried)
-    groups = cut(connected_components(cut(_verified(docs, tried), free=True)))
+    groups = cut(connected_components(cut(_verified(docs, tried))))
     grouped = lists.join(groups.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("shingle", "doc_id", "place", F.coalesce("component", "doc_id").alias("group"))
     mixed = cut(grouped.repartition(n, "shingle").sortWithinPartitions(*in_order).mapInArrow(_mixed, "u long, v long, shingle long, doc_id long, place long, group long"))
     long = mixed.where("u IS NULL").join(sizes.select("doc_id", "bits"), "doc_id").select("shingle", "doc_id", "place", "group", "bits")
