@@ -20,7 +20,7 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is told; lang becomes the language found. Learns from the labelled documents given."""
-    dictionaries = language_id.learn(docs, order=F.xxhash64("doc_id"))
+    dictionaries = language_id.learn(docs)
     told = language_id.identify(docs, dictionaries).where(~F.col("rejected"))
     return told.withColumn("lang", F.col("lang_pred")).select(*COLUMNS)
 

@@ -2,7 +2,7 @@
 
 Texts are lower-cased and everything but letters becomes single spaces, so case, digits, symbols and markup tell nothing. A dictionary is
 plain text of one language; what it shares with a text costs only references. Sizes that lie near each other tell little: such texts are
-rejected.
+rejected. Texts to judge are compressed whole.
 """
 
 from __future__ import annotations
@@ -18,11 +18,11 @@ from pyspark.sql import functions as F
 
 from textloom.llm.common import extended
 
-#: Bounds of the training sample: documents of each language, characters of each document, bytes of each dictionary.
-SAMPLE_DOCS = 400
-SAMPLE_CHARS = 4096
-SPARE = 4
-DICTIONARY_BYTES = 1 << 17
+#: Bound of the training sample: different texts of each language, and characters that each gives to the dictionary, from a place anywhere in the
+#: text that its hash tells. A dictionary holds all of these, so it has SAMPLE_DOCS * (STRETCH + 1) characters at most.
+SAMPLE_DOCS = 160
+STRETCH = 1024
+SPARE = 8
 LEVEL = 6
 #: A text is rejected where the second smallest size is above the smallest by less than this part of it.
 MIN_MARGIN = 0.002
@@ -37,28 +37,29 @@ def plain(text: str) -> str:
     return _NOT_LETTERS.sub(" ", text.lower()).strip()
 
 
-def learn(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", order: Column | None = None) -> dict[str, bytes]:
-    """A dictionary for each language, most common first, from a bounded sample: SAMPLE_DOCS documents of each at most, by the hash given
-    (by default of the text). Null texts and null languages teach nothing.
+def learn(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang") -> dict[str, bytes]:
+    """A dictionary for each language, most common first, from a bounded sample: of each language the SAMPLE_DOCS different texts least by a hash,
+    STRETCH characters of each. Null texts, texts without a letter and null languages teach nothing; copies of a text count once, whatever their ids.
     """
-    rows = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    rows = rows.select(F.col(lang_col).alias("lang"), F.substring(text_col, 1, SAMPLE_CHARS).alias("text"), (F.xxhash64(text_col) if order is None else order).alias("o"))
-    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").collect()  # a row for each language
-    common = [r.lang for r in counts]
-    # Of each language, those least by the hash up to SPARE times the sample's size are looked at; so no task gets more than that, whatever the corpus.
-    parts = F.create_map(*[F.lit(x) for r in counts for x in (r.lang, min(1.0, SPARE * SAMPLE_DOCS / r["count"]))]) if counts else F.create_map(F.lit(""), F.lit(1.0))
-    some = rows.where((F.col("o").cast("double") + 2.0**63) / 2.0**64 <= F.coalesce(parts[F.col("lang")], F.lit(1.0)))
-    first = some.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("o", "text"))).where(F.col("n") <= SAMPLE_DOCS)
-    texts: dict[str, dict[str, None]] = {lang: {} for lang in common}
-    for r in sorted(first.collect(), key=lambda r: r.n):
-        if t := plain(r.text):
-            texts[r.lang][t] = None
-    out = {}
-    for lang in common:
-        joined = " ".join(texts[lang]).encode()[:DICTIONARY_BYTES]
-        if joined:
-            out[lang] = b" " + joined
-    return out
+    rows = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).where(F.col(text_col).rlike(r"\p{L}"))
+    rows = rows.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("o"))
+    counts = rows.groupBy("lang").agg(F.count("*").alias("n"), F.approx_count_distinct("o").alias("kinds")).orderBy(F.desc("n"), "lang").collect()  # a row for each language
+    stretches: dict[str, list[str]] = {}
+    whole = False
+    while left := [r for r in counts if r.lang not in stretches]:
+        # Of each language, texts least by the hash are looked at, about SPARE times as many as the sample takes, or all where none of these is there.
+        part = {r.lang: 1.0 if whole else min(1.0, SPARE * SAMPLE_DOCS / r.kinds) for r in left}
+        parts = F.create_map(*[F.lit(x) for pair in part.items() for x in pair])
+        some = rows.where((F.col("o").cast("double") + 2.0**63) / 2.0**64 <= F.coalesce(parts[F.col("lang")], F.lit(-1.0)))
+        start = F.pmod(F.xxhash64("o"), F.greatest(F.lit(1), F.length("text") - STRETCH + 1)).cast("int") + 1
+        some = some.select("lang", "o", F.substring("text", start, F.lit(STRETCH)).alias("t")).groupBy("lang", "o").agg(F.min("t").alias("t"))
+        first = some.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("o", "t"))).where(F.col("n") <= SAMPLE_DOCS)
+        for r in sorted(first.collect(), key=lambda r: r.n):
+            stretches.setdefault(r.lang, []).append(plain(r.t))
+        if whole:
+            break
+        whole = True
+    return {r.lang: (" " + joined).encode() for r in counts if (joined := " ".join(t for t in stretches.get(r.lang, ()) if t))}
 
 
 class Classifier:
@@ -93,7 +94,7 @@ def identify(docs: DataFrame, dictionaries: dict[str, bytes], text_col: str = "t
     rejected. Columns of docs with these names are replaced.
     """
     docs = docs.drop("lang_pred", "score", "rejected")
-    sent = docs.sparkSession.sparkContext.broadcast(dictionaries)  # SAMPLE bounds hold for each language
+    sent = docs.sparkSession.sparkContext.broadcast(dictionaries)  # 4 * SAMPLE_DOCS * (STRETCH + 1) bytes a language at most
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = Classifier(sent.value)
@@ -111,6 +112,6 @@ def fold(doc_id: str, n: int) -> Column:
 
 def op4_language_id(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    dictionaries = learn(docs.where(fold("doc_id", 5) != 0), order=F.xxhash64("doc_id"))
+    dictionaries = learn(docs.where(F.coalesce(fold("doc_id", 5) != 0, F.lit(True))))
     out = identify(docs.select("doc_id", "text"), dictionaries)
-    return out.select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "lang_pred", "score", "rejected")
+    return out.select("doc_id", F.coalesce(fold("doc_id", 5) == 0, F.lit(False)).alias("held_out"), "lang_pred", "score", "rejected")
