@@ -1,19 +1,20 @@
 """A corpus in five stages: language ID, near-duplicate removal, masking of personal data, mixing of sources, encoding.
 
 Each stage takes (spark, docs, sf_dir) and returns what is kept, in the columns of documents; the last returns ids' digests instead. Texts that a
-stage changes get their own n_chars. Null texts are "und" to the first stage and go. run() writes each stage's rows to the folder that machines
-share and reads them for the next.
+stage changes get their own n_chars. Null texts are "und" to the first stage and go. Each row is a document: also where ids are repeated or null, no
+stage adds or loses rows for that. Empty tables give empty results, and other columns than those of documents are left out. run() writes each
+stage's rows to the folder that machines share and reads them for the next; it keeps no more than two stages' rows.
 """
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textloom.llm import jaccard_join, language_id, mixing, personal_data, pieces
+from textloom.llm.common import shared_folder, with_key
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -27,23 +28,24 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each group of near duplicates; documents without words stay."""
-    groups = jaccard_join.components(docs)
-    return docs.join(groups.where("doc_id = component_id").select("doc_id"), "doc_id", "left_semi").select(*COLUMNS)
+    return jaccard_join.representatives(docs).select(*COLUMNS)
 
 
 def personal_data_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, spans of personal data replaced by their kind."""
-    spans = personal_data.personal_spans(docs).where(F.size("spans") > 0).select("doc_id", "spans")
-    none = F.array().cast(spans.schema["spans"].dataType)
-    text = personal_data.masked(F.col("text"), F.coalesce("spans", none))
-    masked = docs.join(spans, "doc_id", "left").withColumn("text", F.when(F.col("spans").isNull(), F.col("text")).otherwise(text))
+    keyed, key = with_key(docs, "doc_id")
+    found = personal_data.personal_spans(keyed, key).where(F.size("spans") > 0).select(F.col("doc_id").alias(key), F.col("spans").alias("__spans"))
+    none = F.array().cast(found.schema["__spans"].dataType)
+    text = personal_data.masked(F.col("text"), F.coalesce("__spans", none))
+    masked = keyed.join(found, key, "left").withColumn("text", F.when(F.col("__spans").isNull(), F.col("text")).otherwise(text))
     return masked.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """As many rows of each document as the mix has copies of it."""
-    copies = mixing.mix_sources(docs).where("copies > 0").select("doc_id", "copies")
-    many = docs.join(copies, "doc_id").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
+    keyed, key = with_key(docs, "doc_id")
+    copies = mixing.mix_sources(keyed, id_col=key).where("copies > 0").select(F.col("doc_id").alias(key), F.col("copies").alias("__copies"))
+    many = keyed.join(copies, key).withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int"))))
     return many.select(*COLUMNS)
 
 
@@ -60,15 +62,14 @@ STAGES = [
     ("encoding", encoding_stage),
 ]
 
-#: Compression, iterations and the encoding are beyond SQL; tests hold each stage against brute force.
+#: Compression, iterations and the encoding are beyond SQL; tests/llm/test_pipeline.py holds each stage against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="pipeline-")
-    folder = f"{root.rstrip('/')}/pipeline-{uuid.uuid4().hex}"
+    folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES:
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
-        docs = spark.read.parquet(f"{folder}/{name}")
+    for k, (_, stage) in enumerate(STAGES):
+        stage(spark, docs, sf_dir).write.mode("overwrite").parquet(f"{folder}/{k % 2}")
+        docs = spark.read.parquet(f"{folder}/{k % 2}")
     return docs

@@ -11,10 +11,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.conftest import SF, rows
+from tests.llm.brute import base_spans, components_of, mixed, sets_of, words
 from textloom.llm import embedding_dedup, fingerprints, jaccard_join, language_id, mixing, personal_data, pieces, quality, queries, substring_dedup, url_filter
 from textloom.llm.common import connected_components
 
-WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, spans string, score double, n string, u string"
 
 
@@ -48,23 +48,6 @@ def none(spark):
     return spark.createDataFrame([], SCHEMA)
 
 
-def words(text):
-    return WORD.findall(text or "")
-
-
-def components_of(nodes, links):
-    least = {n: n for n in nodes}
-    changed = True
-    while changed:
-        changed = False
-        for a, b in links:
-            low = min(least[a], least[b])
-            if least[a] != low or least[b] != low:
-                least[a] = least[b] = low
-                changed = True
-    return least
-
-
 @pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
 def test_queries_agree_with_sql(spark, duck, name):
     assert rows(queries.queries()[name](spark, SF).toPandas()) == rows(duck.sql(queries.oracle_sql()[name]).df())
@@ -114,32 +97,37 @@ def test_suffix_automaton_against_search():
 
 def test_mixing(spark, docs, none):
     got = mixing.mix_sources(docs).toPandas()
-    sizes = {d[0]: len(words(d[1])) for d in corpus()}
-    assert dict(zip(got.doc_id, got["size"], strict=True)) == sizes
-    by = defaultdict(int)
-    for d in corpus():
-        by[d[3]] += sizes[d[0]]
-    names = sorted((s for s in by if s is not None)) + [None]
-    weights = {s: (5, 2, 1)[k % 3] for k, s in enumerate(names)}
-    left, target, open_ = 1.5 * sum(by.values()), {}, set(names)
-    while True:
-        share = {s: left * weights[s] / sum(weights[x] for x in open_) for s in open_}
-        over = {s for s in open_ if share[s] > 2 * by[s]}
-        if not over:
-            target |= share
-            break
-        for s in over:
-            target[s] = 2 * by[s]
-            left -= 2 * by[s]
-        open_ -= over
+    given = [(d[0], len(words(d[1])), d[3]) for d in corpus()]
     got["source"] = got.source.astype(object).where(got.source.notna(), None)
-    for r in got.itertuples():
-        assert r.source_size == by[r.source] and math.isclose(r.target, target[r.source], rel_tol=1e-9) and 0 <= r.copies <= 2
+    found = {r.doc_id: r for r in got.itertuples()}
+    assert len(found) == len(given)
+    for (i, size, source), (target, rate) in mixed(given):
+        r = found[i]
+        assert (r.size, r.source, r.source_size) == (size, source, sum(n for _, n, s in given if s == source)) and 0 <= r.copies <= 2
+        assert math.isclose(r.target, target, rel_tol=1e-9) and abs(r.rate - rate) < 1e-6 and abs(r.copies - rate) < 1 + 1e-6
+    assert got.groupby(got.source.fillna("")).rate.nunique().max() > 5
     again = mixing.mix_sources(docs.repartition(2)).toPandas()
     assert dict(zip(again.doc_id, again.copies, strict=True)) == dict(zip(got.doc_id, got.copies, strict=True))
     assert mixing.mix_sources(none).count() == 0
 
 
+def test_mixing_of_odd_tables(spark):
+    twice = spark.createDataFrame([(1, "a b c", "x")] * 4 + [(None, "d", None), (2, None, "y"), (2, "", "y")], "doc_id long, text string, source string")
+    got = mixing.mix_sources(twice).collect()
+    assert len(got) == 7 and {(r.size, r.source_size) for r in got} == {(3, 12), (1, 1), (0, 0)} and all(r.copies * r.size <= 2 * r.size for r in got)
+    assert mixing.mix_sources(twice.where("size(split(coalesce(text, ''), ' ')) = 0 OR text IS NULL")).first().copies == 0
+
+
+@pytest.mark.parametrize("share,weights", [(0.02, (1,)), (0.4, (9, 1)), (1.0, (1, 1, 1)), (1.9, (1, 7)), (2.5, (3, 1))])
+def test_mixing_against_bisection(spark, share, weights):
+    rng = random.Random(3)
+    given = [(i, rng.choice((1, 2, 5, 40, 300, 4000)), "abcde"[i % 5]) for i in range(400)]
+    frame = spark.createDataFrame([(i, "w " * n, s) for i, n, s in given], "doc_id long, text string, source string")
+    got = {r.doc_id: r for r in mixing.mix_sources(frame, weights, share).collect()}
+    for (i, _, _), (target, rate) in mixed(given, weights, share):
+        assert math.isclose(got[i].target, target, rel_tol=1e-9) and abs(got[i].rate - rate) < 1e-6
+
+
 def test_mixing_comes_near_targets(spark):
     rng = random.Random(9)
     rows_ = [(i, "w " * rng.randint(1, 300), "abc"[i % 3]) for i in range(3000)]
@@ -246,11 +234,6 @@ def test_embeddings_with_a_common_component(spark):
     assert hit.sum() - len(x) >= 3000 and 0.99 * (hit.sum() - len(x)) <= found <= hit.sum() - len(x)
 
 
-def sets_of(text):
-    w = words(text.translate({c: c + 32 for c in range(65, 91)}) if text else "")
-    return {tuple(w[k : k + 5]) for k in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} - {()}
-
-
 def test_jaccard_join(spark, docs, none):
     sets = {d[0]: sets_of(d[1]) for d in corpus()}
     ids = sorted(sets)
@@ -299,23 +282,6 @@ def test_quality(spark, docs, none):
     assert quality.score(none, model).count() == 0 and quality.learn(none, labels) is None and quality.score(docs, None).where("score = 0.5").count() == docs.count()
 
 
-EMAIL, IP = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
-CARD, PHONE = re.compile(r"[0-9]([\x20-]?[0-9])+"), re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-
-
-def luhn(digits):
-    terms = [int(c) * (1 + k % 2) for k, c in enumerate(reversed(digits))]
-    return sum(t - 9 if t > 9 else t for t in terms) % 10 == 0
-
-
-def base_spans(text):
-    out = [(m.start(), 0, "email", m.end()) for m in EMAIL.finditer(text)]
-    out += [(m.start(), 1, "ip", m.end()) for m in IP.finditer(text) if all(int(p) <= 255 for p in m[0].split("."))]
-    out += [(m.start(), 2, "card", m.end()) for m in CARD.finditer(text) if 14 <= len(d := re.sub("[ -]", "", m[0])) <= 19 and luhn(d)]
-    out += [(m.start(), 3, "phone", m.end()) for m in PHONE.finditer(text) if 10 <= len(re.sub("[^0-9]", "", m[0])) <= 15]
-    return sorted(out)
-
-
 def test_personal_data(spark, none):
     rng = random.Random(5)
     parts = [*"aZ09..@@+-- ()%_", "1", "2", "5", ".c", "+1 ", "4111 1111 1111 1111", "10.0.0.", "é🙂"]
@@ -341,9 +307,71 @@ def test_cards_with_separated_digits(spark):
 
 
 def test_patterns_find_more(spark):
-    rows_ = [(k, f"w{k} please call +1 415 555 {1000 + k} now") for k in range(12)] + [(20, "x please call 4155551234 now"), (21, "x never say 4155551234 now")]
-    got = {r.doc_id: r.spans for r in personal_data.personal_spans(spark.createDataFrame(rows_, "doc_id long, text string")).collect()}
-    assert [(s.kind, s.start, s.end) for s in got[20]] == [("phone", 14, 24)] and got[21] == [] and len(got[3]) == 1
+    rows_ = [(k, f"w{k} please call +1 415 555 {1000 + k} now") for k in range(12)] + [(20, "x please call 4155551234 here"), (21, "x never say 4155551234 here"), (None, "ref 99887766 please call 4155551234 there")]
+    rows_ += [(30 + k, f"id:user{k}@mail.org is seen") for k in range(4)] + [(40, "id:someone77 is not seen"), (41, "call a call b call c call d call e call f call g call h call 77665544 then")]
+    got = {r.doc_id: [(s.kind, s.start, s.end) for s in r.spans] for r in personal_data.personal_spans(spark.createDataFrame(rows_, "doc_id long, text string")).collect()}
+    assert got[20] == [("phone", 14, 24)] and got[21] == [] and len(got[3]) == 1
+    assert got[None] == [("phone", 25, 35)]  # the words before it reach over another token
+    assert got[40] == [("email", 3, 12)] and got[41] == []  # "call" goes with plain words too
+    plain = [(k, f"w{k} the +1 415 555 {1000 + k} word") for k in range(12)] + [(50, "the one the other the 88776655 the end " * 3)]
+    assert {r.doc_id: len(r.spans) for r in personal_data.personal_spans(spark.createDataFrame(plain, "doc_id long, text string")).collect()}[50] == 0
+
+
+def test_patterns_against_counting(spark):
+    """All of the method on a small corpus, by loops."""
+    rng = random.Random(7)
+    texts = []
+    for k in range(60):
+        w = []
+        for _ in range(rng.randint(3, 12)):
+            w += [rng.choice(["call", "mail", "see", "to", "and"]), rng.choice(["at", "me", "now"])] if rng.random() < 0.7 else []
+            w.append(rng.choice([f"u{rng.randrange(40)}@x.org", f"10.0.0.{rng.randrange(40)}", f"{rng.randrange(1000, 1040)}", "plain", "word"]))
+        texts.append(" ".join(w))
+    seeds = re.compile(r"u\d+@x\.org|10\.0\.0\.\d+")
+    edges, seen, place = {}, defaultdict(int), []
+    for d, text in enumerate(texts):
+        w = text.split()
+        kind = [0 if "@" in x else 1 if seeds.fullmatch(x) else -1 if x[0].isdigit() else None for x in w]
+        shown = [x if k in (None, -1) else personal_data.MARKS[k] for x, k in zip(w, kind, strict=True)]
+        for i, x in enumerate(w):
+            if i:
+                seen["1 " + w[i - 1]] += 1
+                seen["3 " + x] += 1
+                seen[f"2 {w[i - 1]} {x}"] += i + 1 < len(w)
+            if kind[i] is not None:
+                mine = (["1 " + shown[i - 1]] if i else []) + ([f"2 {shown[i - 2]} {shown[i - 1]}"] if i > 1 else []) + (["3 " + shown[i + 1]] if i + 1 < len(w) else [])
+                for p in mine:
+                    edges.setdefault(p, {}).setdefault(x, [kind[i], 0])[1] += 1
+                if kind[i] < 0:
+                    place.append((d, sum(map(len, w[:i])) + i, len(x), mine, x))
+    edges = {p: e for p, e in edges.items() if sum(k >= 0 for k, _ in e.values()) >= personal_data.MIN_SEEDS}
+    every = {p: len(e) + max(0, seen[p] - sum(n for _, n in e.values())) + 1 for p, e in edges.items()}
+    score = {x: 0.0 for e in edges.values() for x, (k, _) in e.items() if k < 0}
+    for k in range(personal_data.ROUNDS + 1):
+        conf = {p: sum(1.0 if kind >= 0 else score[x] for x, (kind, _) in e.items()) / every[p] for p, e in edges.items()}
+        if k < personal_data.ROUNDS:
+            for x in score:
+                score[x] = 1 - math.prod(1 - conf[p] for p, e in edges.items() if x in e)
+    want = {(d, at, at + n) for d, at, n, mine, _ in place if any(conf.get(p, 0) >= personal_data.MIN_SCORE for p in mine)}
+    rows_ = personal_data.personal_spans(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    got = {(r.doc_id, s.start, s.end) for r in rows_ for s in set(map(tuple, r.spans)) - set(map(tuple, r.base)) for s in [personal_data_span(s)]}
+    assert got == want and want
+
+
+def personal_data_span(s):
+    import collections
+
+    return collections.namedtuple("Span", "start rank kind end")(*s)
+
+
+def test_many_matches_in_one_text(spark):
+    import time
+
+    text = " ".join(f"u{k}@x{k}.org call 55{k}" for k in range(20_000))
+    frame = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    start = time.time()
+    r = frame.join(personal_data.personal_spans(frame), "doc_id").select(F.size("spans").alias("n"), personal_data.masked(F.col("text"), F.col("spans")).alias("m")).first()
+    assert r.n == 20_000 and r.m == " ".join(f"[EMAIL] call 55{k}" for k in range(20_000)) and time.time() - start < 60
 
 
 def test_masks(spark):
@@ -390,7 +418,7 @@ def test_components(spark):
 
 def test_rows_without_ids(spark):
     docs = spark.createDataFrame([(None, "a b c d e f"), (1, "a b c d e f"), (None, None)], "doc_id long, text string")
-    assert [(r.doc_id, r.component_id) for r in jaccard_join.components(docs).collect()] == [(1, 1)]
+    assert sorted((str(r.doc_id), r.n_shingles, r.component_id) for r in jaccard_join.components(docs).collect()) == [("1", 2, 1), ("None", 0, None), ("None", 2, None)]
     vectors = spark.createDataFrame([(None, [1.0, 2.0], 1), (1, [1.0, 2.0], 1), (2, [1.0, 2.0], 1)], "vec_id long, embedding array<double>, label int")
     assert sorted((str(r.vec_id), r.n_links) for r in embedding_dedup.near_duplicates(vectors).collect()) == [("1", 1), ("2", 1), ("None", 0)]
     assert fingerprints.with_next(docs).count() == 1 and mixing.mix_sources(docs.withColumn("source", F.lit("s"))).count() == 3

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from textloom.llm.common import batches_of_text, connected_components, cut, mix, partitions, sequence_hashes, words_of
+from textloom.llm.common import batches_of_text, connected_components, cut, mix, partitions, sequence_hashes, with_key, words_of
 
 WIDTH = 5
 #: The threshold as a fraction.
@@ -322,9 +322,14 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """(doc_id, n_shingles, component_id) of docs: the size of each document's set and the least id that links reach, its own included.
 
     A set holds the runs of WIDTH words, A-Z lower-cased; a text with fewer words is one shingle, a text without words (or null) has an empty
-    set and links with nothing. Ids should be unique; rows with one id are linked where both have sets, and rows without an id are left out. Other columns are ignored.
+    set and links with nothing. Ids should be unique: rows with one id are linked where both have sets. Rows without an id link with nothing, and their
+    component_id is null. Other columns are ignored.
     """
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id IS NOT NULL")
+    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    lost = docs.where("doc_id IS NULL").select(F.lit(0).cast("long").alias("doc_id"), "text").mapInArrow(_survey, "shingle long, doc_id long, n long, k1 long, k2 long, bits binary")
+    nothing = F.lit(None).cast("long")
+    lost = lost.where("shingle IS NULL").select(nothing.alias("doc_id"), F.col("n").alias("n_shingles"), nothing.alias("component_id"))
+    docs = docs.where("doc_id IS NOT NULL")
     spark = docs.sparkSession
     n = partitions(spark)
     seen = cut(docs.mapInArrow(_survey, "shingle long, doc_id long, n long, k1 long, k2 long, bits binary"))
@@ -379,7 +384,20 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     set_of = sizes.select("doc_id", F.col("n").alias("n_shingles")).join(copies, "doc_id", "left").withColumn("set", F.coalesce("least", "doc_id"))
     named = set_of.join(groups.withColumnRenamed("node", "set"), "set", "left").withColumn("group", F.coalesce("component", "set")).drop("component")
     named = named.join(joined.withColumnRenamed("node", "group"), "group", "left")
-    return named.select("doc_id", "n_shingles", F.coalesce("component", "group").alias("component_id"))
+    return named.select("doc_id", "n_shingles", F.coalesce("component", "group").alias("component_id")).unionByName(lost)
+
+
+def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The row with the least id of each group of near duplicates, with all its columns; rows without words stay. Rows with one id are documents of
+    their own, as are those without an id, which come last.
+    """
+    keyed, key = with_key(docs, id_col)
+    groups = components(keyed, key, text_col)
+    if key == id_col:
+        return keyed.join(groups.where("doc_id <> component_id").select(F.col("doc_id").alias(key)), key, "left_anti")
+    named = groups.join(keyed.select(F.col(key).alias("doc_id"), F.col(id_col).alias("id")), "doc_id")
+    first = named.groupBy("component_id").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "doc_id"))["doc_id"].alias(key))
+    return keyed.join(first.select(key), key, "left_semi").drop(key)
 
 
 def op7_jaccard_join(spark, sf_dir: str) -> DataFrame:
