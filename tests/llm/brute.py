@@ -24,8 +24,20 @@ def components_of(nodes, links):
     return least
 
 
+def spark_hash(value):
+    """xxhash64 of bytes or of a long, as Spark has it."""
+    import xxhash
+
+    data = value if isinstance(value, bytes) else int(value).to_bytes(8, "little", signed=True)
+    return int.from_bytes(xxhash.xxh64(data, seed=42).digest(), "big", signed=True)
+
+
 def sets_of(text):
-    w = words(text.translate({c: c + 32 for c in range(65, 91)}) if text else "")
+    return shingles(text.translate({c: c + 32 for c in range(65, 91)}) if text else "")
+
+
+def shingles(text):
+    w = words(text)
     return {tuple(w[k : k + 5]) for k in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} - {()}
 
 

@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.conftest import SF, rows
-from tests.llm.brute import base_spans, components_of, mixed, sets_of, words
+from tests.llm.brute import base_spans, components_of, mixed, sets_of, shingles, spark_hash, words
 from textloom.llm import embedding_dedup, fingerprints, jaccard_join, language_id, mixing, personal_data, pieces, quality, queries, substring_dedup, url_filter
 from textloom.llm.common import connected_components
 
@@ -175,10 +175,6 @@ def test_fingerprints(spark, docs, none):
     texts = {d[0]: d[1] or "" for d in corpus()}
     assert all(got[a].next_text == texts[b] and got[a].next_sketch == got[b].sketch for a, b in zip(ids, ids[1:] + ids[:1], strict=True))
 
-    def shingles(t):
-        w = words(t)
-        return {tuple(w[k : k + 5]) for k in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} - {()}
-
     measured = spark.createDataFrame([(a, texts[a], texts[b]) for a, b in zip(ids, ids[2:], strict=False)], "k long, a string, b string")
     s = measured.select("k", fingerprints.sketch(F.col("a")).alias("a"), fingerprints.sketch(F.col("b")).alias("b"))
     s = s.select("k", fingerprints.resemblance(F.col("a"), F.col("b")).alias("j"), fingerprints.containment(F.col("a"), F.col("b")).alias("c"), fingerprints.distinct_shingles(F.col("a")).alias("d"))
@@ -197,6 +193,49 @@ def test_fingerprints(spark, docs, none):
     assert fingerprints.with_next(none.select("doc_id", "text")).count() == 0
 
 
+def test_fingerprints_of_query(spark, tmp_path):
+    rng = random.Random(10)
+    texts = ["", "a b", "é🙂 x", None] + [" ".join(rng.choices("abcdefgh", k=rng.randint(1, 400))) for _ in range(60)]
+    texts += [texts[9]] * 9 + [texts[9] + " more"]
+    ids = [None if k == 3 else 7 if 20 <= k < 40 else k * 5 for k in range(len(texts))]
+    spark.createDataFrame([(i, t, 1.0) for i, t in zip(ids, texts, strict=True)], "doc_id long, text string, sketch double").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    got = queries.queries()["op5_fingerprints"](spark, str(tmp_path)).collect()
+    order = sorted(((i is None, i or 0, spark_hash((t or "").encode())), t or "") for i, t in zip(ids, texts, strict=True))
+    want = []
+
+    def like(a, b):
+        a, b = shingles(a), shingles(b)
+        return round(len(a & b) / len(a | b), 9) if a | b else 1.0, len(a | b) <= fingerprints.K
+
+    for k, ((none, i, _), t) in enumerate(order):
+        after = order[(k + 1) % len(order)][1]
+        cut = len(t) // 4
+        edited = t[: len(t) - cut] + after[:cut]
+        want.append(((None if none else i, len(t), hashlib.sha256(edited.encode()).hexdigest()), like(t, edited), like(t, after)))
+    found = [((r.doc_id, r.n_chars, r.edited_sha256), r.near_edited, r.near_next) for r in got]
+    exact = 0
+    for f, w in zip(sorted(found, key=lambda x: repr(x[0])), sorted(want, key=lambda x: repr(x[0])), strict=True):
+        assert f[0] == w[0]
+        for value, (true, small) in zip(f[1:], w[1:], strict=True):
+            assert abs(value - true) < (1e-8 if small else 0.15)
+            exact += small
+    assert exact > 40
+    pairs = spark.createDataFrame([(r.fingerprint,) for r in got], "f string").select(fingerprints.packed(fingerprints.unpacked(F.col("f"))).alias("g"), "f")
+    assert pairs.where("f <> g").count() == 0 and len({r.fingerprint for r in got if r.n_chars == len(texts[9]) }) >= 1
+    a, b = fingerprints.sketch(F.lit(texts[9])), fingerprints.sketch(F.lit(texts[9] + " more"))
+    one = spark.range(1).select(fingerprints.merge(fingerprints.unpacked(fingerprints.packed(a)), fingerprints.unpacked(fingerprints.packed(b))).alias("m"), fingerprints.merge(a, b).alias("n")).first()
+    assert one.m == one.n
+
+
+def test_ranges_of_a_hot_id(spark):
+    """Rows of one id, or of none, are dealt to several ranges, and order holds across them."""
+    rows_ = [(5, f"text {k}") for k in range(400)] + [(None, f"none {k}") for k in range(300)] + [(k, f"other {k}") for k in range(10, 60)]
+    got = fingerprints.with_next(spark.createDataFrame(rows_, "doc_id long, text string"))
+    assert got.select(F.spark_partition_id()).distinct().count() >= 3
+    order = [t for _, t in sorted(((i is None, i or 0, spark_hash(t.encode())), t) for i, t in rows_)]
+    assert {r.text: r.next_text for r in got.collect()} == dict(zip(order, order[1:] + order[:1], strict=True))
+
+
 def test_embeddings(spark):
     rng = np.random.default_rng(3)
     base = rng.normal(size=(80, 16))
@@ -421,5 +460,5 @@ def test_rows_without_ids(spark):
     assert sorted((str(r.doc_id), r.n_shingles, r.component_id) for r in jaccard_join.components(docs).collect()) == [("1", 2, 1), ("None", 0, None), ("None", 2, None)]
     vectors = spark.createDataFrame([(None, [1.0, 2.0], 1), (1, [1.0, 2.0], 1), (2, [1.0, 2.0], 1)], "vec_id long, embedding array<double>, label int")
     assert sorted((str(r.vec_id), r.n_links) for r in embedding_dedup.near_duplicates(vectors).collect()) == [("1", 1), ("2", 1), ("None", 0)]
-    assert fingerprints.with_next(docs).count() == 1 and mixing.mix_sources(docs.withColumn("source", F.lit("s"))).count() == 3
+    assert fingerprints.with_next(docs.withColumn('text', F.coalesce('text', F.lit('')))).count() == 3 and mixing.mix_sources(docs.withColumn("source", F.lit("s"))).count() == 3
     assert pieces.digests(docs, pieces.default_model()).count() == 3 and personal_data.personal_spans(docs).count() == 3

@@ -6,13 +6,12 @@ import re
 
 import numpy as np
 import pytest
-import xxhash
 import zstandard
 from pyspark.sql import functions as F
 
 import __spark_entry__
 import corpus_pipeline as P
-from tests.llm.brute import base_spans, components_of, mixed, sets_of, words
+from tests.llm.brute import base_spans, components_of, mixed, sets_of, spark_hash, words
 from textloom.llm import language_id, pieces, queries
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, __row string, spans string, copies int"
@@ -58,11 +57,6 @@ def test_columns(stages):
     assert all(columns == P.COLUMNS for name, (_, _, columns) in stages.items() if name != "encoding")
 
 
-def spark_hash(value, kind="q"):
-    data = value if isinstance(value, bytes) else int(value).to_bytes(8, "little", signed=True)
-    return int.from_bytes(xxhash.xxh64(data, seed=42).digest(), "big", signed=True)
-
-
 def learned(rows):
     """Dictionaries of (text, lang), made anew: the texts least by hash, a stretch of each."""
     texts = {}

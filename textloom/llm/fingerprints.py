@@ -68,46 +68,74 @@ def merge_groups(rows: DataFrame, keys: list[str], sketch_col: str, k: int = K)
     return rows.select(*keys).distinct().join(found, keys, "left").withColumn(sketch_col, F.coalesce(sketch_col, F.array().cast("array<bigint>")))
 
 
-def digest(a: Column) -> Column:
-    return F.md5(a.cast("string"))
+def packed(a: Column) -> Column:
+    """A sketch as text: its hashes, eight bytes each, in base 64. Equal sketches have equal texts, and unpacked() gives the sketch back to be merged or compared."""
+    return F.base64(F.unhex(F.array_join(F.transform(a, lambda x: F.lpad(F.hex(x), 16, "0")), "")))
 
 
-def _block(id_col: Column, bounds: list[int]) -> Column:
-    """How many of the ascending bounds are at most the id, by bisection."""
+def unpacked(text: Column) -> Column:
+    one = let(F.hex(F.unbase64(text)), lambda h: F.transform(F.sequence(F.lit(0), F.floor(F.length(h) / 16).cast("int") - 1), lambda i: F.conv(F.substring(h, i * 16 + 1, F.lit(16)), 16, -10).cast("long")))
+    return F.when(text == "", F.array().cast("array<bigint>")).otherwise(one)
+
+
+#: Bytes of text that count as one more row where ranges of ids are made equal.
+UNIT = 2048
+
+
+def _range(id_col: Column, hash_col: Column, bounds: list[int]) -> Column:
+    """The range of a row among those that ascending bounds make, by bisection. An id that is a bound several times has as many ranges, by its rows' hashes."""
     if not bounds:
         return F.lit(0)
     table = F.array(*[F.lit(b).cast("long") for b in bounds])
 
-    def halve(s: Column, _: Column) -> Column:
-        mid = F.floor((s["lo"] + s["hi"]) / 2).cast("int")
-        right = F.coalesce(F.get(table, mid) <= id_col, F.lit(False)) & (s["lo"] < s["hi"])
-        return F.struct(F.when(right, mid + 1).otherwise(s["lo"]).alias("lo"), F.when(right | (s["lo"] >= s["hi"]), s["hi"]).otherwise(mid).alias("hi"))
+    def place(strict: bool) -> Column:
+        """Number of bounds below the id (strict) or up to it."""
+
+        def halve(s: Column, _: Column) -> Column:
+            mid = F.floor((s["lo"] + s["hi"]) / 2).cast("int")
+            at = F.get(table, mid)
+            right = F.coalesce(at < id_col if strict else at <= id_col, F.lit(False)) & (s["lo"] < s["hi"])
+            return F.struct(F.when(right, mid + 1).otherwise(s["lo"]).alias("lo"), F.when(right | (s["lo"] >= s["hi"]), s["hi"]).otherwise(mid).alias("hi"))
+
+        start = F.struct(F.lit(0).alias("lo"), F.lit(len(bounds)).alias("hi"))
+        return F.aggregate(F.sequence(F.lit(0), F.lit(len(bounds).bit_length())), start, halve)["lo"]
+
+    share = (hash_col.cast("double") + 2.0**63) / 2.0**64
+    pair = F.struct(place(True).alias("below"), place(False).alias("to"))
+    return let(pair, lambda p: F.when(p["to"] - p["below"] > 1, F.least(p["to"], p["below"] + 1 + F.floor(share * (p["to"] - p["below"])).cast("int"))).otherwise(p["to"]))
+
 
-    start = F.struct(F.lit(0).alias("lo"), F.lit(len(bounds)).alias("hi"))
-    return F.aggregate(F.sequence(F.lit(0), F.lit(len(bounds).bit_length())), start, halve)["lo"]
+def _salts(spark, n: int) -> list[int]:
+    """For each of n partitions, a number whose hash leads there."""
+    rows = spark.range(64 * n).select(F.col("id").cast("int").alias("salt")).withColumn("part", F.pmod(F.hash("salt"), F.lit(n)))
+    found = {r.part: r.salt for r in rows.groupBy("part").agg(F.min("salt").alias("salt")).collect()}
+    return [found.get(k, 0) for k in range(n)]
 
 
 def with_next(docs: DataFrame) -> DataFrame:
     """docs (doc_id, text, sketch of it as made here) with next_text and next_sketch, those of the next greater id; the first's after the last.
 
-    Ids are dealt into as many ranges as there are shuffle partitions, of about equal numbers of rows. The first row of each range goes into the
-    range before too, so one shuffle brings every row beside its next. Rows with a null id are left out; of equal ids, that with the smaller hash of
-    the text comes first.
+    Rows are dealt into as many ranges of ids as there are shuffle partitions, of about equal numbers of rows and bytes, each a partition. The first
+    row of each range goes into the range before too, so one shuffle brings every row beside its next. Of equal ids, that with the smaller hash of the
+    text comes first; an id with more rows than a range has several. Rows with a null id come last. Extra columns are ignored.
     """
-    docs = docs.where(F.col("doc_id").isNotNull())
-    n = partitions(docs.sparkSession)
-    bounds = docs.agg(F.percentile_approx("doc_id", [k / n for k in range(1, n)], 10_000) if n > 1 else F.lit(None)).first()[0] if n > 1 else []
-    dealt = docs.withColumn("block", _block(F.col("doc_id"), sorted(set(bounds or []))))
-    first = dealt.groupBy("block").agg(F.min("doc_id").alias("doc_id"))  # a row for each range
-    by_block = Window.orderBy("block")
-    wrap = F.max("block").over(by_block.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    first = first.select("doc_id", F.coalesce(F.lag("block").over(by_block), wrap).alias("before"))
-    dealt = dealt.join(F.broadcast(first), "doc_id", "left")
+    spark = docs.sparkSession
+    n = partitions(spark)
+    keyed = docs.select("doc_id", F.coalesce("doc_id", F.lit(2**63 - 1)).alias("k"), "text", F.xxhash64("text").alias("h"))
+    weighed = keyed.select("k", F.explode(F.sequence(F.lit(0), F.floor(F.octet_length("text") / UNIT).cast("int"))))
+    bounds = weighed.agg(F.percentile_approx("k", [i / n for i in range(1, n)], max(10_000, 20 * n))).first()[0] if n > 1 else []
+    dealt = keyed.withColumn("block", _range(F.col("k"), F.col("h"), sorted(bounds or [])))
+    first = dealt.groupBy("block").agg(F.min(F.struct("k", "h")).alias("row"))
+    heads = sorted((r.block, r.row.k, r.row.h) for r in first.collect())  # a row for each range
+    guests = [(k, h, heads[i - 1][0]) for i, (_, k, h) in enumerate(heads)]
+    guests = spark.createDataFrame(guests, "k long, h long, before int") if guests else spark.createDataFrame([], "k long, h long, before int")
+    dealt = dealt.join(F.broadcast(guests), ["k", "h"], "left")
     own = F.struct(F.lit(False).alias("guest"), F.col("block").alias("block"))
     guest = F.when(F.col("before").isNotNull(), F.struct(F.lit(True).alias("guest"), F.col("before").alias("block")))
-    dealt = dealt.select("doc_id", "text", F.explode(F.array_compact(F.array(own, guest))).alias("at")).select("doc_id", "text", "at.guest", "at.block")
-    placed = dealt.repartition(n, "block").withColumn("sketch", sketch(F.col("text")))
-    order = Window.partitionBy("block").orderBy("guest", "doc_id", F.xxhash64("text"))
+    dealt = dealt.select("doc_id", "k", "h", "text", F.explode(F.array_compact(F.array(own, guest))).alias("at"))
+    salt = F.get(F.array(*[F.lit(x) for x in _salts(spark, n)]), F.col("at.block"))
+    placed = dealt.select("doc_id", "k", "h", "text", "at.guest", salt.alias("salt")).repartition(n, "salt").withColumn("sketch", sketch(F.col("text")))
+    order = Window.partitionBy("salt").orderBy("guest", "k", "h")
     led = placed.withColumn("__next", F.lead(F.struct("text", "sketch")).over(order)).where(~F.col("guest"))
     return led.select("doc_id", "text", "sketch", F.col("__next.text").alias("next_text"), F.col("__next.sketch").alias("next_sketch"))
 
@@ -119,7 +147,7 @@ def op5_fingerprints(spark, sf_dir: str) -> DataFrame:
     edited = F.concat(F.substring(F.col("text"), F.lit(1), F.col("n_chars").cast("int") - cut_off), F.substring(F.col("next_text"), F.lit(1), cut_off))
     led = led.withColumn("edited", edited).withColumn("edited_sketch", sketch(F.col("edited")))
     return led.select(
-        "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), digest(F.col("sketch")).alias("fingerprint"), digest(F.col("edited_sketch")).alias("edited_fingerprint"),
+        "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), packed(F.col("sketch")).alias("fingerprint"), packed(F.col("edited_sketch")).alias("edited_fingerprint"),
         resemblance(F.col("sketch"), F.col("edited_sketch")).alias("near_edited"), resemblance(F.col("sketch"), F.col("next_sketch")).alias("near_next"),
         distinct_shingles(F.col("sketch")).alias("n_distinct"), containment(F.col("sketch"), F.col("edited_sketch")).alias("in_edited"),
     )
