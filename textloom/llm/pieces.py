@@ -107,6 +107,7 @@ class Coder:
         self._units: dict[str, str] = {}
         self._older: dict[str, str] = {}
         self._odd: dict[str, str] = {}  # decodings of units that aren't the unit's own text
+        self._long: list[str] = []  # units of the text in hand that are too long to remember
         #: Pieces that are their own encoding; no other ever occurs.
         self._alone = {p: i for p, i in model.ids.items() if (p == SPACE or p.strip(SPACE)) and self._merged(p) == [i]}
         self._automaton = ahocorasick.Automaton()
@@ -207,6 +208,7 @@ class Coder:
                 if (plain := self._plain(ids)) != unit.replace(SPACE, " "):
                     self._odd[unit] = plain
                 if len(unit) > MEMORY_CHARS:
+                    self._long.append(unit)
                     return known
             if len(self._units) >= MEMORY_UNITS:
                 self._older, self._units = self._units, {}
@@ -237,6 +239,11 @@ class Coder:
 
     def digests(self, text: str | None) -> tuple[int, str, str]:
         """Number of ids, SHA-256 of the ids in decimal joined by spaces, SHA-256 of the decoded text."""
+        for unit in self._long:
+            self._odd.pop(unit, None)
+        self._long.clear()
+        if len(self._odd) > MEMORY_UNITS:  # between texts, so that a text's own units stay
+            self._units, self._older, self._odd = {}, {}, {}
         units = self._split(text or "")
         held, known = self._units.get, self._known
         ids = " ".join([held(u) or known(u) for u in units] + [str(self.model.end)])
