@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import zlib
 from collections import defaultdict
 
 import numpy as np
@@ -309,6 +310,83 @@ def test_parities_bound_intersections():
         assert jaccard_join.most_shared(len(a), len(b), *bits) >= len(np.intersect1d(a, b))
 
 
+def test_language_of_query(spark):
+    """The registered query against dictionaries made anew and the library's sizes."""
+    from tests.llm.test_pipeline import learned, told
+
+    rows_ = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang").collect()
+    fold = {r.doc_id: zlib.crc32(str(r.doc_id).encode()) % 5 for r in rows_}
+    dictionaries = learned([(r.text, r.lang) for r in rows_ if fold[r.doc_id]])
+    got = {r.doc_id: r for r in queries.queries()["op4_language_id"](spark, SF).collect()}
+    assert len(got) == len(rows_)
+    for r in rows_:
+        lang, sizes = told(r.text, dictionaries)
+        score = 1 - 0.5 * math.exp(-(sorted(sizes)[1] / sorted(sizes)[0] - 1) / language_id.SCALE) if sizes else 0.0
+        assert got[r.doc_id].held_out == (fold[r.doc_id] == 0) and got[r.doc_id].lang_pred == lang and abs(got[r.doc_id].score - score) < 1e-12
+
+
+def test_language_of_copies(spark):
+    rows_ = [(1, "the and of that with", "en")] * 4000 + [(2, "le la les des une", "fr")] * 10 + [(3, "12 34", "xx"), (4, None, "yy")]
+    frame = spark.createDataFrame(rows_, "doc_id long, text string, lang string")
+    assert set(language_id.learn(frame)) == {"en", "fr"}
+
+
+def plain_statistics(text):
+    text = text or ""
+    raw, w = text.encode(), words(text)
+    size = len(raw)
+
+    def share(n, of):
+        return math.log((n + 0.125) / (max(of - n, 0) + 0.125))
+
+    def of(chars):
+        return share(sum(b in chars for b in raw), size)
+
+    lines = [words(x) for x in text.split("\n")]
+    lines = [tuple(x) for x in lines if x]
+    pairs = list(zip(w, w[1:], strict=False))
+    most = max((w.count(x) for x in set(w)), default=0)
+    return [
+        math.log1p(len(w)), math.log1p(sum(len(x.encode()) for x in w) / max(len(w), 1)), of(range(65, 91)), of(range(48, 58)), of(b".?"), of(b",;:"), of(b"*#$%&@^~=+<>{}[]\\/"), of(b"|"), of(b"!"), of(range(128, 256)),
+        math.log1p(len(w) / max(raw.count(b"\n") + 1, 1)), math.log((len(set(w)) + 1) / (len(w) + 1)), math.log((len(set(lines)) + 1) / (len(lines) + 1)), math.log((len(set(pairs)) + 1) / max(len(w), 1)), share(most, len(w)),
+    ]
+
+
+def test_quality_of_query(spark):
+    """The registered query against statistics by loops, explicit inverses and determinants, and a line by gradient steps on the same loss."""
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    fold = {i: zlib.crc32(str(i).encode()) % 4 for i in texts}
+    labels = [(r.doc_id, r.quality) for r in spark.read.parquet(f"{SF}/labels.parquet").collect() if r.quality is not None and fold[r.doc_id] != 2 and r.doc_id in texts]
+    stats = {i: plain_statistics(t) for i, t in texts.items()}
+    x, y = np.array([stats[i] for i, _ in labels]), np.array([q for _, q in labels])
+    centre, spread = x.mean(axis=0), x.std(axis=0) + 1e-6
+    z = (x - centre) / spread
+    own = [np.cov(z[y == k].T, bias=True) for k in (0, 1)]
+    pooled = sum(c * (y == k).mean() for k, c in enumerate(own))
+    model = []
+    for k in (0, 1):
+        cov = (1 - quality.TO_POOLED) * own[k] + quality.TO_POOLED * pooled
+        cov = (1 - quality.TO_SPHERE) * cov + quality.TO_SPHERE * np.trace(cov) / len(cov) * np.eye(len(cov))
+        model.append((z[y == k].mean(axis=0), np.linalg.inv(cov), np.linalg.slogdet(cov)[1], math.log((y == k).mean())))
+
+    def difference(v):
+        v = (np.array(v) - centre) / spread
+        dens = [p - 0.5 * log - 0.5 * (v - m) @ inverse @ (v - m) for m, inverse, log, p in model]
+        return math.copysign(math.log1p(abs(dens[1] - dens[0])), dens[1] - dens[0])
+
+    t = np.array([difference(v) for v in x])
+    a, b = 1.0, 0.0
+    for _ in range(100_000):
+        p = 1 / (1 + np.exp(-np.clip(a * t + b, -30, 30)))
+        da, db = ((p - y) * t).sum() + 0.01 * (a - 1), (p - y).sum() + 0.01 * b
+        a, b = a - 0.002 * da, b - 0.002 * db
+    got = {r.doc_id: r for r in queries.queries()["op8_quality"](spark, SF).collect()}
+    assert len(got) == len(texts)
+    for i in texts:
+        want = 1 / (1 + math.exp(-min(30, max(-30, a * difference(stats[i]) + b))))
+        assert abs(got[i].score - want) < 1e-4 and got[i].predicted == (got[i].score >= 0.7) and got[i].held_out == (fold[i] == 2)
+
+
 def test_quality(spark, docs, none):
     d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
     labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
@@ -438,6 +516,18 @@ def test_url_filter(spark):
     assert {r.verdict for r in url_filter.judge(frame, []).collect()} == {"allow"}
 
 
+def test_url_filter_of_many_rules(spark):
+    rng = random.Random(6)
+    rules = [(rng.choice(("allow", "block")), f"h{rng.randrange(40)}.org", "/" + "x" * rng.randrange(60)) for _ in range(150)]
+    rules = list({r[1:]: r for r in rules}.values())
+    urls = [f"http://{rng.choice(('', 'a.', 'b.c.'))}h{rng.randrange(80)}.org/{'x' * rng.randrange(70)}y" for _ in range(400)]
+    got = {r.page_id: (r.rule, r.verdict) for r in url_filter.judge(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string"), rules, otherwise="block").collect()}
+    for i, url in enumerate(urls):
+        host, path = re.match(r"http://([^/]*)(.*)", url).groups()
+        fits = [(len(h + p), h + p, k) for k, h, p in rules if (host == h or host.endswith("." + h)) and path.startswith(p)]
+        assert got[i] == ((max(fits)[1], max(fits)[2]) if fits else (None, "block"))
+
+
 def test_cascade_is_exact(spark):
     universe = spark.range(20_000).select(F.xxhash64("id").alias("key"))
     listed = np.array([r.key % 2**64 for r in spark.range(0, 20_000, 40).select(F.xxhash64("id").alias("key")).collect()], dtype=np.uint64)

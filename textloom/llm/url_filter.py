@@ -3,6 +3,10 @@
 Levels of a cascade alternate: the first encodes the listed keys, the second those keys of the corpus that the first takes for listed, the
 third those listed keys that the second takes for unlisted, and so on until a level makes no mistake. As the cascade is built over all keys
 that the corpus can ask for, its answers for these are exact, and judging a URL needs no join.
+
+A first cascade tells which hosts of a URL (its own and those it is a subdomain of) have rules at all; only for these are the starts of its path asked of the
+second ones. Keys are 64-bit hashes: that one of u unlisted keys of the corpus has the hash of one of r listed ones, and so is taken for it, has a chance
+of u * r / 2**64 (5 in 10,000 for ten billion keys and a million rules).
 """
 
 from __future__ import annotations
@@ -14,12 +18,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from textloom.llm.common import cut, mix
+from textloom.llm.common import cut, extended, mix
 
 #: Listed keys that are held by the driver and, some bits each, by every worker; above it, build() refuses.
-MAX_LISTED = 20_000_000
+MAX_LISTED = 5_000_000
 MAX_LEVELS = 64
 
 
@@ -88,17 +91,16 @@ def build(lists: Sequence[np.ndarray], universe: DataFrame) -> list[list[Level]]
                 if levels and len(found := keys[levels[0].has(keys)]):
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), which, dtype=np.int32)), pa.array(found.view(np.int64))], ["which", "key"])
 
-    passed: list[list[int]] = [[] for _ in lists]
-    most = 64 + 16 * MAX_LISTED
-    for row in universe.mapInArrow(passing, "which int, key long").toLocalIterator():  # listed keys and about as many mistakes
-        passed[row.which].append(row.key % 2**64)
-        if (most := most - 1) < 0:
-            raise OverflowError("too many keys pass the first level")
-    for levels, keys, found in zip(cascades, lists, passed, strict=True):
+    passed = cut(universe.mapInArrow(passing, "which int, key long"))  # listed keys and about as many mistakes
+    if passed.count() > 64 + 4 * MAX_LISTED:
+        raise OverflowError("too many keys pass the first level")
+    table = passed.toPandas()
+    for which, (levels, keys) in enumerate(zip(cascades, lists, strict=True)):
         if not levels:
             continue
         listed = np.unique(keys)
-        sides = [listed, np.setdiff1d(np.array(found, dtype=np.uint64), listed)]
+        found = table["key"][table["which"] == which].to_numpy(dtype=np.int64).view(np.uint64)
+        sides = [listed, np.setdiff1d(found, listed)]
         while len(wrong := sides[len(levels) % 2][levels[-1].has(sides[len(levels) % 2])]):
             if len(levels) == MAX_LEVELS:
                 raise ValueError("listed and other keys share hashes")
@@ -117,16 +119,16 @@ def host_and_path(url: Column) -> tuple[Column, Column]:
     return F.when(known, lower).otherwise(F.lit("")), F.when(known, path).otherwise(F.lit(""))
 
 
-def candidate_rules(host: Column, path: Column, path_lengths: Sequence[int]) -> Column:
-    """Texts of all rules that could fit, the longest first (of two as long, that with the longer host)."""
+def suffixes(host: Column) -> Column:
+    """The host and all that it is a subdomain of."""
     labels = F.split(host, r"\.", -1)
-    hosts = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+    return F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
 
-    def with_path(n: int) -> Column:
-        keys = F.transform(hosts, lambda h: F.struct((F.length(h) + n).alias("n"), F.length(h).alias("h"), F.concat(h, F.substring(path, 1, n)).alias("key")))
-        return F.when(F.length(path) >= n, keys).otherwise(F.array())
 
-    made = F.flatten(F.array(*[with_path(n) for n in path_lengths]))
+def candidate_rules(hosts: Column, path: Column, path_lengths: Sequence[int]) -> Column:
+    """Texts of all rules that could fit, the longest first (of two as long, that with the longer host)."""
+    lengths = F.filter(F.array(*[F.lit(n) for n in path_lengths]), lambda n: F.length(path) >= n)
+    made = F.flatten(F.transform(hosts, lambda h: F.transform(lengths, lambda n: F.struct((F.length(h) + n).alias("n"), F.length(h).alias("h"), F.concat(h, F.substring(path, F.lit(1), n)).alias("key")))))
     return F.transform(F.sort_array(made, asc=False), lambda x: x["key"])
 
 
@@ -145,31 +147,50 @@ def judge(urls: DataFrame, rules: Sequence[tuple[str, str, str]], url_col: str =
     parted = urls.withColumn("host", host).withColumn("path", path)
     if not rules:
         return parted.withColumn("rule", F.lit(None).cast("string")).withColumn("verdict", F.lit(otherwise))
-    asked = parted.withColumn("__keys", candidate_rules(F.col("host"), F.col("path"), lengths))
-    universe = cut(asked.select(F.explode("__keys").alias("key")).select(F.xxhash64("key").alias("key")).distinct())
-    listed = spark.createDataFrame([(k, h + p) for k, h, p in rules], "kind string, rule string").select("kind", F.xxhash64("rule").alias("key")).collect()
-    cascades = build([np.array([r.key % 2**64 for r in listed if r.kind == kind], dtype=np.uint64) for kind in ("allow", "block")], universe)
-    sent = spark.sparkContext.broadcast(cascades)
+    keys = spark.createDataFrame([(k, h, h + p) for k, h, p in rules], "kind string, host string, rule string").select("kind", F.xxhash64("host").alias("host"), F.xxhash64("rule").alias("key")).collect()
+
+    def hashes(of: str, kind: str | None = None) -> np.ndarray:
+        return np.array(sorted({r[of] % 2**64 for r in keys if kind in (None, r.kind)}), dtype=np.uint64)
+
+    def hashed(column: str) -> Column:
+        return F.transform(column, lambda k: F.xxhash64(k))
+
+    asked = parted.withColumn("__hosts", suffixes(F.col("host"))).withColumn("__asked", hashed("__hosts"))
+    of_hosts = build([hashes("host")], cut(asked.select(F.explode("__asked").alias("key")).distinct()))
+    sent_hosts = spark.sparkContext.broadcast(of_hosts)  # bits for MAX_LISTED keys at most, as all cascades
+
+    def known(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Of each host asked for, whether it has rules."""
+        for batch in batches:
+            lists = batch.column(batch.schema.get_field_index("__asked"))
+            listed = pa.array(contains(sent_hosts.value[0], lists.flatten().to_numpy().view(np.uint64)))
+            offsets = pa.array(lists.offsets.to_numpy() - lists.offsets[0].as_py(), pa.int32())
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.ListArray.from_arrays(offsets, listed)], [*batch.schema.names, "__listed"])
+
+    some = asked.mapInArrow(known, extended(asked.schema, __listed="array<boolean>"))
+    some = some.withColumn("__hosts", F.filter("__hosts", lambda h, i: F.get("__listed", i))).drop("__asked", "__listed")
+    given = some.withColumn("__keys", candidate_rules(F.col("__hosts"), F.col("path"), lengths)).drop("__hosts").withColumn("__hashes", hashed("__keys"))
+    universe = cut(given.select(F.explode("__hashes").alias("key")).distinct())
+    sent = spark.sparkContext.broadcast(build([hashes("key", kind) for kind in ("allow", "block")], universe))
 
     def hits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The place from 1 of the first listed key, and 1 if it's allowed."""
+        """The place from 1 of the first listed key, and whether it's allowed."""
         allow, block = sent.value
         for batch in batches:
-            asked_for = batch.column(batch.schema.get_field_index("__hashes"))
-            keys = asked_for.flatten().to_numpy().view(np.uint64)
-            row = np.repeat(np.arange(len(batch)), np.diff(asked_for.offsets.to_numpy()))
-            allowed = contains(allow, keys) if allow else np.zeros(len(keys), dtype=bool)
-            listed = allowed | contains(block, keys) if block else allowed
+            lists = batch.column(batch.schema.get_field_index("__hashes"))
+            asked_for = lists.flatten().to_numpy().view(np.uint64)
+            row = np.repeat(np.arange(len(batch)), np.diff(lists.offsets.to_numpy()))
+            allowed = contains(allow, asked_for) if allow else np.zeros(len(asked_for), dtype=bool)
+            listed = allowed | contains(block, asked_for) if block else allowed
             at = np.flatnonzero(listed)
             rows, first = np.unique(row[at], return_index=True)
-            start = asked_for.offsets.to_numpy()[:-1] - asked_for.offsets[0].as_py()
+            start = lists.offsets.to_numpy()[:-1] - lists.offsets[0].as_py()
             place, good = np.zeros(len(batch), dtype=np.int32), np.zeros(len(batch), dtype=bool)
             place[rows] = at[first] - start[rows] + 1
             good[rows] = allowed[at[first]]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(place), pa.array(good)], [*batch.schema.names, "__place", "__good"])
 
-    given = asked.withColumn("__hashes", F.transform("__keys", lambda k: F.xxhash64(k)))
-    found = given.mapInArrow(hits, _schema(given))
+    found = given.mapInArrow(hits, extended(given.schema, __place="int", __good="boolean"))
     return found.select(
         *urls.columns, "host", "path",
         F.when(F.col("__place") > 0, F.element_at("__keys", F.greatest("__place", F.lit(1)))).alias("rule"),
@@ -177,10 +198,6 @@ def judge(urls: DataFrame, rules: Sequence[tuple[str, str, str]], url_col: str =
     )
 
 
-def _schema(df: DataFrame) -> T.StructType:
-    return T.StructType([*df.schema.fields, T.StructField("__place", T.IntegerType()), T.StructField("__good", T.BooleanType())])
-
-
 #: Fixed values of the query: the kind, host and path of each rule.
 RULES = (
     ("allow", "com", "/"),
