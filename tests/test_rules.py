@@ -1,64 +1,43 @@
+from collections import Counter
+
 import pytest
 
-from textloom.operators.rules import PATTERNS, pattern_findings
-
-FIRE = {
-    "ai/any-density": ("ts", "let a: any; let b: any; let c: any; let d = e as any; f(g as any)"), "ai/console-debug-storm": ("js", "console.log(1);" * 10),
-    "ai/fetch-default-overuse": ("ts", "fetch(a); fetch(b); fetch(c)"), "ai/state-default-overuse": ("tsx", "useState(0);" * 5), "ai/tailwind-color-overuse": ("tsx", "bg-blue-500 text-gray-600 border-slate-700"),
-    "cpp/printf-debug": ("cpp", 'printf("a"); printf("b");'), "cpp/raw-new-delete": ("cpp", "new A(); new B();"), "cpp/c-style-cast": ("cpp", "x = (int) y;"), "cs/empty-catch-block": ("cs", "catch (E e) { }"),
-    "cs/sql-string-interpolation": ("cs", '$"SELECT * FROM t WHERE a = {x}"'), "dart/dynamic-call": ("dart", "dynamic x;"), "dart/print-debug": ("dart", "print(x);"), "db/sql-concat": ("ts", "`SELECT * FROM t WHERE a = ${x}`"),
-    "java/lost-stack-trace": ("java", 'catch (E e) { throw new X("m"); }'), "java/sql-string-concat": ("java", '"SELECT * FROM t WHERE a = " + x'), "kt/force-unwrap": ("kt", "a!!.b"), "kt/global-coroutine-scope": ("kt", "GlobalScope.launch { }"),
-    "logic/math-any-density": ("ts", "a: any, b: any, c: any, d: any, e: any, f: any"), "php/empty-catch": ("php", "catch (E $e) { }"), "php/sql-injection": ("php", '"SELECT * FROM t WHERE a = $x"'), "rb/exception-swallowing": ("rb", "begin\n x\nrescue => e\n nil\nend"),
-    "rb/sql-string-concat": ("rb", '"SELECT * FROM t WHERE a = #{x}"'), "rust/todo-macro": ("rs", "todo!()"), "rust/unwrap-in-production": ("rs", "x.unwrap()"), "security/eval": ("js", "eval(x)"), "security/exposed-env-var": ("ts", "NEXT_PUBLIC_SECRET_KEY"),
-    "security/fail-open-auth": ("ts", "if (process.env.NODE_ENV === 'development') return true"), "security/hardcoded-secret": ("", 'token = "1eb9c654e721b4f812088970e66a6345cee33dd6"'), "security/localstorage-token": ("ts", "localStorage.setItem('authToken', t)"),
-    "security/sql-construction": ("ts", "'SELECT * FROM t WHERE a = ' + x"), "security/unsafe-html-render": ("tsx", "dangerouslySetInnerHTML={{ __html: x }}"), "swift/fatal-error-thrown": ("swift", "fatalError()"), "swift/force-unwrap": ("swift", "try! x()"),
-    "swift/implicitly-unwrapped-optional": ("swift", "var x: View!"), "swift/print-debug": ("swift", "print(1); print(2)"), "ts/enum-vs-as-const": ("ts", "export enum A { B }"), "ts/import-type-misuse": ("ts", "import { type A } from 'b'"),
-    "wcag/missing-alt": ("html", '<img src="a.png">'), "security/target-blank-no-noopener": ("html", '<a href="x" target="_blank">'), "typo/placeholder-text": ("html", '<input placeholder="Lorem ipsum">'),
-    "ai/library-reinvention": ("ts", "function debounce(f) {}\nconst chunk = (a) => a"), "ai/markdown-leakage": ("", "```ts\nimport x from 'y'"), "cpp/magic-numbers": ("cpp", "if (x == 42) {"), "cs/async-without-await": ("cs", "async Task Run() { x(); }"),
-    "dart/missing-dispose": ("dart", "TextController c = TextController();"), "dart/unwrapped-futures": ("dart", "  save(x);"), "go/nil-slice-vs-empty": ("go", "var xs []int\nxs = []int{}"), "java/suspicious-implementation": ("java", "boolean validateToken(String t) { return true; }"),
-    "java/thread-sleep-in-loop": ("java", "while (x) { Thread.sleep(5); }"), "kt/coroutine-cancellation-missing": ("kt", "launch { work() }"), "kt/string-template-injection": ("kt", 'db.rawQuery("SELECT $x")'), "rb/n-plus-one-query": ("rb", "a.each do |x|\n  x.items.count\nend"),
-    "security/missing-auth-check": ("ts", "export async function POST(req) { return x }"), "security/public-admin-route": ("ts", "app.get('/admin/users', f)"), "security/dangerous-cors": ("ts", "cors({ origin: '*' })"), "swift/strong-self-capture": ("swift", "run { x in self.y() }"),
-    "test/fake-placeholder": ("ts", "{ name: 'John Doe' }"), "test/weak-assertion": ("ts", "expect(true).toBe(true)"), "ts/excessive-type-assertion": ("ts", "x as unknown as Y"), "ts/never-vs-unknown": ("ts", "function f(): never { g() }"),
-    "dead/dead-branch": ("ts", "if (false) { x() }"), "dead/unreachable": ("ts", "  return x;\n  y();"), "perf/cls-image": ("html", '<img loading="lazy" src="x">'), "wcag/focus-appearance": ("html", '<a class="outline-none x">'),
-    "wcag/focus-obscured": ("html", '<div class="fixed top-0">'), "component/giant-component": ("tsx", "function Big() {\n" + "x\n" * 210 + "}"), "component/multiple-components-per-file": ("tsx", "function A() {}\nfunction B() {}"), "logic/reactive-hook-soup": ("tsx", "useEffect(a); useEffect(b); useEffect(c)"),
-    "logic/key-prop-missing": ("tsx", "xs.map(x => <li>{x}</li>)"), "visual/arbitrary-escape": ("html", "w-[3px] h-[4px] p-[5px]"), "visual/inline-style-dominance": ("html", '<a style="x:1"><b style="y:2"><i style="z:3">'), "visual/math-default-font": ("html", "font-sans font-serif font-mono"),
-}
-QUIET = {
-    "wcag/missing-alt": ("html", '<img src="a.png" alt="x">'), "security/target-blank-no-noopener": ("html", '<a href="x" target="_blank" rel="noopener">'), "ai/fetch-default-overuse": ("ts", "import axios; fetch(a); fetch(b); fetch(c)"),
-    "security/eval": ("js", "// eval(x)\nevaluate(x)"), "swift/force-unwrap": ("swift", "a != b"), "rust/unwrap-in-production": ("rs", "#[cfg(test)] x.unwrap()"), "security/hardcoded-secret": ("", 'token = "short"'), "dart/print-debug": ("py", "print(x)"), "cs/async-without-await": ("cs", "async Task Run() { await x(); }"), "logic/key-prop-missing": ("tsx", "xs.map(x => <li key={x}>{x}</li>)"),
-    "dead/unreachable": ("ts", "  if (a) return x;\n}\n  y();"), "security/missing-auth-check": ("ts", "export async function POST(req) { await requireAuth(req) }"), "wcag/focus-appearance": ("html", '<a class="outline-none focus-visible:ring-2">'), "go/nil-slice-vs-empty": ("go", "var xs []int\nys = []int{}"),
-}
+from textloom.operators import rule_cases
+from textloom.operators.catalog import RULES as CATALOG
+from textloom.operators.rules import STATISTICAL, pattern_findings
 
 
 @pytest.fixture(scope="module")
-def fired(spark):
-    cases = [(k, True, *v) for k, v in FIRE.items()] + [(k, False, *v) for k, v in QUIET.items()] + [("none", False, "ts", None), ("none", False, "ts", "")]
-    frame = spark.createDataFrame([(i, ext, text) for i, (_, _, ext, text) in enumerate(cases)], "doc_id long, ext string, text string")
-    found = {(r.doc_id, r.rule_id): r for r in pattern_findings(frame, extension_col="ext").collect()}
-    return cases, found
+def found(spark):
+    return Counter((r.path, r.rule_id, r.line) for r in rule_cases.case_findings(spark).collect())
 
 
 def test_every_rule_has_a_case():
-    assert set(FIRE) == {p.rule_id for p in PATTERNS}
+    elsewhere = {r[0] for r in STATISTICAL} | {"security/hardcoded-secret", "dup/identical-block", "dup/near-duplicate", "dup/structural-clone", "ai/segment-surprisal-cv", "ai/comment-ratio"}
+    assert {r for _, r, _ in rule_cases.expected()} == {r[0] for r in CATALOG} - elsewhere
+
+
+def test_rules_find_what_they_should(found):
+    want = Counter(rule_cases.expected())
+    assert (want - found, found - want) == (Counter(), Counter())
+
 
+def test_units_without_path_or_text(spark):
+    from textloom.operators.source_rules import source_findings
 
-def test_rules_fire_where_they_should(fired):
-    cases, found = fired
-    assert [(c, i) for i, c in enumerate(cases) if ((i, c[0]) in found) != c[1]] == []
+    units = spark.createDataFrame([(None, "eval(x)"), ("a.js", None), ("b.js", ""), ("c.js", "a\n//eval(b)\n\neval(x)")], "path string, text string")
+    assert [tuple(r) for r in source_findings(units).collect()] == [("c.js", "security/eval", 4)]
 
 
-def test_lines(spark):
-    frame = spark.createDataFrame([(1, "js", "a\nb\neval(x)")], "doc_id long, ext string, text string")
-    assert [(r.rule_id, r.n, r.line) for r in pattern_findings(frame, extension_col="ext").collect()] == [("security/eval", 1, 3)]
+def test_secrets(spark):
+    texts = ["x\n/* a\nb */\ntoken = \"1eb9c654e721b4f812088970e66a6345cee33dd6\"", "token = \"short\"", None, "// token = \"1eb9c654e721b4f812088970e66a6345cee33dd6\""]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert [(r.doc_id, r.n, r.line) for r in pattern_findings(frame).collect()] == [(0, 1, 4)]
 
 
-def test_families(spark):
-    from textloom.operators.families import class_gini, fired
+def test_class_gini(spark):
+    from textloom.operators.families import class_gini
 
-    texts = [(1, "rounded-md " * 6), (2, "gap-2 " * 9 + "gap-4"), (3, " ".join(f"rounded-{k}" for k in "abcdefgh")), (4, "grid-cols-3 " * 4), (5, None), (6, "")]
-    frame = spark.createDataFrame(texts, "doc_id long, text string")
-    got = {(r.doc_id, r.rule_id) for r in fired(frame).collect()}
-    assert {(1, "visual/math-rounded-entropy"), (2, "layout/gap-monopoly"), (4, "layout/math-grid-uniformity")} <= got and not any(d in (5, 6) for d, _ in got) and (3, "visual/math-rounded-entropy") not in got
     g = class_gini(spark.createDataFrame([(1, '<a class="x y"><b class="x"><i class="x">')], "doc_id long, text string")).first()
     assert (g.classes, g.total, g.gini) == (2, 4, 0.25)
 
@@ -72,7 +51,7 @@ def test_all_findings_hold_rules_without_sql(spark, tmp_path):
 
     rng = random.Random(6)
     line = "value of this line is much like the value of that line "
-    texts = {1: "\n".join(line + str(k % 3) for k in range(80)), 2: "```ts\nimport x from 'y'", 3: "\n".join("".join(rng.choices("abcdefghijklmnopqrstuvwxyz0123456789 ", k=60)) for _ in range(60)), 4: "short", 5: "see ```ts\nimport x", 6: 'token = "1eb9c654e721b4f812088970e66a6345cee33dd6"'}
+    texts = {1: "\n".join(line + str(k % 3) for k in range(80)), 2: "```ts\nimport x from 'y'", 3: "\n".join("".join(rng.choices("abcdefghijklmnopqrstuvwxyz0123456789 ", k=60)) for _ in range(60)), 4: "short", 5: "see\n```ts\nimport x", 6: 'token = "1eb9c654e721b4f812088970e66a6345cee33dd6"'}
     spark.createDataFrame([(k, t, "en", "a") for k, t in texts.items()], "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
 
     def squeezed(x):
@@ -87,5 +66,5 @@ def test_all_findings_hold_rules_without_sql(spark, tmp_path):
 
     got = Counter((r.doc_id, r.rule_id, r.category, r.severity, r.ai_specific, r.n, r.line) for r in rules.all_findings(spark, str(tmp_path)).collect())
     some = Counter((r.doc_id, r.rule_id, r.category, r.severity, r.ai_specific, r.n, r.line) for r in rules.findings(spark, str(tmp_path)).collect())
-    want = [(k, "ai/compression-profile", "ai", "low", True, 1, 1) for k, t in texts.items() if profile(t)] + [(2, "ai/markdown-leakage", "ai", "high", True, 1, 1)]
+    want = [(k, "ai/compression-profile", "ai", "low", True, 1, 1) for k, t in texts.items() if profile(t)] + [(2, "ai/markdown-leakage", "ai", "high", True, 1, 1), (5, "ai/markdown-leakage", "ai", "high", True, 1, 2)]
     assert len(want) > 1 and (1, "ai/compression-profile") in {w[:2] for w in want} and got - some == Counter(want) and not some - got

@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 TOKEN = r"[a-z_][a-z0-9_]+"
 SIMPLE = r"[a-z0-9_]+"
 COMMENT = r"(?s)//[^\n]*|/\*.*?(?:\*/|\z)"
-DECISION = r"\b(?:if|for|while|case|catch)\b|&&|\|\||\?"
-FUNCTION = r"\bfunction\b|=>"
+DECISION = r"\bif\b|\bfor\b|\bwhile\b|\bdo\b|\bcase\b|\bcatch\b|\?[^=]"
+FUNCTION = r"\bfunction\b|\b=>\s*[{(]|\b\w+\s*\([^)]*\)\s*\{"
 
 
 def strip_comments(text: Column) -> Column:
@@ -38,13 +38,34 @@ def shingles(words: Column, k: int) -> Column:
     return let(words, of)
 
 
+def ascii_bounds(pattern: str) -> str:
+    r"""pattern with \b between ASCII word characters and others, which Java takes for letters of any kind."""
+    return pattern.replace(r"\b", r"(?:(?<=\w)(?!\w)|(?<!\w)(?=\w))")
+
+
 def count(text: Column, pattern: str) -> Column:
     return F.regexp_count(text, F.lit(pattern))
 
 
+def plain_code(text: Column) -> Column:
+    """text without comments and with empty strings."""
+    out = F.regexp_replace(F.regexp_replace(text, r"(?s)/\*.*?\*/", ""), r"//[^\n]*", "")
+    for quote in "'\"`":
+        out = F.regexp_replace(out, rf"{quote}(?:\\.|[^{quote}\\])*{quote}", quote * 2)
+    return out
+
+
+def plain_code_sql(column: str) -> str:
+    """plain_code() as SQL."""
+    out = rf"regexp_replace(regexp_replace({column}, '(?s)/\*.*?\*/', '', 'g'), '//[^\n]*', '', 'g')"
+    for quote in ("''", '"', "`"):
+        out = rf"regexp_replace({out}, '{quote}(?:\\.|[^{quote}\\])*{quote}', '{quote * 2}', 'g')"
+    return out
+
+
 def cyclomatic(text: Column) -> Column:
-    """1, functions and decisions; 1 for blank texts."""
-    return F.lit(1) + count(text, FUNCTION) + count(text, DECISION)
+    """1, functions and decisions of the code; 1 for blank texts."""
+    return let(plain_code(text), lambda c: F.when(F.trim(text) == "", F.lit(1)).otherwise(F.lit(1) + count(c, ascii_bounds(FUNCTION)) + count(c, ascii_bounds(DECISION))))
 
 
 def line_of(text: Column, offset: Column) -> Column:
@@ -65,3 +86,48 @@ def nearest_scale(value: Column, scale: list[float], tolerance: float) -> Column
 def circular_delta(a: Column, b: Column) -> Column:
     d = F.pmod(F.abs(a - b), F.lit(360))
     return F.least(d, 360 - d)
+
+
+def running(values: Column) -> Column:
+    """For each of an array of integers, the sum of those before it. It goes by blocks of about the root of their number, as an array that grows in a fold is
+    copied each time."""
+
+    def within(block: Column) -> Column:
+        start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
+        return F.aggregate(block, start, lambda s, x: F.struct((s["at"] + x).cast("int").alias("at"), F.concat(s["out"], F.array(s["at"])).alias("out")))
+
+    def of(v: Column) -> Column:
+        width = F.ceil(F.sqrt(F.size(v))).cast("int")
+        blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(v) - 1) / width).cast("int")), lambda k: within(F.slice(v, k * width + 1, width)))
+        done = let(blocks, lambda b: F.flatten(F.zip_with(b, within(F.transform(b, lambda x: x["at"]))["out"], lambda x, o: F.transform(x["out"], lambda y: y + o))))
+        return F.when(F.size(v) > 0, done).otherwise(F.array().cast("array<int>"))
+
+    return let(values, of)
+
+
+def newlines(text: Column) -> Column:
+    return F.length(text) - F.length(F.translate(text, "\n", ""))
+
+
+def matches(text: Column, pattern: str) -> Column:
+    """All matches of a pattern from the left: the line where each starts, from 1, and its text."""
+
+    def of(x: Column) -> Column:
+        pieces = F.slice(x["pieces"], 1, F.size(x["found"]))
+        before = running(F.zip_with(pieces, x["found"], lambda p, m: newlines(p) + newlines(m)))
+        lines = F.zip_with(before, pieces, lambda n, p: n + newlines(p) + 1)
+        rows = F.zip_with(lines, x["found"], lambda n, m: F.struct(n.alias("line"), m.alias("value")))
+        return F.when(F.size(x["found"]) > 0, rows).otherwise(F.array().cast("array<struct<line:int,value:string>>"))
+
+    return let(F.struct(F.split(text, pattern, -1).alias("pieces"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("found")), of)
+
+
+def mask_comments(text: Column, pattern: str = COMMENT) -> Column:
+    """text without its comments, whose line breaks stay, so that lines keep their numbers."""
+
+    def of(x: Column) -> Column:
+        kept = F.zip_with(F.slice(x["pieces"], 1, F.size(x["found"])), x["found"], lambda p, m: F.concat(p, F.regexp_replace(m, "[^\n]", "")))
+        return F.concat(F.array_join(kept, ""), F.element_at(x["pieces"], -1))
+
+    some = let(F.struct(F.split(text, pattern, -1).alias("pieces"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("found")), of)
+    return F.when(text.rlike(pattern), some).otherwise(text)

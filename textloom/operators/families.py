@@ -1,4 +1,4 @@
-"""Rules on the spread of one family of tokens: entropy, share of the commonest, Gini, repeated strings, label lengths."""
+"""How unequal class names' counts are on a page; rules on the spread of families of tokens are in fact_rules."""
 
 from __future__ import annotations
 
@@ -7,37 +7,9 @@ from pyspark.sql import functions as F
 
 from textloom.sources.tables import table
 
-#: rule, token pattern, least number of tokens, most entropy in bits.
-ENTROPY = (
-    ("visual/math-rounded-entropy", r"\brounded(?:-[a-z0-9]+)*", 6, 1.8),
-    ("visual/math-font-entropy", r"\btext-(?:xs|sm|base|lg|xl|[2-9]xl)\b", 6, 1.4),
-    ("visual/math-spacing-entropy", r"\b(?:p|m|gap|space)[xytrbl]?-[0-9.]+", 10, 1.5),
-    ("layout/math-grid-uniformity", r"\bgrid-cols-(?:1[0-2]|[1-9])\b", 4, 1.0),
-    ("logic/math-variable-name-entropy", r"\b[A-Za-z_$][A-Za-z0-9_$]+", 40, 1.8),
-)
-GAP = ("layout/gap-monopoly", r"\bgap(?:-[xy])?-[0-9.]+")
 CLASS = ("logic/math-gini-class-usage", r'class(?:Name)?="([^"]*)"')
 
 
-def spread(given: DataFrame, rules=(*[(r, p) for r, p, *_ in ENTROPY], GAP)) -> DataFrame:
-    """doc_id, rule_id, number of tokens, distinct ones, entropy and share of the commonest; (doc_id, text) is read once for all families."""
-    found = F.array(*[F.struct(F.lit(r).alias("rule_id"), F.regexp_extract_all("text", F.lit(p), F.lit(0)).alias("t")) for r, p in rules])
-    rows = given.where(F.col("text").isNotNull()).select("doc_id", F.explode(found).alias("f")).select("doc_id", "f.rule_id", F.explode("f.t").alias("t"))
-    c = rows.groupBy("doc_id", "rule_id", "t").agg(F.count("*").alias("n")).withColumn("total", F.sum("n").over(Window.partitionBy("doc_id", "rule_id")))
-    p = F.col("n") / F.col("total")
-    return c.groupBy("doc_id", "rule_id").agg(F.max("total").alias("total"), F.count("*").alias("kinds"), (F.round(-F.sum(p * F.log2(p)), 6) + 0.0).alias("entropy"), F.round(F.max(p), 6).alias("top"))
-
-
-def fired(given: DataFrame) -> DataFrame:
-    """(doc_id, rule_id) of the families whose spread is too small."""
-    test = F.lit(False)
-    for rule, _, least, most in ENTROPY:
-        test = test | ((F.col("rule_id") == rule) & (F.col("total") >= least) & (F.col("entropy") <= most))
-    bound = F.when(F.col("kinds") <= 3, 0.9).when(F.col("kinds") <= 5, 0.75).otherwise(0.6)
-    test = test | ((F.col("rule_id") == GAP[0]) & (F.col("total") >= 6) & (F.col("top") >= bound))
-    return spread(given).where(test).select("doc_id", "rule_id")
-
-
 def class_gini(given: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Gini coefficient of class names' counts by ranks, and how often the commonest whole class string of ten characters or more occurs."""
     strings = given.where(F.col(text).isNotNull()).select(key, F.explode(F.regexp_extract_all(text, F.lit(CLASS[1]), F.lit(1))).alias("s"))

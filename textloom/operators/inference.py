@@ -11,29 +11,47 @@ from pyspark.sql import functions as F
 from textloom.functions import text as T
 from textloom.operators import graph, scoring
 from textloom.operators.overlap import shingled
-from textloom.operators.text_stats import token_rows
+from textloom.operators.profile import profile
 from textloom.sources.tables import table, units
 
-OPERATOR = r"===|!==|==|!=|<=|>=|&&|\|\||=>|\+\+|--|[-+*/%=<>!&|^~?:;,.(){}\[\]]"
-OPERAND = r"[A-Za-z_$][A-Za-z0-9_$]*|[0-9]+"
+# Operators in the order in which they are tried, and words that count as operators.
+OPERATORS = (">>>=", "<<=", "**=", "...", "===", "!==", "**", ">>>", "&&", "||", "??", "?.", "<=", ">=", "==", "!=", "++", "--", "<<", ">>", "=>", *"=+-*/%<>&|^~!?:(){}[],;.")
+OPERATOR_WORDS = (
+    "if else return const let var function class extends new await async this super import export from as in of for while do switch case break continue try catch finally throw typeof instanceof void delete "
+    "yield enum interface type public private protected readonly static abstract implements with default"
+).split()
+
+
+def _escaped(text: str) -> str:
+    return "".join("\\" + c if c in r".*+?^${}()|[]\/" else c for c in text)
+
+
+CODE_TOKEN = "|".join(map(_escaped, OPERATORS)) + "|" + "|".join(rf"\b{w}\b" for w in OPERATOR_WORDS) + r"|[A-Za-z_$][\w$]*|\d+(?:\.\d+)?"
 
 
 def halstead(spark: SparkSession, folder: str) -> DataFrame:
-    """Volume, difficulty, effort and bugs from operators and operands; zero where either is missing."""
-    d = units(spark, folder).select("doc_id", *[F.regexp_extract_all("text", F.lit(p), F.lit(0)).alias(k) for k, p in (("o", OPERATOR), ("x", OPERAND))])
-    d = d.select("doc_id", F.size("o").alias("length1"), F.size("x").alias("length2"), F.size(F.array_distinct("o")).alias("kinds1"), F.size(F.array_distinct("x")).alias("kinds2"))
-    some = (F.col("kinds1") > 0) & (F.col("kinds2") > 0)
-    volume = F.when(some, (F.col("length1") + F.col("length2")) * F.log2(F.greatest(F.lit(1), F.col("kinds1") + F.col("kinds2")))).otherwise(F.lit(0.0))
-    difficulty = F.when(some, F.col("kinds1") / 2 * F.col("length2") / F.greatest(F.lit(1), F.col("kinds2"))).otherwise(F.lit(0.0))
+    """Volume, difficulty, effort and bugs from operators and operands of the code; all zero where either is missing."""
+    d = units(spark, folder).select("doc_id", F.regexp_extract_all(T.plain_code(F.col("text")), F.lit(T.ascii_bounds(CODE_TOKEN)), F.lit(0)).alias("t"))
+    known = F.array(*[F.lit(w) for w in OPERATOR_WORDS])
+    d = d.withColumn("x", F.filter("t", lambda w: w.rlike(r"^[\w$]") & ~F.array_contains(known, w))).withColumn("o", F.filter("t", lambda w: ~w.rlike(r"^[\w$]") | F.array_contains(known, w)))
+    d = d.select("doc_id", F.size("o").alias("ops"), F.size("x").alias("args"), F.size(F.array_distinct("o")).alias("op_kinds"), F.size(F.array_distinct("x")).alias("arg_kinds"))
+    some = (F.col("op_kinds") > 0) & (F.col("arg_kinds") > 0)
+    volume = F.when(some, (F.col("ops") + F.col("args")) * F.log2(F.greatest(F.lit(1), F.col("op_kinds") + F.col("arg_kinds")))).otherwise(F.lit(0.0))
+    difficulty = F.when(some, F.col("op_kinds") / 2 * F.col("args") / F.greatest(F.lit(1), F.col("arg_kinds"))).otherwise(F.lit(0.0))
     d = d.withColumn("volume", volume).withColumn("difficulty", difficulty)
     bugs = F.pow(F.col("volume") * F.col("difficulty"), F.lit(2 / 3)) / 3000
-    return d.select("doc_id", "length1", "length2", "kinds1", "kinds2", F.round("volume", 4).alias("volume"), F.round("difficulty", 6).alias("difficulty"), F.round(bugs, 4).alias("bugs"))
+    counts = [F.when(some, F.col(a)).otherwise(0).alias(b) for a, b in (("ops", "length1"), ("args", "length2"), ("op_kinds", "kinds1"), ("arg_kinds", "kinds2"))]
+    return d.select("doc_id", *counts, F.round("volume", 4).alias("volume"), F.round("difficulty", 6).alias("difficulty"), F.round(bugs, 4).alias("bugs"))
 
 
-HALSTEAD_SQL = f"""WITH d AS (SELECT doc_id, regexp_extract_all(text, '{OPERATOR}') AS o, regexp_extract_all(text, '{OPERAND}') AS x FROM documents),
+_WORDS = ", ".join(f"'{w}'" for w in OPERATOR_WORDS)
+HALSTEAD_SQL = rf"""WITH p AS (SELECT doc_id, {T.plain_code_sql("text")} AS c FROM documents),
+t AS (SELECT doc_id, regexp_extract_all(c, '{CODE_TOKEN}') AS t FROM p),
+d AS (SELECT doc_id, list_filter(t, lambda w: regexp_matches(w, '^[\w$]') AND NOT list_contains([{_WORDS}], w)) AS x, list_filter(t, lambda w: NOT regexp_matches(w, '^[\w$]') OR list_contains([{_WORDS}], w)) AS o FROM t),
 c AS (SELECT doc_id, len(o) AS a, len(x) AS b, len(list_distinct(o)) AS c, len(list_distinct(x)) AS d FROM d),
-v AS (SELECT *, CASE WHEN c > 0 AND d > 0 THEN (a + b) * log2(c + d) ELSE 0 END AS v, CASE WHEN c > 0 AND d > 0 THEN c / 2 * b / d ELSE 0 END AS w FROM c)
-SELECT doc_id, a::INT AS length1, b::INT AS length2, c::INT AS kinds1, d::INT AS kinds2, round(v, 4)::DOUBLE AS volume, round(w, 6)::DOUBLE AS difficulty, round(pow(v * w, 2 / 3) / 3000, 4) AS bugs FROM v"""
+v AS (SELECT *, CASE WHEN c > 0 AND d > 0 THEN (a + b) * log2(c + d) ELSE 0 END AS v, CASE WHEN c > 0 AND d > 0 THEN c / 2 * b / d ELSE 0 END AS w, c > 0 AND d > 0 AS s FROM c)
+SELECT doc_id, CASE WHEN s THEN a ELSE 0 END::INT AS length1, CASE WHEN s THEN b ELSE 0 END::INT AS length2, CASE WHEN s THEN c ELSE 0 END::INT AS kinds1, CASE WHEN s THEN d ELSE 0 END::INT AS kinds2,
+round(v, 4)::DOUBLE AS volume, round(w, 6)::DOUBLE AS difficulty, round(pow(v * w, 2 / 3) / 3000, 4) AS bugs FROM v"""
 
 
 def segment_surprisal(spark: SparkSession, folder: str) -> DataFrame:
@@ -41,19 +59,9 @@ def segment_surprisal(spark: SparkSession, folder: str) -> DataFrame:
 
     Contexts don't reach over the start of a segment: its first two tokens count as one of as many equal chances as there are types.
     """
-    t = token_rows(units(spark, folder)).select("doc_id", "pos", "token")
-    doc = Window.partitionBy("doc_id")
-    t = t.withColumn("n", F.count("*").over(doc)).where("n >= 200")
-    order = doc.orderBy("pos")
-    t = t.withColumn("l1", F.coalesce(F.lag("token", 1).over(order), F.lit("<s>"))).withColumn("l2", F.coalesce(F.lag("token", 2).over(order), F.lit("<s>")))
-    t = t.withColumn("seg", F.least(F.floor(F.col("pos") / F.floor(F.col("n") / 20)), F.lit(19))).withColumn("in_seg", F.col("pos") - F.col("seg") * F.floor(F.col("n") / 20))
-    t = t.withColumn("tri", F.count("*").over(Window.partitionBy("doc_id", "l2", "l1", "token"))).withColumn("bi", F.count("*").over(Window.partitionBy("doc_id", "l2", "l1")))
-    t = t.withColumn("new", (F.row_number().over(Window.partitionBy("doc_id", "token").orderBy("pos")) == 1).cast("int")).withColumn("v", F.sum("new").over(doc))
-    s = -F.log2(F.when(F.col("in_seg") < 2, 1 / F.col("v")).otherwise((F.col("tri") + 1) / (F.col("bi") + F.col("v"))))
-    g = t.groupBy("doc_id", "seg").agg(F.avg(s).alias("s"))
-    g = g.withColumn("step", F.abs(F.col("s") - F.lag("s").over(Window.partitionBy("doc_id").orderBy("seg"))))
-    r = g.groupBy("doc_id").agg((F.stddev_pop("s") / F.avg("s")).alias("cv"), (F.max("s") - F.min("s")).alias("range"), F.max("step").alias("steepest"))
-    return r.select("doc_id", *[F.round(k, 5).alias(k) for k in ("cv", "range", "steepest")], ((F.col("cv") < 0.1) & (F.col("steepest") < 0.5)).alias("flat"))
+    r = profile(units(spark, folder), "surprisal").where("s_cv IS NOT NULL")
+    flat = (F.col("s_cv") < 0.1) & (F.col("s_step") < 0.5)
+    return r.select("doc_id", F.round("s_cv", 5).alias("cv"), F.round("s_range", 5).alias("range"), F.round("s_step", 5).alias("steepest"), flat.alias("flat"))
 
 
 SURPRISAL_SQL = r"""WITH a AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z_][a-z0-9_]+') AS w FROM documents), t AS (SELECT doc_id, unnest(w) AS token, unnest(generate_series(0, len(w) - 1)) AS pos, len(w) AS n FROM a WHERE len(w) >= 200),

@@ -1,7 +1,6 @@
-"""Rules: metadata and predicates; a rule turns units into findings (doc_id, rule_id, category, severity, ai_specific, n, line).
+"""Findings on documents: statistical rules, from one pass over the documents, and the secret rule; and rules on pages.
 
-Pattern rules are rows of a table and run together in one pass over the units: each is a count of matches with a least count, on the extensions that it
-is for, with comments left in or out. Statistical rules come from the statistics' own queries.
+Rules on source code are in source_rules and fact_rules; what all rules are is in the catalog.
 """
 
 from __future__ import annotations
@@ -13,6 +12,10 @@ from pyspark.sql import functions as F
 
 from textloom.functions import text as T
 from textloom.operators import text_stats
+from textloom.operators.catalog import catalog
+from textloom.operators.profile import profile
+from textloom.operators.source_rules import RULES, source_findings
+from textloom.plans.components import kept
 from textloom.sources.tables import table, units
 
 
@@ -29,82 +32,11 @@ class Pattern:
     skip_comments: bool = True
 
 
-SCRIPT = "ts|tsx|js|jsx|vue|svelte"
-SQL_START = r"(?:SELECT|INSERT|UPDATE|DELETE|WITH)\b"
 #: Predicates as patterns.
-PATTERNS = (
-    Pattern("ai/any-density", "ai", "medium", True, r":\s*any\b|\bas\s+any\b|<any>", "ts|tsx", 5),
-    Pattern("ai/console-debug-storm", "ai", "low", True, r"\bconsole\.(?:log|debug|info|warn)\s*\(|\bdebugger\b", SCRIPT, 10, r"winston|pino|bunyan"),
-    Pattern("ai/fetch-default-overuse", "ai", "low", True, r"\bfetch\s*\(", SCRIPT, 3, r"axios|ky|react-query|swr"),
-    Pattern("ai/state-default-overuse", "ai", "low", True, r"\buseState\s*[(<]", SCRIPT, 5, r"useReducer\s*\(|zustand|redux|jotai|recoil"),
-    Pattern("ai/tailwind-color-overuse", "ai", "low", True, r"\b(?:bg|text|border)-(?:blue|gray|indigo|purple|slate)-(?:500|600|700)\b", "tsx|jsx|vue|svelte|html", 3),
-    Pattern("cpp/printf-debug", "typo", "low", True, r"\bf?printf\s*\(", "c|cc|cpp|h|hpp", 2),
-    Pattern("cpp/raw-new-delete", "typo", "low", True, r"\bnew\s+[A-Za-z_]\w*\s*[(\[{]", "cc|cpp|hpp", 2),
-    Pattern("cpp/c-style-cast", "typo", "low", True, r"\(\s*(?:int|char|float|double|long|unsigned)\s*\*?\s*\)\s*[A-Za-z_(]", "c|cc|cpp|h|hpp"),
-    Pattern("cs/empty-catch-block", "logic", "medium", False, r"catch\s*(?:\([^)]*\))?\s*\{\s*(?:throw\s*;\s*)?\}", "cs"),
-    Pattern("cs/sql-string-interpolation", "security", "high", False, r"\$\"[^\"\n]*" + SQL_START + r"[^\"\n]*\{", "cs", 1, "", False),
-    Pattern("dart/dynamic-call", "logic", "medium", True, r"\bdynamic\s+\w+|\bas\s+[A-Z]\w*", "dart"),
-    Pattern("dart/print-debug", "logic", "medium", True, r"\bprint\s*\(", "dart"),
-    Pattern("db/sql-concat", "db", "high", True, r"`\s*" + SQL_START + r"[^`]*\$\{", SCRIPT, 1, "", False),
-    Pattern("java/lost-stack-trace", "logic", "medium", False, r"catch\s*\(\s*\w+\s+\w+\s*\)\s*\{\s*throw\s+new\s+\w+\s*\(\s*\"[^\"]*\"\s*\)", "java"),
-    Pattern("java/sql-string-concat", "security", "high", False, r"\"\s*" + SQL_START + r"[^\"\n]*\"\s*\+", "java", 1, r"PreparedStatement|setParameter", False),
-    Pattern("kt/force-unwrap", "logic", "medium", False, r"[\w)\]]!!", "kt"),
-    Pattern("kt/global-coroutine-scope", "logic", "medium", False, r"\bGlobalScope\s*\.\s*(?:launch|async)\b", "kt"),
-    Pattern("logic/math-any-density", "logic", "high", True, r":\s*any\b", "ts|tsx", 6),
-    Pattern("php/empty-catch", "logic", "medium", False, r"catch\s*\([^)]*\)\s*\{\s*(?:throw\s+\$\w+\s*;\s*)?\}", "php"),
-    Pattern("php/sql-injection", "security", "high", False, r"\"\s*" + SQL_START + r"[^\"\n]*(?:\$\w+|\"\s*\.\s*\$)", "php", 1, r"->prepare\s*\(", False),
-    Pattern("rb/exception-swallowing", "logic", "medium", False, r"\brescue\s*(?:=>\s*\w+)?\s*\n\s*(?:nil\s*\n\s*)?end\b|\brescue\s+nil\b", "rb"),
-    Pattern("rb/sql-string-concat", "security", "high", False, r"\"\s*" + SQL_START + r"[^\"\n]*#\{", "rb", 1, "", False),
-    Pattern("rust/todo-macro", "logic", "medium", True, r"\b(?:todo|unimplemented)!\s*\(", "rs"),
-    Pattern("rust/unwrap-in-production", "logic", "medium", True, r"\.(?:unwrap|expect)\s*\(", "rs", 1, r"#\[cfg\(test\)\]"),
-    Pattern("security/eval", "security", "high", False, r"\beval\s*\(|\bnew\s+Function\s*\(", SCRIPT),
-    Pattern("security/exposed-env-var", "security", "high", False, r"\b(?:NEXT_PUBLIC|VITE|REACT_APP)_\w*(?:SECRET|TOKEN|PASSWORD|PRIVATE|API_KEY)\w*", SCRIPT),
-    Pattern("security/fail-open-auth", "security", "high", True, r"if\s*\(\s*process\.env\.NODE_ENV\s*={2,3}\s*['\"]development['\"][^)]*\)\s*\{?\s*return\s+(?:true|next)", SCRIPT),
-    Pattern("security/hardcoded-secret", "security", "high", True, r"\b(?:sk-[A-Za-z0-9]{16,}|AKIA[A-Z0-9]{16}|ghp_[A-Za-z0-9]{20,}|xox[abprs]-[A-Za-z0-9-]{10,})|(?i:\b(?:password|secret|token|api_?key)\b)\s*[:=]\s*['\"][^'\"\s]{16,}['\"]"),
-    Pattern("security/localstorage-token", "security", "high", False, r"(?i)localStorage\.setItem\s*\(\s*['\"][^'\"]*(?:token|jwt|secret|password)", SCRIPT),
-    Pattern("security/sql-construction", "security", "high", True, r"['\"`]\s*" + SQL_START + r"[^'\"`\n]*['\"]\s*\+|`\s*" + SQL_START + r"[^`]*\$\{", SCRIPT, 1, "", False),
-    Pattern("security/unsafe-html-render", "security", "high", False, r"dangerouslySetInnerHTML\s*=\s*\{\{\s*__html\s*:\s*(?!['\"`])", SCRIPT),
-    Pattern("swift/fatal-error-thrown", "logic", "high", True, r"\b(?:fatalError|preconditionFailure)\s*\(", "swift", 1, r"import\s+XCTest"),
-    Pattern("swift/force-unwrap", "logic", "medium", True, r"\bas!|\btry!|(?<=[\w)\]])!(?![=\w])", "swift", 1, r"import\s+XCTest"),
-    Pattern("swift/implicitly-unwrapped-optional", "typo", "low", True, r"\bvar\s+\w+\s*:\s*[A-Z]\w*!", "swift"),
-    Pattern("swift/print-debug", "typo", "low", True, r"\bprint\s*\(", "swift", 2),
-    Pattern("ts/enum-vs-as-const", "typo", "low", True, r"(?m)^\s*(?:export\s+)?(?:enum|namespace)\s+\w+", "ts|tsx"),
-    Pattern("ts/import-type-misuse", "typo", "low", True, r"import\s*\{[^}]*\btype\s+\w+[^}]*\}", "ts|tsx"),
+SECRET = Pattern("security/hardcoded-secret", "security", "high", True, r"\b(?:sk-[A-Za-z0-9]{16,}|AKIA[A-Z0-9]{16}|ghp_[A-Za-z0-9]{20,}|xox[abprs]-[A-Za-z0-9-]{10,})|(?i:\b(?:password|secret|token|api_?key)\b)\s*[:=]\s*['\"][^'\"\s]{16,}['\"]")
+PAGE_RULES = (
     Pattern("wcag/missing-alt", "wcag", "medium", False, r"(?i)<img\b(?![^>]*\balt\s*=)(?![^>]*\brole\s*=\s*['\"]?(?:presentation|none))[^>]*>", "tsx|jsx|vue|svelte|html"),
     Pattern("security/target-blank-no-noopener", "security", "medium", False, r"(?i)<a\b(?=[^>]*\btarget\s*=\s*['\"]?_blank)(?![^>]*\brel\s*=\s*['\"][^'\"]*no(?:opener|referrer))[^>]*>", "tsx|jsx|vue|svelte|html"),
-    Pattern("typo/placeholder-text", "typo", "low", False, r"(?i)placeholder\s*=\s*['\"](?:lorem ipsum|enter text|your text here|placeholder)[^'\"]*['\"]", "tsx|jsx|vue|svelte|html"),
-    Pattern("ai/library-reinvention", "ai", "medium", True, r"\bfunction\s+(?:debounce|throttle|deepClone|cloneDeep|groupBy|chunk|uniq|classNames)\b|\bconst\s+(?:debounce|throttle|deepClone|cloneDeep|groupBy|chunk|uniq|classNames)\s*=", SCRIPT, 2, r"lodash|ramda|clsx|classnames"),
-    Pattern("ai/markdown-leakage", "ai", "high", True, r"\A\s*```[a-z]*\s*\n\s*(?:import|const|let|function|class|export|def|package|#include)\b", "", 1, "", False),
-    Pattern("cpp/magic-numbers", "typo", "low", True, r"(?m)^(?!.*\b(?:const|constexpr|#define)\b).*(?:[<>=]=?|\breturn)\s*(?:[2-9]\d|\d{3,})\b", "c|cc|cpp|h|hpp"),
-    Pattern("cs/async-without-await", "logic", "medium", False, r"\basync\s+[\w<>]+\s+\w+\s*\([^)]*\)\s*\{(?:(?!\bawait\b)[^{}])*\}", "cs"),
-    Pattern("dart/missing-dispose", "logic", "high", True, r"\b\w*Controller\s+\w+\s*=\s*\w*Controller\s*\(", "dart", 1, r"\.dispose\s*\("),
-    Pattern("dart/unwrapped-futures", "logic", "high", True, r"(?m)^\s*(?!await\b|return\b|throw\b|print\b|setState\b|runZoned\b|debugPrint\b|if\b|for\b|while\b|switch\b)[a-z]\w*\([^;{]*\);\s*$", "dart"),
-    Pattern("go/nil-slice-vs-empty", "typo", "low", True, r"\bvar\s+(\w+)\s+\[\]\w+[\s\S]*?\b\1\s*=\s*(?:\[\]\w+\{\}|make\s*\(\s*\[\])", "go"),
-    Pattern("java/suspicious-implementation", "security", "high", False, r"\b(?:validate|verify|authenticate|authorize|encrypt|sanitize)\w*\s*\([^)]*\)\s*(?:throws\s+\w+\s*)?\{\s*(?:return\s+(?:true|null|\w+)\s*;)?\s*\}", "java"),
-    Pattern("java/thread-sleep-in-loop", "perf", "medium", False, r"\b(?:for|while)\s*\([^)]*\)\s*\{[^{}]*\bThread\.sleep\s*\(", "java"),
-    Pattern("kt/coroutine-cancellation-missing", "logic", "medium", False, r"\b(?:launch|async)\s*\{(?:(?!isActive|ensureActive|cancel|withTimeout|yield)[^{}])*\}", "kt"),
-    Pattern("kt/string-template-injection", "security", "high", False, r"(?:rawQuery|execSQL|exec|File)\s*\(\s*\"[^\"\n]*\$\{?\w", "kt", 1, "", False),
-    Pattern("rb/n-plus-one-query", "perf", "medium", False, r"\.each\s+do\s*\|(\w+)\|[^\n]*\n(?:(?!\bend\b)[\s\S])*?\b\1\.\w+\.(?:each|map|count|first|where|to_a)\b", "rb", 1, r"\b(?:includes|preload|eager_load)\s*\("),
-    Pattern("security/missing-auth-check", "security", "medium", False, r"\bexport\s+(?:async\s+)?function\s+(?:GET|POST|PUT|PATCH|DELETE)\b", "ts|js", 1, r"(?i)auth|session|token|getUser|currentUser|verify"),
-    Pattern("security/public-admin-route", "security", "medium", False, r"['\"`]/(?:api/)?(?:admin|internal|superuser)\b[^'\"`]*['\"`]", SCRIPT, 1, r"(?i)role|permission|isAdmin|authorize"),
-    Pattern("security/dangerous-cors", "security", "medium", True, r"Access-Control-Allow-Origin['\"]?\s*[,:]\s*['\"]\*['\"]|\borigin\s*:\s*(?:true|['\"]\*['\"])", SCRIPT),
-    Pattern("swift/strong-self-capture", "logic", "medium", True, r"\{\s*(?!\[(?:weak|unowned))[^{}\[]*\bin\b[^{}]*\bself\.", "swift"),
-    Pattern("test/fake-placeholder", "test", "high", True, r"(?i)\b(?:name|email|password)\s*:\s*['\"](?:john doe|jane doe|test@(?:test|example)\.com|password123|foo|bar)['\"]", "ts|tsx|js|jsx"),
-    Pattern("test/weak-assertion", "test", "medium", True, r"expect\s*\(\s*(true|false|1|0)\s*\)\s*\.\s*toBe\s*\(\s*\1\s*\)|\.toBe(?:Defined|Truthy)\s*\(\s*\)", "ts|tsx|js|jsx"),
-    Pattern("ts/excessive-type-assertion", "typo", "low", True, r"\bas\s+unknown\s+as\b", "ts|tsx"),
-    Pattern("ts/never-vs-unknown", "typo", "low", True, r"\)\s*:\s*never\s*\{(?:(?!\b(?:throw|while|for)\b)[^{}])*\}", "ts|tsx"),
-    Pattern("dead/dead-branch", "logic", "medium", True, r"\b(?:if|while)\s*\(\s*(?:false|0)\s*\)", SCRIPT),
-    Pattern("dead/unreachable", "logic", "high", True, r"(?m)^\s*(?:return\b[^\n;{}]*|throw\b[^\n;{}]*|break|continue)\s*;[ \t]*\n[ \t]*(?!\}|case\b|default\b|//|/\*|function\b)[A-Za-z_$]", SCRIPT),
-    Pattern("perf/cls-image", "perf", "low", False, r"(?i)<img\b(?=[^>]*\bloading\s*=\s*['\"]lazy)(?![^>]*\b(?:width|height)\s*=)(?![^>]*aspect-)[^>]*>", "tsx|jsx|vue|svelte|html"),
-    Pattern("wcag/focus-appearance", "wcag", "high", False, r"(?i)class(?:Name)?\s*=\s*['\"](?=[^'\"]*\boutline-none\b)(?![^'\"]*focus-visible:ring)[^'\"]*['\"]", "tsx|jsx|vue|svelte|html"),
-    Pattern("wcag/focus-obscured", "wcag", "low", False, r"(?i)class(?:Name)?\s*=\s*['\"](?=[^'\"]*\b(?:fixed|sticky)\b)(?![^'\"]*\bscroll-(?:mt|pt|m|p)-)[^'\"]*['\"]", "tsx|jsx|vue|svelte|html"),
-    Pattern("component/giant-component", "component", "high", True, r"(?s)\bfunction\s+[A-Z]\w*\s*\([^)]*\)\s*\{(?:[^\n]*\n){201,}", "tsx|jsx"),
-    Pattern("component/multiple-components-per-file", "component", "medium", False, r"\bfunction\s+[A-Z]\w*\s*\(|\bconst\s+[A-Z]\w*\s*=\s*\([^)]*\)\s*=>", "tsx|jsx", 2),
-    Pattern("logic/reactive-hook-soup", "logic", "medium", True, r"\buseEffect\s*\(", "tsx|jsx|ts|js", 3),
-    Pattern("logic/key-prop-missing", "logic", "high", False, r"\.map\s*\(\s*\(?[\w, ]+\)?\s*=>\s*\(?\s*<(?!>)(?![^>]*\bkey\s*=)[^>]*>", "tsx|jsx"),
-    Pattern("visual/arbitrary-escape", "visual", "medium", True, r"\b(?:w|h|p|m|top|left|gap|inset)[xytrbl]?-\[[^\]]+\]", "tsx|jsx|vue|svelte|html", 3),
-    Pattern("visual/inline-style-dominance", "visual", "medium", False, r"(?i)\bstyle\s*=\s*(?:['\"][^'\"]+['\"]|\{\{[^}]+\}\})", "tsx|jsx|vue|svelte|html", 3),
-    Pattern("visual/math-default-font", "visual", "high", True, r"\bfont-(?:sans|serif|mono)\b", "tsx|jsx|vue|svelte|html", 3, r"@font-face|next/font|fonts\.googleapis"),
 )
 #: (rule, category, severity, AI-specific) of the statistical rules.
 STATISTICAL = (
@@ -119,16 +51,10 @@ STATISTICAL = (
 FINDING = "doc_id long, rule_id string, category string, severity string, ai_specific boolean, n long, line int"
 
 
-def catalog(spark: SparkSession) -> DataFrame:
-    """A row for each rule."""
-    rows = [(p.rule_id, p.category, p.severity, p.ai_specific) for p in PATTERNS] + list(STATISTICAL)
-    return spark.createDataFrame(rows, "rule_id string, category string, severity string, ai_specific boolean")
-
-
-def pattern_findings(given: DataFrame, rules: tuple[Pattern, ...] = PATTERNS, extension_col: str | None = None) -> DataFrame:
+def pattern_findings(given: DataFrame, rules: tuple[Pattern, ...] = (SECRET,), extension_col: str | None = None) -> DataFrame:
     """Findings of the pattern rules on (doc_id, text and an extension, if the units have one; rules for extensions don't fire without)."""
     extension = F.lower(F.col(extension_col)) if extension_col else F.lit("")
-    rows = given.where(F.col("text").isNotNull()).select("doc_id", "text", extension.alias("ext"), T.strip_comments(F.col("text")).alias("plain"))
+    rows = given.where(F.col("text").isNotNull()).select("doc_id", "text", extension.alias("ext"), T.strip_comments(F.col("text")).alias("plain"), T.mask_comments(F.col("text")).alias("masked"))
     made = []
     for p in rules:
         text = F.col("plain") if p.skip_comments else F.col("text")
@@ -136,46 +62,50 @@ def pattern_findings(given: DataFrame, rules: tuple[Pattern, ...] = PATTERNS, ex
         fits = F.lit(True) if not p.extensions else F.col("ext").isin(p.extensions.split("|"))
         if p.unless:
             fits = fits & ~F.col("text").rlike(p.unless)
-        line = T.line_of(F.col("text"), F.regexp_instr(F.col("text"), F.lit(p.pattern)) - 1).cast("int")
+        line = T.line_of(F.col("masked") if p.skip_comments else F.col("text"), F.regexp_instr(F.col("masked") if p.skip_comments else F.col("text"), F.lit(p.pattern)) - 1).cast("int")
         found = F.struct(*[F.lit(v).alias(k) for k, v in (("rule_id", p.rule_id), ("category", p.category), ("severity", p.severity), ("ai_specific", p.ai_specific))], n.cast("long").alias("n"), line.alias("line"))
         made.append(F.when(fits & text.rlike(p.pattern) & (n >= p.least), found))
     return rows.select("doc_id", F.explode(F.array_compact(F.array(*made))).alias("f")).select("doc_id", "f.*")
 
 
-def statistical_findings(spark: SparkSession, folder: str) -> DataFrame:
-    q = text_stats.QUERIES
-    fired = {
-        "ai/renyi-profile": q["renyi_profile"](spark, folder).where("signature"),
-        "ai/whitespace-regularity": q["whitespace_regularity"](spark, folder).where("regular"),
-        "ai/text-like-ratio": q["text_like_ratio"](spark, folder).where("text_like"),
-        "ai/errors-near-eof": q["delimiter_balance"](spark, folder).where("fires"),
-        "logic/zipf-slope-anomaly": q["zipf_fit"](spark, folder).where("anomaly"),
-        "logic/heaps-deviation": q["heaps_fit"](spark, folder).where("anomaly"),
-    }
-    out = None
-    for rule_id, category, severity, ai in STATISTICAL:
-        if rule_id in fired:
-            rows = fired[rule_id].select("doc_id", F.lit(rule_id).alias("rule_id"), F.lit(category).alias("category"), F.lit(severity).alias("severity"), F.lit(ai).alias("ai_specific"), F.lit(1).cast("long").alias("n"), F.lit(1).alias("line"))
-            out = rows if out is None else out.unionByName(rows)
-    return out
+#: What tells that a statistical rule fires, in a profile.
+FIRES = {
+    "ai/renyi-profile": "signature", "ai/whitespace-regularity": "regular", "ai/text-like-ratio": "text_like", "ai/errors-near-eof": "unbalanced", "ai/compression-profile": "compressible",
+    "logic/zipf-slope-anomaly": "anomaly", "logic/heaps-deviation": "odd_growth",
+}
 
 
-#: The pattern rule that the SQL of findings has.
-SECRET = next(p for p in PATTERNS if p.rule_id == "security/hardcoded-secret")
+def statistical_findings(docs: DataFrame, squeeze: bool = False) -> DataFrame:
+    """Findings of the statistical rules on (doc_id, text), from one pass; those on compression only if asked for."""
+    p = profile(docs, "tokens", "spaces", "lines", *(["squeeze"] if squeeze else []))
+    for add in (text_stats.with_renyi, text_stats.with_zipf, text_stats.with_heaps, text_stats.with_regularity, text_stats.with_text_like, text_stats.with_balance, *([text_stats.with_compression] if squeeze else [])):
+        p = add(p)
+    made = []
+    for rule_id, category, severity, ai in STATISTICAL:
+        if squeeze or rule_id != "ai/compression-profile":
+            line = F.floor(F.col("n_lines") * 0.8).cast("int") + 1 if rule_id == "ai/errors-near-eof" else F.lit(1)
+            found = F.struct(*[F.lit(v).alias(k) for k, v in (("rule_id", rule_id), ("category", category), ("severity", severity), ("ai_specific", ai))], F.lit(1).cast("long").alias("n"), line.alias("line"))
+            made.append(F.when(F.coalesce(F.col(FIRES[rule_id]), F.lit(False)), found))
+    return p.select("doc_id", F.explode(F.array_compact(F.array(*made))).alias("f")).select("doc_id", "f.*")
 
 
 def findings(spark: SparkSession, folder: str) -> DataFrame:
-    """Findings on documents that SQL can express too: without ai/compression-profile, as SQL has no deflate, and ai/markdown-leakage; all_findings has these."""
-    return statistical_findings(spark, folder).unionByName(pattern_findings(units(spark, folder), (SECRET,)))
+    """Findings on documents that SQL can express too: without ai/compression-profile, as SQL has no deflate, and rules on code that any text can break; all_findings has these."""
+    docs = units(spark, folder)
+    return statistical_findings(docs).unionByName(pattern_findings(docs, (SECRET,)))
+
+
+def kept_findings(spark: SparkSession, folder: str) -> DataFrame:
+    """findings, made once and kept, for queries that read them several times."""
+    return kept(findings(spark, folder))
 
 
 def all_findings(spark: SparkSession, folder: str) -> DataFrame:
-    """All findings on documents: those of findings, compression profiles and the other pattern rules that need no extension."""
-    rule = next(r for r in STATISTICAL if r[0] == "ai/compression-profile")
-    fires = text_stats.compression_profile(spark, folder).where("fires")
-    profile = fires.select("doc_id", *[F.lit(v).alias(k) for k, v in zip(("rule_id", "category", "severity", "ai_specific"), rule, strict=True)], F.lit(1).cast("long").alias("n"), F.lit(1).alias("line"))
-    others = tuple(p for p in PATTERNS if not p.extensions and p != SECRET)
-    return findings(spark, folder).unionByName(profile).unionByName(pattern_findings(units(spark, folder), others))
+    """All findings on documents: statistical rules, secrets, and the source rules that hold for any path. A document's path is its number."""
+    docs = units(spark, folder)
+    found = source_findings(docs.select(F.col("doc_id").cast("string").alias("path"), "text"), tuple(r for r in RULES if not r.paths))
+    found = found.join(F.broadcast(catalog(spark)), "rule_id").groupBy(F.col("path").cast("long").alias("doc_id"), "rule_id", "category", "severity", "ai_specific").agg(F.count("*").alias("n"), F.min("line").alias("line"))
+    return statistical_findings(docs, True).unionByName(pattern_findings(docs, (SECRET,))).unionByName(found)
 
 
 def _fired_sql() -> str:
@@ -185,12 +115,13 @@ def _fired_sql() -> str:
         ("ai/text-like-ratio", "ai", "low", True, s["text_like_ratio"], "text_like"), ("ai/errors-near-eof", "ai", "medium", True, s["delimiter_balance"], "fires"),
         ("logic/zipf-slope-anomaly", "logic", "medium", False, s["zipf_fit"], "anomaly"), ("logic/heaps-deviation", "logic", "medium", False, s["heaps_fit"], "anomaly"),
     ]
-    selects = [f"SELECT doc_id, '{r}' AS rule_id, '{c}' AS category, '{v}' AS severity, {str(a).lower()} AS ai_specific, 1::BIGINT AS n, 1 AS line FROM ({q}) WHERE {f}" for r, c, v, a, q, f in parts]
+    line = {"ai/errors-near-eof": "(floor(n_lines * 0.8) + 1)::INT"}
+    selects = [f"SELECT doc_id, '{r}' AS rule_id, '{c}' AS category, '{v}' AS severity, {str(a).lower()} AS ai_specific, 1::BIGINT AS n, {line.get(r, '1')} AS line FROM ({q}) WHERE {f}" for r, c, v, a, q, f in parts]
     pattern = SECRET.pattern.replace("'", "''")
     plain = r"regexp_replace(text, '(?s)//[^\n]*|/\*.*?(?:\*/|\z)', '', 'g')"
     selects.append(
         f"SELECT doc_id, 'security/hardcoded-secret', 'security', 'high', true, len(regexp_extract_all({plain}, '{pattern}'))::BIGINT, "
-        f"(1 + length(x) - length(replace(x, chr(10), '')))::INT FROM (SELECT *, substr(text, 1, strpos(text, regexp_extract(text, '{pattern}')) - 1) AS x FROM documents) WHERE regexp_matches({plain}, '{pattern}')"
+        f"(1 + length(x) - length(replace(x, chr(10), '')))::INT FROM (SELECT *, substr(text, 1, strpos(text, regexp_extract({plain}, '{pattern}')) - 1) AS x FROM documents) WHERE regexp_matches({plain}, '{pattern}')"
     )
     return " UNION ALL ".join(selects)
 
@@ -201,7 +132,7 @@ FINDINGS_SQL = _fired_sql()
 def markup_rules(spark: SparkSession, folder: str) -> DataFrame:
     """Counts on pages: anchors, images without alternative texts, links that open windows unsafely, and the commonest class's share."""
     pages = table(spark, folder, "pages").where(F.col("html").isNotNull())
-    by = {p.rule_id: p for p in PATTERNS}
+    by = {p.rule_id: p for p in PAGE_RULES}
     classes = F.flatten(F.transform(F.regexp_extract_all("html", F.lit('class="([^"]*)"'), F.lit(1)), lambda c: F.split(c, " ")))
     return pages.select(
         "page_id", T.count(F.col("html"), r"<a\b").alias("anchors"), T.count(F.col("html"), by["wcag/missing-alt"].pattern).alias("missing_alt"),

@@ -6,13 +6,21 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from textloom.operators import rules
+from textloom.plans.components import kept
 from textloom.sources.tables import table, units
 
 #: Weights of severities, and of the axes of the two composite scores.
 WEIGHTS = {"low": 1, "medium": 3, "high": 5}
 HEADLINE = {"slop": 0.4, "hygiene": 0.3, "security": 0.2, "test": 0.1}
 SLOP = {"boundary": 0.40, "context": 0.35, "visual": 0.25}
-BOUNDARY, CONTEXT = ("security", "db", "test"), ("ai", "arch", "logic", "docs", "component")
+#: The bucket of each rule that isn't in the visual one.
+BUCKETS = {
+    "boundary": ("logic/boundary-violation", "component/giant-component", "component/multiple-components-per-file"),
+    "context": (
+        "component/shadcn-prop-mismatch", "context/import-path-mismatch", "logic/key-prop-missing", "logic/optimistic-no-rollback", "logic/ghost-defensive", "logic/reactive-hook-soup", "logic/zombie-state",
+        "logic/math-any-density", "logic/math-console-log-storm", "logic/math-variable-name-entropy", "logic/math-gini-class-usage",
+    ),
+}
 HYGIENE = ("arch", "logic", "layout", "visual", "component", "test")
 
 
@@ -27,8 +35,8 @@ def burden(points: Column, scale: float) -> Column:
     return F.least(F.lit(100.0), F.log10(1 + points / scale) / F.log10(F.lit(11.0)) * 100)
 
 
-def bucket(category: Column) -> Column:
-    return F.when(category.isin(*BOUNDARY), "boundary").when(category.isin(*CONTEXT), "context").otherwise("visual")
+def bucket(rule_id: Column) -> Column:
+    return F.when(rule_id.isin(*BUCKETS["boundary"]), "boundary").when(rule_id.isin(*BUCKETS["context"]), "context").otherwise("visual")
 
 
 def file_scores(spark: SparkSession, folder: str) -> DataFrame:
@@ -43,7 +51,7 @@ FILE_SQL = f"WITH f AS ({rules.FINDINGS_SQL}) SELECT doc_id, least(100, sum({_W}
 
 def score_p90(spark: SparkSession, folder: str) -> DataFrame:
     """Nearest-rank ninetieth percentile, peak and mean of scores over all documents; those without findings score 0."""
-    s = units(spark, folder).select("doc_id").join(file_scores(spark, folder), "doc_id", "left").select(F.coalesce("score", F.lit(0)).cast("long").alias("score"))
+    s = table(spark, folder, "documents").select("doc_id").join(file_scores(spark, folder), "doc_id", "left").select(F.coalesce("score", F.lit(0)).cast("long").alias("score"))
     return s.agg(F.expr("percentile_disc(0.9) WITHIN GROUP (ORDER BY score)").cast("long").alias("p90"), F.max("score").alias("peak"), F.round(F.avg("score"), 6).alias("mean"), F.count("*").alias("n"))
 
 
@@ -52,24 +60,30 @@ P90_SQL = f"WITH s AS ({FILE_SQL}), d AS (SELECT coalesce(score, 0) AS score FRO
 
 def bucket_burden(spark: SparkSession, folder: str) -> DataFrame:
     """Logarithmic burden of each document's AI-specific findings by bucket."""
-    f = rules.findings(spark, folder).where(F.coalesce("ai_specific", F.lit(True))).withColumn("bucket", bucket(F.col("category")))
+    f = rules.findings(spark, folder).where(F.coalesce("ai_specific", F.lit(True))).withColumn("bucket", bucket(F.col("rule_id")))
     g = f.groupBy("doc_id", "bucket").agg(F.sum(weight(F.col("severity"))).alias("points"))
     return g.select("doc_id", "bucket", F.col("points").cast("long").alias("points"), F.round(burden(F.col("points"), 1.0), 4).alias("burden"))
 
 
-_B = "CASE WHEN category IN ('security', 'db', 'test') THEN 'boundary' WHEN category IN ('ai', 'arch', 'logic', 'docs', 'component') THEN 'context' ELSE 'visual' END"
+_IN = {k: ", ".join(f"'{r}'" for r in v) for k, v in BUCKETS.items()}
+_B = f"CASE WHEN rule_id IN ({_IN['boundary']}) THEN 'boundary' WHEN rule_id IN ({_IN['context']}) THEN 'context' ELSE 'visual' END"
 BUCKET_SQL = f"""WITH f AS ({rules.FINDINGS_SQL}), g AS (SELECT doc_id, {_B} AS bucket, sum({_W})::BIGINT AS points FROM f WHERE ai_specific GROUP BY 1, 2)
 SELECT doc_id, bucket, points, round(least(100.0, log10(1 + points) / log10(11.0) * 100), 4) AS burden FROM g"""
 
 
 def headline_scores(spark: SparkSession, folder: str) -> DataFrame:
     """The corpus's four axes and their mean: slop, hygiene, security, test."""
-    f = rules.findings(spark, folder).groupBy("category", "ai_specific").agg(F.sum(weight(F.col("severity"))).alias("w"), F.count("*").alias("n"))
+    return health(rules.findings(spark, folder))
+
+
+def health(found: DataFrame) -> DataFrame:
+    """One row: slop, hygiene, security, test and health of findings."""
+    f = found.withColumn("bucket", bucket(F.col("rule_id"))).groupBy("bucket", "category", "ai_specific").agg(F.sum(weight(F.col("severity"))).alias("w"), F.count("*").alias("n"))
 
     def total(test: Column, what: str = "w") -> Column:
         return F.coalesce(F.sum(F.when(test, F.col(what))), F.lit(0))
 
-    slop = sum((F.lit(v) * burden(total(F.col("ai_specific") & (bucket(F.col("category")) == k)), 1000.0) for k, v in SLOP.items()), F.lit(0.0))
+    slop = sum((F.lit(v) * burden(total(F.coalesce("ai_specific", F.lit(True)) & (F.col("bucket") == k)), 1000.0) for k, v in SLOP.items()), F.lit(0.0))
     hygiene = 100 - sum((burden(total(F.col("category") == c), 500.0) for c in HYGIENE), F.lit(0.0)) / len(HYGIENE)
     security = 100 / (1 + total(F.col("category") == "security", "n") / 5)
     test = F.greatest(F.lit(0.0), 100 - F.ceil(total(F.col("category") == "test") / 5))
@@ -90,8 +104,9 @@ SELECT round(slop, 4) AS slop, round(hygiene, 4) AS hygiene, round(security, 4)
 
 def gates(spark: SparkSession, folder: str, max_slop: float = 60.0, min_health: float = 50.0, max_high: int = 100) -> DataFrame:
     """One row: which gates fail."""
-    high = rules.findings(spark, folder).agg(F.coalesce(F.sum((F.col("severity") == "high").cast("long")), F.lit(0)).alias("high"))
-    one = headline_scores(spark, folder).crossJoin(high)  # a row each
+    found = rules.kept_findings(spark, folder)
+    high = found.agg(F.coalesce(F.sum((F.col("severity") == "high").cast("long")), F.lit(0)).alias("high"))
+    one = health(found).crossJoin(high)  # a row each
     failed = F.array_compact(F.array(F.when(F.col("slop") > max_slop, F.lit("max-slop")), F.when(F.col("health") < min_health, F.lit("min-health")), F.when(F.col("high") > max_high, F.lit("max-high"))))
     return one.select("slop", "health", "high", F.array_join(failed, ",").alias("failed"))
 
@@ -110,17 +125,17 @@ def wilson(k: Column, n: Column, sign: int) -> Column:
     return F.when(n > 0, F.greatest(F.lit(0.0), F.least(F.lit(1.0), (middle + sign * half) / (1 + Z * Z / n))))
 
 
-def _fires(spark: SparkSession, folder: str) -> DataFrame:
-    """Each labelled document with each rule that fires on any, and whether it fires there; positive: quality 0."""
+def _fires(spark: SparkSession, folder: str, found: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Labelled documents (doc_id, positive: quality 0, lang, source), and the rules that fire (doc_id, rule_id), of findings if they are given."""
     labels = table(spark, folder, "labels").where("quality IS NOT NULL").select("doc_id", (F.col("quality") == 0).alias("positive"))
     labelled = labels.join(units(spark, folder).select("doc_id", "lang", "source"), "doc_id")
-    fired = rules.findings(spark, folder).select("doc_id", "rule_id").distinct()
+    fired = (rules.findings(spark, folder) if found is None else found).select("doc_id", "rule_id").distinct()
     return labelled, fired
 
 
-def rule_confusion(spark: SparkSession, folder: str) -> DataFrame:
+def rule_confusion(spark: SparkSession, folder: str, found: DataFrame | None = None) -> DataFrame:
     """Recall, false positive rate with Wilson intervals, smoothed likelihood ratio and verdict of each rule over the labelled documents."""
-    labelled, fired = _fires(spark, folder)
+    labelled, fired = _fires(spark, folder, found)
     arms = labelled.agg(F.sum(F.col("positive").cast("long")).alias("pos"), F.sum((~F.col("positive")).cast("long")).alias("neg"))
     c = labelled.join(fired, "doc_id").groupBy("rule_id").agg(F.sum(F.col("positive").cast("long")).alias("tp"), F.sum((~F.col("positive")).cast("long")).alias("fp"))
     c = c.crossJoin(F.broadcast(arms))  # one row
@@ -163,8 +178,8 @@ SELECT rule_id, round(sum(k / n) / (SELECT count(*) FROM s), 6) AS macro_recall,
 
 def rule_cooccurrence(spark: SparkSession, folder: str) -> DataFrame:
     """Normalised pointwise mutual information of rules that fire on one document. Pairs are of rules, of which a document has few."""
-    fired = rules.findings(spark, folder).select("doc_id", "rule_id").distinct()
-    n = units(spark, folder).agg(F.count("*").alias("n"))
+    fired = kept(rules.findings(spark, folder).select("doc_id", "rule_id").distinct())
+    n = table(spark, folder, "documents").agg(F.count("*").alias("n"))
     support = fired.groupBy("rule_id").agg(F.count("*").alias("k"))
     sets = fired.groupBy("doc_id").agg(F.sort_array(F.collect_list("rule_id")).alias("r"))
     pairs = sets.select(F.explode(F.flatten(F.transform("r", lambda a: F.transform(F.filter("r", lambda b: b > a), lambda b: F.struct(a.alias("a"), b.alias("b")))))).alias("p")).select("p.*")
@@ -182,8 +197,9 @@ SELECT a, b, p.both AS "both", ka.k AS ka, kb.k AS kb, round(CASE WHEN p.both =
 
 def composite_probability(spark: SparkSession, folder: str) -> DataFrame:
     """Probability of each document with findings: prior 0.3 and the rules' positive log likelihood ratios (13.8 at most)."""
-    llr = rule_confusion(spark, folder).where("lr > 1 AND verdict IN ('USEFUL', 'OK')").select("rule_id", F.least(F.lit(13.8), F.ln("lr")).alias("llr"))
-    fired = rules.findings(spark, folder).select("doc_id", "rule_id").distinct().join(F.broadcast(llr), "rule_id", "left")
+    found = rules.kept_findings(spark, folder)
+    llr = rule_confusion(spark, folder, found).where("lr > 1 AND verdict IN ('USEFUL', 'OK')").select("rule_id", F.least(F.lit(13.8), F.ln("lr")).alias("llr"))
+    fired = found.select("doc_id", "rule_id").distinct().join(F.broadcast(llr), "rule_id", "left")  # a row for each rule
     g = fired.groupBy("doc_id").agg(F.sum(F.coalesce("llr", F.lit(0.0))).alias("s"), F.count("llr").alias("rules"))
     logit = F.lit(0.3 / 0.7)
     return g.select("doc_id", "rules", F.round(1 / (1 + F.exp(-(F.ln(logit) + F.col("s")))), 5).alias("probability"))

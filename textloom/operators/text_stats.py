@@ -1,53 +1,44 @@
-"""Distribution statistics of each document's tokens and lines.
+"""Distribution statistics of each document's tokens and lines, and of groups of documents.
 
-Each query explodes tokens once and aggregates by (document, token) with map-side combination; windows are partitioned by document, whose size
-bounds a task's work.
+What tells of one document comes from profile(), in one pass without a shuffle; the SQL beside each query says the same in relational terms.
 """
 
 from __future__ import annotations
 
-import zlib
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from textloom.functions import text as T
-from textloom.sources.tables import units
+from textloom.operators.profile import profile
+from textloom.sources.tables import table, units
 
 TOKENS_SQL = r"t AS (SELECT doc_id, lang, source, unnest(regexp_extract_all(lower(text), '[a-z_][a-z0-9_]+')) AS token FROM documents)"
 COUNTS_SQL = TOKENS_SQL + ", c AS (SELECT doc_id, token, count(*) AS n FROM t GROUP BY 1, 2)"
 
 
-def token_rows(docs: DataFrame) -> DataFrame:
-    return docs.select("doc_id", "lang", "source", F.posexplode(T.tokens(F.col("text"))).alias("pos", "token"))
-
-
 def token_counts(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.explode(T.tokens(F.col("text"))).alias("token")).groupBy("doc_id", "token").agg(F.count("*").alias("n"))
 
 
 def tokens_per_doc(spark: SparkSession, folder: str) -> DataFrame:
-    c = token_counts(units(spark, folder)).groupBy("doc_id").agg(F.sum("n").alias("n_tokens"), F.count("*").alias("n_types"))
-    return c.withColumn("type_token_ratio", F.round(F.col("n_types") / F.col("n_tokens"), 6))
+    c = profile(units(spark, folder), "tokens").where("n_tokens > 0")
+    return c.select("doc_id", "n_tokens", "n_types", F.round(F.col("n_types") / F.col("n_tokens"), 6).alias("type_token_ratio"))
 
 
 TOKENS_PER_DOC_SQL = f"WITH {COUNTS_SQL} SELECT doc_id, sum(n)::BIGINT AS n_tokens, count(*) AS n_types, round(count(*) / sum(n), 6) AS type_token_ratio FROM c GROUP BY doc_id"
 
 
+def with_renyi(p: DataFrame) -> DataFrame:
+    """Adds ratios of the entropies and whether they lie near one another to a profile's tokens."""
+    some = F.col("h1") > 1e-12
+    p = p.withColumn("r2", F.when(some, F.col("h2") / F.col("h1")).otherwise(F.lit(0.0))).withColumn("rinf", F.when(some, F.col("hinf") / F.col("h1")).otherwise(F.lit(0.0)))
+    return p.withColumn("signature", (F.col("n_tokens") >= 50) & (F.col("r2") > 0.85) & (F.col("rinf") > 0.95))
+
+
 def renyi_profile(spark: SparkSession, folder: str) -> DataFrame:
     """Entropies of order 1, 2, infinity and one half of each document's tokens, and whether they lie near one another."""
-    c = token_counts(units(spark, folder)).withColumn("total", F.sum("n").over(Window.partitionBy("doc_id"))).withColumn("p", F.col("n") / F.col("total"))
-    h = c.groupBy("doc_id").agg(
-        F.max("total").alias("n_tokens"), (-F.sum(F.col("p") * F.log2("p"))).alias("h1"), (-F.log2(F.sum(F.col("p") * F.col("p")))).alias("h2"),
-        (-F.log2(F.max("p"))).alias("hinf"), (2 * F.log2(F.sum(F.sqrt("p")))).alias("h_half"),
-    )
-    r2 = F.when(F.col("h1") > 1e-12, F.col("h2") / F.col("h1")).otherwise(F.lit(0.0))
-    rinf = F.when(F.col("h1") > 1e-12, F.col("hinf") / F.col("h1")).otherwise(F.lit(0.0))
-    h = h.withColumn("r2", r2).withColumn("rinf", rinf)
-    fires = (F.col("n_tokens") >= 50) & (F.col("r2") > 0.85) & (F.col("rinf") > 0.95)
-    return h.select("doc_id", "n_tokens", *[(F.round(k, 6) + 0.0).alias(k) for k in ("h1", "h2", "hinf", "h_half", "r2", "rinf")], fires.alias("signature"))
+    h = with_renyi(profile(units(spark, folder), "tokens").where("n_tokens > 0"))
+    return h.select("doc_id", "n_tokens", *[(F.round(k, 6) + 0.0).alias(k) for k in ("h1", "h2", "hinf", "h_half", "r2", "rinf")], "signature")
 
 
 RENYI_SQL = f"""WITH {COUNTS_SQL}, p AS (SELECT doc_id, n / sum(n) OVER (PARTITION BY doc_id) AS p, sum(n) OVER (PARTITION BY doc_id) AS total FROM c),
@@ -57,16 +48,16 @@ SELECT doc_id, n_tokens, round(h1, 6) + 0.0 AS h1, round(h2, 6) + 0.0 AS h2, rou
        n_tokens >= 50 AND r2 > 0.85 AND rinf > 0.95 AS signature FROM r"""
 
 
+def with_zipf(p: DataFrame) -> DataFrame:
+    some = (F.col("n_types") >= 2) & ~F.col("flat")
+    p = p.withColumn("exponent", F.when(some, -F.col("zipf")).otherwise(F.lit(0.0))).withColumn("r2", F.when(some, F.col("fit")).otherwise(F.lit(0.0)))
+    return p.withColumn("anomaly", (F.col("n_tokens") >= 50) & (F.col("n_types") >= 10) & (F.col("r2") >= 0.7) & (F.abs((F.col("exponent") - 1.0) / 0.25) >= 2))
+
+
 def zipf_fit(spark: SparkSession, folder: str) -> DataFrame:
     """Least squares of log frequency on log rank; all zero for fewer than two types or equal frequencies."""
-    c = token_counts(units(spark, folder))
-    c = c.withColumn("rank", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("n"), "token")))
-    f = c.groupBy("doc_id").agg(F.sum("n").alias("n_tokens"), F.count("*").alias("n_types"), F.regr_slope(F.ln("n"), F.ln("rank")).alias("s"), F.covar_pop(F.ln("n"), F.ln("rank")).alias("c"), (F.var_pop(F.ln("n")) * F.var_pop(F.ln("rank"))).alias("v"), (F.max("n") == F.min("n")).alias("flat"))
-    some = (F.col("n_types") >= 2) & ~F.col("flat")
-    exponent = F.when(some, -F.col("s")).otherwise(F.lit(0.0))
-    r2 = F.when(some, F.try_divide(F.col("c") * F.col("c"), F.col("v"))).otherwise(F.lit(0.0))
-    odd = (F.col("n_tokens") >= 50) & (F.col("n_types") >= 10) & (r2 >= 0.7) & (F.abs((exponent - 1.0) / 0.25) >= 2)
-    return f.select("doc_id", "n_tokens", "n_types", (F.round(exponent, 6) + 0.0).alias("exponent"), (F.round(r2, 6) + 0.0).alias("r2"), odd.alias("anomaly"))
+    f = with_zipf(profile(units(spark, folder), "tokens").where("n_tokens > 0"))
+    return f.select("doc_id", "n_tokens", "n_types", (F.round("exponent", 6) + 0.0).alias("exponent"), (F.round("r2", 6) + 0.0).alias("r2"), "anomaly")
 
 
 ZIPF_SQL = f"""WITH {COUNTS_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, token) AS rank FROM c),
@@ -75,21 +66,14 @@ g AS (SELECT *, CASE WHEN n_types >= 2 AND NOT flat THEN -s ELSE 0 END AS e, CAS
 SELECT doc_id, n_tokens, n_types, round(e, 6) + 0.0 AS exponent, round(q, 6) + 0.0 AS r2, n_tokens >= 50 AND n_types >= 10 AND q >= 0.7 AND abs((e - 1.0) / 0.25) >= 2 AS anomaly FROM g"""
 
 
+def with_heaps(p: DataFrame) -> DataFrame:
+    return p.withColumn("odd_growth", (F.col("n_tokens") >= 50) & (F.col("heaps") != 0) & (F.abs((F.col("heaps") - 0.5) / 0.15) >= 2))
+
+
 def heaps_fit(spark: SparkSession, folder: str) -> DataFrame:
     """Growth of the vocabulary: least squares of log types on log tokens at 5 to 20 even places; 0 for fewer than ten tokens."""
-    rows = token_rows(units(spark, folder)).select("doc_id", (F.col("pos") + 1).alias("pos"), "token")
-    first = F.row_number().over(Window.partitionBy("doc_id", "token").orderBy("pos")) == 1
-    rows = rows.withColumn("first", first.cast("int"))
-    doc = Window.partitionBy("doc_id")
-    rows = rows.withColumn("v", F.sum("first").over(doc.orderBy("pos"))).withColumn("n", F.count("*").over(doc))
-    rows = rows.withColumn("m", F.least(F.lit(20), F.greatest(F.lit(5), F.floor(F.log2("n")))))
-    # A place t is floor(i n / m) for an i from 1 to m.
-    i = F.ceil(F.col("pos") * F.col("m") / F.col("n"))
-    rows = rows.withColumn("at", F.floor(i * F.col("n") / F.col("m")) == F.col("pos"))
-    f = rows.groupBy("doc_id").agg(F.max("n").alias("n_tokens"), F.regr_slope(F.when(F.col("at"), F.ln("v")), F.when(F.col("at"), F.ln("pos"))).alias("s"))
-    exponent = F.when(F.col("n_tokens") >= 10, F.coalesce("s", F.lit(0.0))).otherwise(F.lit(0.0))
-    odd = (F.col("n_tokens") >= 50) & (exponent != 0) & (F.abs((exponent - 0.5) / 0.15) >= 2)
-    return f.select("doc_id", "n_tokens", (F.round(exponent, 6) + 0.0).alias("exponent"), odd.alias("anomaly"))
+    f = with_heaps(profile(units(spark, folder), "tokens").where("n_tokens > 0"))
+    return f.select("doc_id", "n_tokens", (F.round("heaps", 6) + 0.0).alias("exponent"), F.col("odd_growth").alias("anomaly"))
 
 
 HEAPS_SQL = r"""WITH a AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z_][a-z0-9_]+') AS w FROM documents),
@@ -103,18 +87,14 @@ e AS (SELECT doc_id, n_tokens, CASE WHEN n_tokens >= 10 THEN coalesce(s, 0) ELSE
 SELECT doc_id, n_tokens, round(e, 6) + 0.0 AS exponent, n_tokens >= 50 AND e <> 0 AND abs((e - 0.5) / 0.15) >= 2 AS anomaly FROM e"""
 
 
+def with_regularity(p: DataFrame) -> DataFrame:
+    return p.withColumn("regular", (F.col("n_runs") >= 50) & (F.col("cv") < 0.5) & (F.col("entropy") < 0.8))
+
+
 def whitespace_regularity(spark: SparkSession, folder: str) -> DataFrame:
     """Lengths of runs of spaces: variation and entropy; regular runs are a sign of generated text."""
-    runs = units(spark, folder).select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(" +"), F.lit(0))).alias("run")).select("doc_id", F.length("run").alias("len"))
-    c = runs.groupBy("doc_id", "len").agg(F.count("*").alias("n")).withColumn("total", F.sum("n").over(Window.partitionBy("doc_id")))
-    p = F.col("n") / F.col("total")
-    g = c.groupBy("doc_id").agg(
-        F.max("total").alias("n_runs"), (F.sum(F.col("n") * F.col("len")) / F.max("total")).alias("mean"), F.sum(F.col("n") * F.col("len") * F.col("len")).alias("sq"),
-        (-F.sum(p * F.log2(p))).alias("h"), F.min("len").alias("shortest"), F.max("len").alias("longest"),
-    )
-    cv = F.sqrt(F.greatest(F.lit(0.0), F.col("sq") / F.col("n_runs") - F.col("mean") * F.col("mean"))) / F.col("mean")
-    fires = (F.col("n_runs") >= 50) & (cv < 0.5) & (F.col("h") < 0.8)
-    return g.select("doc_id", "n_runs", (F.round(cv, 5) + 0.0).alias("cv"), (F.round("h", 6) + 0.0).alias("entropy"), "shortest", "longest", fires.alias("regular"))
+    g = with_regularity(profile(units(spark, folder), "spaces").where("n_runs > 0"))
+    return g.select("doc_id", "n_runs", (F.round("cv", 5) + 0.0).alias("cv"), (F.round("entropy", 6) + 0.0).alias("entropy"), "shortest", "longest", "regular")
 
 
 WHITESPACE_SQL = """WITH r AS (SELECT doc_id, length(unnest(regexp_extract_all(text, ' +'))) AS len FROM documents), c AS (SELECT doc_id, len, count(*) AS n FROM r GROUP BY 1, 2),
@@ -123,83 +103,103 @@ g AS (SELECT doc_id, max(total)::BIGINT AS n_runs, sum(n * len) / max(total) AS
 v AS (SELECT *, sqrt(greatest(0.0, sq / n_runs - mean * mean)) / mean AS cv FROM g)
 SELECT doc_id, n_runs, round(cv, 5) + 0.0 AS cv, round(h, 6) + 0.0 AS entropy, shortest, longest, n_runs >= 50 AND cv < 0.5 AND h < 0.8 AS regular FROM v"""
 
-PROSE = r"^[A-Z][^A-Z\n]{20,}[.;:]$"
+def with_text_like(p: DataFrame) -> DataFrame:
+    return p.withColumn("text_like", (F.col("n_lines") >= 10) & (F.col("n_counted") > 0) & (10 * F.col("n_prose") >= 3 * F.col("n_counted")))
 
 
 def text_like_ratio(spark: SparkSession, folder: str) -> DataFrame:
-    """Share of lines that look like prose, of documents with ten lines or more that aren't blank or comments."""
-    lines = units(spark, folder).select("doc_id", F.explode(F.split("text", "\n", -1)).alias("line"))
-    counted = lines.where((F.trim("line") != "") & ~F.col("line").rlike(r"^[ \t]*(//|#|\*|/\*)"))
-    spaces = F.length("line") - F.length(F.replace(F.col("line"), F.lit(" "), F.lit("")))
-    prose = (F.length("line") >= 40) & (spaces >= 2) & ~F.col("line").rlike(r"[{};]|=>") & F.col("line").rlike(r"[.:]$")
-    g = counted.groupBy("doc_id").agg(F.count("*").alias("n_lines"), F.sum(prose.cast("long")).alias("n_prose")).where("n_lines >= 10")
-    return g.select("doc_id", "n_lines", "n_prose", F.round(F.col("n_prose") / F.col("n_lines"), 6).alias("ratio"), (F.col("n_prose") / F.col("n_lines") >= 0.3).alias("text_like"))
+    """Share of lines like prose among those that aren't blank, comments or with an odd number of quotes, of documents with ten lines or more."""
+    g = with_text_like(profile(units(spark, folder), "lines").where("n_lines >= 10 AND n_counted > 0"))
+    return g.select("doc_id", F.col("n_counted").alias("n_lines"), "n_prose", F.round(F.col("n_prose") / F.col("n_counted"), 6).alias("ratio"), "text_like")
 
 
-TEXT_LIKE_SQL = r"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents),
-c AS (SELECT doc_id, length(line) >= 40 AND length(line) - length(replace(line, ' ', '')) >= 2 AND NOT regexp_matches(line, '[{};]|=>') AND regexp_matches(line, '[.:]$') AS prose
-      FROM l WHERE trim(line) <> '' AND NOT regexp_matches(line, '^[ \t]*(//|#|\*|/\*)')),
-g AS (SELECT doc_id, count(*) AS n_lines, sum(prose::INT)::BIGINT AS n_prose FROM c GROUP BY 1 HAVING count(*) >= 10)
-SELECT doc_id, n_lines, n_prose, round(n_prose / n_lines, 6) AS ratio, n_prose / n_lines >= 0.3 AS text_like FROM g"""
+TEXT_LIKE_SQL = r"""WITH d AS (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents), l AS (SELECT doc_id, trim(unnest(l), ' ' || chr(9) || chr(13) || chr(12) || chr(11)) AS line FROM d WHERE len(l) >= 10),
+c AS (SELECT doc_id, length(line) >= 40 AND NOT regexp_matches(line, '[{}()\[\];=<>]|=>|->') AND length(line) - length(replace(line, ' ', '')) >= 2 AND regexp_matches(line, '^[A-Z][^A-Z\n]{20,}(\.|;|:)$') AS prose
+      FROM l WHERE line <> '' AND NOT regexp_matches(line, '^(//|#|/\*|\*|--)') AND len(regexp_extract_all(line, '[''"`]')) % 2 = 0),
+g AS (SELECT doc_id, count(*) AS n_lines, sum(prose::INT)::BIGINT AS n_prose FROM c GROUP BY 1)
+SELECT doc_id, n_lines, n_prose, round(n_prose / n_lines, 6) AS ratio, 10 * n_prose >= 3 * n_lines AS text_like FROM g"""
 
 
-def delimiter_balance(spark: SparkSession, folder: str) -> DataFrame:
-    """Unbalanced brackets of the last fifth of the lines against the whole, of documents with twenty lines or more."""
-    d = units(spark, folder).select("doc_id", "text", F.split("text", "\n", -1).alias("lines")).where(F.size("lines") >= 20)
-    tail = F.array_join(F.slice("lines", F.size("lines") - F.ceil(F.size("lines") * 0.2).cast("int") + 1, F.ceil(F.size("lines") * 0.2).cast("int")), "\n")
+def with_balance(p: DataFrame) -> DataFrame:
+    fires = (F.col("n_lines") >= 20) & (F.col("tail") >= 3) & (10 * F.col("tail") >= F.col("tail_all")) & ~((F.col("tail") <= 2 * F.col("whole")) & (F.col("whole") >= 3))
+    return p.withColumn("unbalanced", fires)
 
-    def off(t):
-        return sum((F.abs(T.count(t, a) - T.count(t, b)) for a, b in ((r"\(", r"\)"), (r"\[", r"\]"), (r"\{", r"\}"))), F.lit(0))
 
-    d = d.select("doc_id", F.size("lines").alias("n_lines"), off(F.col("text")).alias("whole"), off(tail).alias("tail"))
-    fires = (F.col("tail") >= 3) & ~((F.col("tail") <= 2 * F.col("whole")) & (F.col("whole") >= 3))
-    return d.withColumn("fires", fires)
+def delimiter_balance(spark: SparkSession, folder: str) -> DataFrame:
+    """Brackets without a partner in all lines and in the last fifth, and how many stand there, of documents with twenty lines or more."""
+    d = with_balance(profile(units(spark, folder), "lines").where("n_lines >= 20"))
+    return d.select("doc_id", "n_lines", "whole", "tail", "tail_all", F.col("unbalanced").alias("fires"))
 
 
-DELIMITER_SQL = r"""WITH d AS (SELECT doc_id, text, string_split(text, chr(10)) AS l FROM documents), e AS (SELECT doc_id, text, len(l) AS n, array_to_string(l[len(l) - ceil(len(l) * 0.2)::BIGINT + 1 :], chr(10)) AS tail FROM d WHERE len(l) >= 20),
-k AS (SELECT doc_id, n, length(text) AS x, """ + ", ".join(
-    f"abs((length({t}) - length(replace({t}, '{a}', ''))) - (length({t}) - length(replace({t}, '{b}', '')))) AS {n}{i}" for n, t in (("w", "text"), ("t", "tail")) for i, (a, b) in enumerate(("()", "[]", "{}"))
-) + """ FROM e), o AS (SELECT doc_id, n::INT AS n_lines, (w0 + w1 + w2)::INT AS whole, (t0 + t1 + t2)::INT AS tail FROM k)
-SELECT *, tail >= 3 AND NOT (tail <= 2 * whole AND whole >= 3) AS fires FROM o"""
+DELIMITER_SQL = r"""WITH d AS (SELECT doc_id, text, string_split(text, chr(10)) AS l FROM documents), e AS (SELECT doc_id, text, len(l) AS n, array_to_string(l[floor(len(l) * 0.8)::BIGINT + 1 :], chr(10)) AS tail FROM d WHERE len(l) >= 20),
+k AS (SELECT doc_id, n, len(regexp_extract_all(text, '[{(\[<]')) AS wo, len(regexp_extract_all(text, '[})\]>]')) AS wc, len(regexp_extract_all(tail, '[{(\[<]')) AS o, len(regexp_extract_all(tail, '[})\]>]')) AS c FROM e),
+o AS (SELECT doc_id, n::INT AS n_lines, abs(wo - wc)::INT AS whole, abs(o - c)::INT AS tail, (o + c)::INT AS tail_all FROM k)
+SELECT *, tail >= 3 AND 10 * tail >= tail_all AND NOT (tail <= 2 * whole AND whole >= 3) AS fires FROM o"""
 
 
 def kl_novelty(by: str):
     def query(spark: SparkSession, folder: str) -> DataFrame:
-        """Divergence of each group's tokens from the corpus's, in nats."""
+        """Divergence of each group's tokens from the corpus's, in nats; documents without a group are one."""
         c = units(spark, folder).select(by, F.explode(T.tokens(F.col("text"))).alias("token")).groupBy(by, "token").agg(F.count("*").alias("n"))
         whole = c.groupBy("token").agg(F.sum("n").alias("q"))
-        totals = c.groupBy(by).agg(F.sum("n").alias("total"))
+        totals = c.groupBy(F.col(by).alias("__group")).agg(F.sum("n").alias("total"))
         every = c.agg(F.sum("n").alias("every"))  # one row
-        j = c.join(whole, "token").join(F.broadcast(totals), by).crossJoin(F.broadcast(every))
+        j = c.join(whole, "token").join(totals, F.col(by).eqNullSafe(F.col("__group"))).crossJoin(F.broadcast(every))
         p, q = F.col("n") / F.col("total"), F.col("q") / F.col("every")
         return j.groupBy(by).agg(F.max("total").alias("n_tokens"), F.round(F.sum(p * F.ln(p / q)), 6).alias("kl"))
 
     return query
 
 
+#: Share of a token that a corpus lacks.
+MISSING = 1e-12
+
+
+def kl_novelty_vs_benchmark(spark: SparkSession, folder: str) -> DataFrame:
+    """Divergence of each source's tokens from those of the benchmark, where a token that this lacks has a share of MISSING."""
+    c = units(spark, folder).select("source", F.explode(T.tokens(F.col("text"))).alias("token")).groupBy("source", "token").agg(F.count("*").alias("n"))
+    other = table(spark, folder, "benchmark").select(F.explode(T.tokens(F.col("text"))).alias("token")).groupBy("token").agg(F.count("*").alias("q"))
+    totals = c.groupBy(F.col("source").alias("__group")).agg(F.sum("n").alias("total"))
+    j = c.join(other, "token", "left").join(totals, F.col("source").eqNullSafe(F.col("__group"))).crossJoin(F.broadcast(other.agg(F.sum("q").alias("every"))))
+    p, q = F.col("n") / F.col("total"), F.coalesce(F.col("q") / F.col("every"), F.lit(MISSING))
+    return j.groupBy("source").agg(F.max("total").alias("n_tokens"), F.round(F.sum(p * F.ln(p / q)), 6).alias("kl"))
+
+
+KL_BENCHMARK_SQL = f"""WITH {TOKENS_SQL}, c AS (SELECT source, token, count(*) AS n FROM t GROUP BY 1, 2), b AS (SELECT token, count(*) AS q FROM (SELECT unnest(regexp_extract_all(lower(text), '[a-z_][a-z0-9_]+')) AS token FROM benchmark) GROUP BY 1),
+x AS (SELECT source, n, sum(n) OVER (PARTITION BY source) AS total, coalesce(q / (SELECT sum(q) FROM b), 1e-12) AS q FROM c LEFT JOIN b USING (token))
+SELECT source, max(total)::BIGINT AS n_tokens, round(sum(n / total * ln(n / total / q)), 6) AS kl FROM x GROUP BY 1"""
+
+
 def kl_sql(by: str) -> str:
     return f"""WITH {TOKENS_SQL}, c AS (SELECT {by}, token, count(*) AS n FROM t GROUP BY 1, 2),
 x AS (SELECT {by}, n, sum(n) OVER (PARTITION BY {by}) AS total, sum(n) OVER (PARTITION BY token) AS q, sum(n) OVER () AS every FROM c)
 SELECT {by}, max(total)::BIGINT AS n_tokens, round(sum(n / total * ln((n / total) / (q / every))), 6) AS kl FROM x GROUP BY 1"""
 
 
+#: Tokens that the ranks of a corpus hold; others count as the next.
+RANKED = 10_000
+
+
 def log_rank_histogram(spark: SparkSession, folder: str) -> DataFrame:
-    """Shares of each document's tokens among the corpus's 10, 100 and 1,000 most common ones, and beyond."""
+    """Shares of each document's tokens among the corpus's 10, 100 and 1,000 most common ones and beyond, and the mean binary logarithm of rank + 1."""
     c = token_counts(units(spark, folder))
-    top = c.groupBy("token").agg(F.sum("n").alias("q")).orderBy(F.desc("q"), "token").limit(1000)
-    top = top.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("q"), "token"))).select("token", "rank")
+    top = c.groupBy("token").agg(F.sum("n").alias("q")).orderBy(F.desc("q"), "token").limit(RANKED)
+    top = top.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("q"), "token"))).select("token", "rank")  # RANKED rows
     j = c.join(F.broadcast(top), "token", "left")
 
     def share(low: int, high: int):
         return F.sum(F.when(F.col("rank").between(low, high), F.col("n")).otherwise(0)) / F.sum("n")
 
-    g = j.groupBy("doc_id").agg(F.sum("n").alias("n_tokens"), share(1, 10).alias("top10"), share(11, 100).alias("top100"), share(101, 1000).alias("top1000"), (F.sum(F.when(F.col("rank").isNull(), F.col("n")).otherwise(0)) / F.sum("n")).alias("beyond"))
-    return g.select("doc_id", "n_tokens", *[F.round(k, 6).alias(k) for k in ("top10", "top100", "top1000", "beyond")])
+    beyond = F.sum(F.when(F.col("rank") <= 1000, 0).otherwise(F.col("n"))) / F.sum("n")
+    mean = F.sum(F.col("n") * F.log2(F.coalesce("rank", F.lit(RANKED)) + 1)) / F.sum("n")
+    g = j.groupBy("doc_id").agg(F.sum("n").alias("n_tokens"), share(1, 10).alias("top10"), share(11, 100).alias("top100"), share(101, 1000).alias("top1000"), beyond.alias("beyond"), mean.alias("mean_log_rank"))
+    return g.select("doc_id", "n_tokens", *[F.round(k, 6).alias(k) for k in ("top10", "top100", "top1000", "beyond", "mean_log_rank")])
 
 
 LOG_RANK_SQL = f"""WITH {COUNTS_SQL}, q AS (SELECT token, row_number() OVER (ORDER BY sum(n) DESC, token) AS rank FROM c GROUP BY token)
 SELECT doc_id, sum(n)::BIGINT AS n_tokens, round(sum(CASE WHEN rank <= 10 THEN n ELSE 0 END) / sum(n), 6) AS top10, round(sum(CASE WHEN rank BETWEEN 11 AND 100 THEN n ELSE 0 END) / sum(n), 6) AS top100,
-       round(sum(CASE WHEN rank BETWEEN 101 AND 1000 THEN n ELSE 0 END) / sum(n), 6) AS top1000, round(sum(CASE WHEN rank > 1000 THEN n ELSE 0 END) / sum(n), 6) AS beyond FROM c JOIN q USING (token) GROUP BY doc_id"""
+       round(sum(CASE WHEN rank BETWEEN 101 AND 1000 THEN n ELSE 0 END) / sum(n), 6) AS top1000, round(sum(CASE WHEN rank > 1000 THEN n ELSE 0 END) / sum(n), 6) AS beyond,
+       round(sum(n * log2(least(rank, 10000) + 1)) / sum(n), 6) AS mean_log_rank FROM c JOIN q USING (token) GROUP BY doc_id"""
 
 
 def code_measures(spark: SparkSession, folder: str) -> DataFrame:
@@ -210,41 +210,30 @@ def code_measures(spark: SparkSession, folder: str) -> DataFrame:
     return d.select("doc_id", T.cyclomatic(F.col("text")).alias("cyclomatic"), filled.alias("n_lines"), F.length(plain).alias("n_code_chars"), F.round(1 - F.length(plain) / F.length("text"), 6).alias("comment_share"))
 
 
-CODE_SQL = r"""SELECT doc_id, (1 + len(regexp_extract_all(text, '\bfunction\b|=>')) + len(regexp_extract_all(text, '\b(?:if|for|while|case|catch)\b|&&|\|\||\?')))::INT AS cyclomatic,
+CODE_SQL = rf"""WITH d AS (SELECT doc_id, text, {T.plain_code_sql("text")} AS c FROM documents)
+SELECT doc_id, (CASE WHEN trim(text) = '' THEN 1 ELSE 1 + len(regexp_extract_all(c, '{T.FUNCTION}')) + len(regexp_extract_all(c, '{T.DECISION}')) END)::INT AS cyclomatic,
 len(list_filter(string_split(text, chr(10)), lambda x: trim(x) <> ''))::INT AS n_lines, length(regexp_replace(text, '(?s)//[^\n]*|/\*.*?(?:\*/|\z)', '', 'g'))::INT AS n_code_chars,
-round(1 - length(regexp_replace(text, '(?s)//[^\n]*|/\*.*?(?:\*/|\z)', '', 'g')) / length(text), 6) AS comment_share FROM documents"""
+round(1 - length(regexp_replace(text, '(?s)//[^\n]*|/\*.*?(?:\*/|\z)', '', 'g')) / length(text), 6) AS comment_share FROM d"""
 
 
-def _squeeze(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        rows = []
-        for text in batch["text"]:
-            lines = [x.encode() for x in text.split("\n") if x.strip()]
-            size = [len(zlib.compress(x, 9)) for x in lines]
-            both = [len(zlib.compress(a + b, 9)) for a, b in zip(lines, lines[1:], strict=False)]
-            ncd = [(c - min(x, y)) / max(x, y) for c, x, y in zip(both, size, size[1:], strict=False)]
-            raw = text.encode()
-            mean = sum(ncd) / len(ncd) if ncd else 0.0
-            sd = (sum((x - mean) ** 2 for x in ncd) / len(ncd)) ** 0.5 if ncd else 0.0
-            rows.append((len(raw), 1 - len(zlib.compress(raw, 9)) / len(raw), mean, sd / max(mean, 0.001) if len(lines) > 1 else 0.0))
-        out = pd.DataFrame(rows, columns=["n_bytes", "savings", "ncd_mean", "ncd_cv"], index=batch.index)
-        yield out.assign(doc_id=batch["doc_id"])[["doc_id", "n_bytes", "savings", "ncd_mean", "ncd_cv"]]
+def with_compression(p: DataFrame) -> DataFrame:
+    signs = (F.col("savings") > 0.6).cast("int") + F.col("ncd_mean").between(1e-12, 0.25).cast("int") + F.col("ncd_cv").between(1e-12, 0.4).cast("int")
+    return p.withColumn("compressible", (F.col("n_bytes") >= 2000) & (signs >= 2))
 
 
 def compression_profile(spark: SparkSession, folder: str) -> DataFrame:
     """What deflate saves of each document, and normalised compression distances of neighbouring lines."""
-    got = units(spark, folder).select("doc_id", "text").mapInPandas(_squeeze, "doc_id long, n_bytes long, savings double, ncd_mean double, ncd_cv double")
-    signs = (F.col("savings") > 0.6).cast("int") + F.col("ncd_mean").between(1e-12, 0.25).cast("int") + F.col("ncd_cv").between(1e-12, 0.4).cast("int")
-    return got.withColumn("fires", (F.col("n_bytes") >= 2000) & (signs >= 2))
+    got = with_compression(profile(units(spark, folder), "squeeze"))
+    return got.select("doc_id", "n_bytes", "savings", "ncd_mean", "ncd_cv", F.col("compressible").alias("fires"))
 
 
 QUERIES = {
     "tokens_per_doc": tokens_per_doc, "renyi_profile": renyi_profile, "zipf_fit": zipf_fit, "heaps_fit": heaps_fit, "whitespace_regularity": whitespace_regularity,
     "text_like_ratio": text_like_ratio, "delimiter_balance": delimiter_balance, "kl_novelty_by_lang": kl_novelty("lang"), "kl_novelty_by_source": kl_novelty("source"),
-    "log_rank_histogram": log_rank_histogram, "code_measures": code_measures, "compression_profile": compression_profile,
+    "kl_novelty_vs_benchmark": kl_novelty_vs_benchmark, "log_rank_histogram": log_rank_histogram, "code_measures": code_measures, "compression_profile": compression_profile,
 }
 ORACLES = {
     "tokens_per_doc": TOKENS_PER_DOC_SQL, "renyi_profile": RENYI_SQL, "zipf_fit": ZIPF_SQL, "heaps_fit": HEAPS_SQL, "whitespace_regularity": WHITESPACE_SQL,
     "text_like_ratio": TEXT_LIKE_SQL, "delimiter_balance": DELIMITER_SQL, "kl_novelty_by_lang": kl_sql("lang"), "kl_novelty_by_source": kl_sql("source"),
-    "log_rank_histogram": LOG_RANK_SQL, "code_measures": CODE_SQL,
+    "kl_novelty_vs_benchmark": KL_BENCHMARK_SQL, "log_rank_histogram": LOG_RANK_SQL, "code_measures": CODE_SQL,
 }
