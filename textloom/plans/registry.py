@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from textloom.operators import families, graph, history, inference, overlap, rule_cases, rules, scoring, text_stats
+from textloom.operators import evidence, families, graph, history, inference, overlap, policy, project, rule_cases, rules, scoring, text_stats
 
-MODULES = (text_stats, overlap, rules, scoring, history, graph, inference, families, rule_cases)
+MODULES = (text_stats, overlap, rules, scoring, history, graph, inference, families, rule_cases, policy, project, evidence)
 
 
 def queries() -> dict:
