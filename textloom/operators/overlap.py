@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from textloom.functions import hashes
 from textloom.functions import text as T
-from textloom.plans.components import components
+from textloom.plans.components import components, kept
 from textloom.sources.tables import table, units
 
 K = 5
@@ -31,32 +32,65 @@ def exact_duplicates(spark: SparkSession, folder: str) -> DataFrame:
 EXACT_SQL = "SELECT doc_id, c AS canonical_id, n AS copies FROM (SELECT doc_id, min(doc_id) OVER (PARTITION BY sha256(text)) AS c, count(*) OVER (PARTITION BY sha256(text)) AS n FROM documents) WHERE n > 1"
 
 
-def shingled(docs: DataFrame) -> DataFrame:
-    """Units with the set of hashes of their shingles; those without tokens aren't there."""
-    sets = F.array_distinct(F.transform(T.shingles(T.tokens(F.col("text"), T.SIMPLE), K), lambda s: F.xxhash64(s)))
-    return docs.select("doc_id", "lang", F.sha2("text", 256).alias("h"), sets.alias("s")).withColumn("n", F.size("s")).where("n > 0")
+def shingled(docs: DataFrame, make: Callable[[str], np.ndarray] | None = None) -> DataFrame:
+    """Units with the ascending set of 64-bit hashes of their shingles, made in one pass; those without tokens aren't there."""
+    make = make or hashes.shingle_set
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [make(t.as_py()) for t in batch.column("text")]
+            some = np.array([len(x) > 0 for x in sets], dtype=bool)
+            lists = pa.array([x for x in sets if len(x)], pa.list_(pa.int64()))
+            rest = batch.filter(pa.array(some))
+            yield pa.RecordBatch.from_arrays([*[rest.column(c) for c in ("doc_id", "lang", "h")], lists, pa.array([len(x) for x in sets if len(x)], pa.int32())], ["doc_id", "lang", "h", "s", "n"])
+
+    given = docs.where(F.col("text").isNotNull()).select("doc_id", "lang", F.sha2("text", 256).alias("h"), F.lower("text").alias("text"))
+    return given.mapInArrow(run, "doc_id long, lang string, h string, s array<long>, n int")
+
+
+#: Sets that a shingle must be in to be common, and most common shingles that are listed; the list is broadcast (8 bytes each) and orders shingles only.
+COMMON, MAX_COMMON = 3, 1 << 18
 
 
 def similar_pairs(docs: DataFrame, num: int, den: int) -> DataFrame:
     """(left_id, right_id, intersection, union) of units of one language with different texts whose sets have a Jaccard similarity of num / den.
 
-    Shingles are ordered by rarity; two such sets share one of their first n - ceil(num n / den) + 1. Shingles that one unit alone has are dropped
-    before the join. Only sizes near one another meet, and each pair is compared in full once. Of units with equal texts, the first stands for all
-    in the join, and pairs of representatives are expanded in the end.
+    Shingles are ordered by rarity, as far as a bounded list of the most common tells; two such sets share one of their first n - ceil(num n / den) + 1.
+    So only these are shuffled, sets once. Only sizes near one another meet, and each pair is compared in full once. Of units with equal texts, the
+    first stands for all in the join, and pairs of representatives are expanded in the end.
     """
+    spark = docs.sparkSession
     keys = docs.select("doc_id", F.coalesce("lang", F.lit("")).alias("k"), F.sha2("text", 256).alias("h"))
     reps = keys.groupBy("k", "h").agg(F.min("doc_id").alias("rep"))
-    sets = shingled(docs.join(reps.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi"))
-    rows = sets.select("doc_id", "lang", "n", F.explode("s").alias("x"))
-    df = rows.groupBy("lang", "x").agg(F.count("*").alias("df"))
-    ranked = rows.join(df, ["lang", "x"]).withColumn("k", F.row_number().over(Window.partitionBy("doc_id").orderBy("df", "x")))
-    first = ranked.where((F.col("k") <= F.col("n") - F.floor((F.col("n") * num + den - 1) / den) + 1) & (F.col("df") > 1)).select("doc_id", "lang", "x", "n")
+    sets = kept(shingled(docs.join(reps.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")).drop("h"))
+    counted = sets.select(F.explode("s").alias("x")).groupBy("x").agg(F.count("*").alias("df")).where(F.col("df") >= COMMON)
+    common = counted.orderBy(F.desc("df"), "x").limit(MAX_COMMON).toPandas()
+    order = np.argsort(common["x"].to_numpy(dtype=np.int64))
+    last = spark.sparkContext.broadcast((common["x"].to_numpy(dtype=np.int64)[order], common["df"].to_numpy(dtype=np.int64)[order]))
+
+    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, df = last.value
+        for batch in batches:
+            n = batch.column("n").to_numpy()
+            doc = np.repeat(np.arange(len(n)), n)
+            values = batch.column("s").flatten().to_numpy()
+            weight = np.zeros(len(values), dtype=np.int64)
+            if len(known):
+                at = np.minimum(np.searchsorted(known, values), len(known) - 1)
+                weight = np.where(known[at] == values, df[at], 0)
+            order = np.lexsort((values, weight, doc))
+            place = np.arange(len(values)) - np.repeat(np.cumsum(n) - n, n)
+            first = order[place < np.repeat(n - -(-num * n.astype(np.int64) // den) + 1, n)]
+            part = batch.select(["lang", "doc_id", "n"]).take(pa.array(doc[first]))
+            yield pa.RecordBatch.from_arrays([part.column("lang"), pa.array(values[first]), part.column("doc_id"), part.column("n")], ["lang", "x", "doc_id", "n"])
+
+    first = sets.select("doc_id", "lang", "s", "n").mapInArrow(prefixes, "lang string, x long, doc_id long, n int")
     a, b = first.select("lang", "x", F.col("doc_id").alias("l"), F.col("n").alias("nl")), first.select("lang", "x", F.col("doc_id").alias("r"), F.col("n").alias("nr"))
     near = (F.col("l") < F.col("r")) & (den * F.col("nr") >= num * F.col("nl")) & (num * F.col("nr") <= den * F.col("nl"))
     pairs = a.join(b, ["lang", "x"]).where(near).select("l", "r").distinct()
     sides = [sets.select(F.col("doc_id").alias(k), F.col("s").alias(f"s{k}")) for k in "lr"]
-    both = pairs.join(sides[0], "l").join(sides[1], "r").withColumn("i", F.size(F.array_intersect("sl", "sr")))
-    both = both.withColumn("u", F.size("sl") + F.size("sr") - F.col("i")).where(den * F.col("i") >= num * F.col("u")).select("l", "r", "i", "u")
+    both = pairs.join(sides[0], "l").join(sides[1], "r").select("l", "r", F.size("sl").alias("nl"), F.size("sr").alias("nr"), F.size(F.array_intersect("sl", "sr")).alias("i"))
+    both = both.withColumn("u", F.col("nl") + F.col("nr") - F.col("i")).where(den * F.col("i") >= num * F.col("u")).select("l", "r", "i", "u")
     copies = keys.join(reps, ["k", "h"]).select("doc_id", "rep")
     out = both.join(copies.select(F.col("rep").alias("l"), F.col("doc_id").alias("x")), "l").join(copies.select(F.col("rep").alias("r"), F.col("doc_id").alias("y")), "r")
     return out.select(F.least("x", "y").alias("left_id"), F.greatest("x", "y").alias("right_id"), F.col("i").cast("long").alias("intersection"), F.col("u").cast("long").alias("union_size"))
@@ -94,16 +128,17 @@ b AS (SELECT x, y FROM e UNION SELECT y, x FROM e), r(x, y) AS (SELECT x, x FROM
 SELECT x AS doc_id, y AS canonical_id, count(*) OVER (PARTITION BY y) AS members FROM c"""
 
 
-def benchmark_overlap(spark: SparkSession, folder: str) -> DataFrame:
-    """Documents and benchmark items that share shingles: how many, and the share of the item's."""
+#: Shingles of benchmark items that are broadcast at most (16 bytes each); more are joined by a shuffle.
+MAX_BROADCAST_SHINGLES = 2_000_000
 
-    def rows(df: DataFrame, key: str) -> DataFrame:
-        return df.where(F.col("text").isNotNull()).select(key, F.explode(F.array_distinct(T.shingles(T.tokens(F.col("text"), T.SIMPLE), K))).alias("g"))
 
-    items = rows(table(spark, folder, "benchmark"), "item_id")
-    sizes = items.groupBy("item_id").agg(F.count("*").alias("n"))
-    shared = rows(units(spark, folder), "doc_id").join(items, "g").groupBy("doc_id", "item_id").agg(F.count("*").alias("shared"))
-    return shared.join(sizes, "item_id").select("doc_id", "item_id", "shared", F.round(F.col("shared") / F.col("n"), 6).alias("containment"))
+def benchmark_overlap(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents and benchmark items that share shingles: how many, and the share of the item's."""
+    other = table(spark, folder, "benchmark").select(F.col("item_id").alias("doc_id"), F.lit("").alias("lang"), "text")
+    items = kept(shingled(other).select(F.col("doc_id").alias("item_id"), F.col("n").alias("size"), F.explode("s").alias("x")))
+    rows = shingled(units(spark, folder)).select("doc_id", F.explode("s").alias("x"))
+    shared = rows.join(F.broadcast(items) if items.count() <= MAX_BROADCAST_SHINGLES else items, "x").groupBy("doc_id", "item_id", "size").agg(F.count("*").alias("shared"))
+    return shared.select("doc_id", "item_id", "shared", F.round(F.col("shared") / F.col("size"), 6).alias("containment"))
 
 
 OVERLAP_SQL = r"""WITH x AS (SELECT doc_id AS k, true AS d, regexp_extract_all(lower(text), '[a-z0-9_]+') AS w FROM documents UNION ALL SELECT item_id, false, regexp_extract_all(lower(text), '[a-z0-9_]+') FROM benchmark),
@@ -114,11 +149,19 @@ JOIN (SELECT k, count(*) AS n FROM s WHERE NOT d GROUP BY 1) z ON z.k = b.k GROU
 LINES = 20
 
 
+#: Characters that a window must have.
+LEAST_CHARS = 40
+
+
 def identical_block(spark: SparkSession, folder: str) -> DataFrame:
-    """Stretches of 20 lines or more that two documents share: windows meet by hash and text, and windows that continue one another are one."""
-    lines = units(spark, folder).select("doc_id", F.posexplode(F.filter(F.transform(F.split("text", "\n", -1), lambda x: F.trim(x)), lambda x: x != "")).alias("i", "line"))
-    rows = Window.partitionBy("doc_id").orderBy("i").rowsBetween(0, LINES - 1)
-    wins = lines.select("doc_id", "i", F.collect_list("line").over(rows).alias("w")).where(F.size("w") == LINES).select("doc_id", "i", F.sha2(F.array_join("w", "\n"), 256).alias("h"))
+    """Stretches of 20 lines or more that two documents share: windows meet by their digest, and windows that continue one another are one.
+
+    A document's windows are made in its row. Pairs are what is asked for, so many copies of one long text give as many rows as they have pairs.
+    """
+    lines = units(spark, folder).select("doc_id", F.filter(F.transform(F.split("text", "\n", -1), lambda x: F.trim(x)), lambda x: x != "").alias("l")).where(F.size("l") >= LINES)
+    made = F.transform(F.sequence(F.lit(0), F.size("l") - LINES), lambda i: F.array_join(F.slice("l", i + 1, LINES), "\n"))
+    hashed = F.transform(made, lambda w: F.when(F.length(w) >= LEAST_CHARS, F.sha2(w, 256)))
+    wins = lines.select("doc_id", F.posexplode(hashed).alias("i", "h")).where("h IS NOT NULL")
     a, b = wins.select("h", F.col("doc_id").alias("left_id"), F.col("i").alias("li")), wins.select("h", F.col("doc_id").alias("right_id"), F.col("i").alias("ri"))
     hits = a.join(b, "h").where("left_id < right_id").withColumn("delta", F.col("ri") - F.col("li"))
     w = Window.partitionBy("left_id", "right_id", "delta").orderBy("li")
@@ -128,7 +171,7 @@ def identical_block(spark: SparkSession, folder: str) -> DataFrame:
 
 
 BLOCK_SQL = r"""WITH l AS (SELECT doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: x <> '') AS l FROM documents),
-w AS (SELECT doc_id, i - 1 AS i, array_to_string(l[i : i + 19], chr(10)) AS h FROM (SELECT doc_id, l, unnest(generate_series(1, len(l) - 19)) AS i FROM l WHERE len(l) >= 20)),
+w AS (SELECT doc_id, i - 1 AS i, array_to_string(l[i : i + 19], chr(10)) AS h FROM (SELECT doc_id, l, unnest(generate_series(1, len(l) - 19)) AS i FROM l WHERE len(l) >= 20) WHERE length(array_to_string(l[i : i + 19], chr(10))) >= 40),
 x AS (SELECT a.doc_id AS l, b.doc_id AS r, a.i AS li, b.i - a.i AS d FROM w a JOIN w b ON a.h = b.h AND a.doc_id < b.doc_id),
 y AS (SELECT *, CASE WHEN li - lag(li, 1, -100) OVER (PARTITION BY l, r, d ORDER BY li) > 20 THEN 1 ELSE 0 END AS new FROM x),
 z AS (SELECT *, sum(new) OVER (PARTITION BY l, r, d ORDER BY li) AS isle FROM y)
@@ -137,20 +180,19 @@ SELECT l AS left_id, r AS right_id, min(li)::INT AS left_line, (min(li) + d)::IN
 PERMS, ROWS = 128, 4
 
 
-def _signatures(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    rng = np.random.default_rng(7)
-    a, b = rng.integers(1, 2**63, (2, PERMS, 1), dtype=np.uint64)
-    for batch in batches:
-        sigs = []
-        for s in batch["s"]:
-            x = np.asarray(s, dtype=np.int64).view(np.uint64)
-            sigs.append(np.minimum.reduce([((a | np.uint64(1)) * part + b).min(axis=1) for part in np.array_split(x, len(x) // 4096 + 1)]).view(np.int64))
-        yield pd.DataFrame({"doc_id": batch["doc_id"], "lang": batch["lang"], "sig": sigs})
+def minhash(docs: DataFrame) -> DataFrame:
+    """Signatures of PERMS minimums of the family in hashes, over 32-bit shingle hashes; a set without shingles isn't there."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [hashes.sha1_set(t.as_py()) for t in batch.column("text")]
+            some = pa.array([len(x) > 0 for x in sets], pa.bool_())
+            rest = batch.filter(some)
+            sigs = pa.array([hashes.signature(x, PERMS).astype(np.int64) for x in sets if len(x)], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([rest.column("doc_id"), rest.column("lang"), sigs], ["doc_id", "lang", "sig"])
 
-def minhash(docs: DataFrame) -> DataFrame:
-    """Signatures of PERMS minimums; a set without shingles isn't there."""
-    return shingled(docs).select("doc_id", "lang", "s").mapInPandas(_signatures, "doc_id long, lang string, sig array<long>")
+    given = docs.where(F.col("text").isNotNull()).select("doc_id", "lang", F.lower(T.strip_comments(F.col("text"))).alias("text"))
+    return given.mapInArrow(run, "doc_id long, lang string, sig array<long>")
 
 
 def banded(docs: DataFrame) -> DataFrame:
@@ -186,11 +228,70 @@ def lsh_candidates(spark: SparkSession, folder: str) -> DataFrame:
     return banded(units(spark, folder))
 
 
+#: Canonical shingles that two clones share at least, of both, and the least blend of that with what their words share.
+CLONE_SHAPE, CLONE_BLEND, CLONE_TOKENS, CLONE_K = 0.55, 0.45, 60, 8
+
+
+def clones(docs: DataFrame) -> DataFrame:
+    """(left_id, right_id, shape, words, score) of units whose canonical tokens and words are alike enough: shape >= 0.55 and the blend 2ab / (a + b) >= 0.45.
+
+    As shape is 1 at most, words must be alike by 0.29, which few pairs are; so words find the candidates, and shapes are compared for these alone.
+    """
+    pairs = similar_pairs(docs, 29, 100).select("left_id", "right_id", (F.col("intersection") / F.col("union_size")).alias("words"))
+    shapes = kept(shingled(docs.withColumn("text", F.col("text")), hashes.shape_set).select("doc_id", "s"))
+    sides = [shapes.select(F.col("doc_id").alias(f"{k}_id"), F.col("s").alias(k)) for k in ("left", "right")]
+    both = pairs.join(sides[0], "left_id").join(sides[1], "right_id").withColumn("i", F.size(F.array_intersect("left", "right")))
+    both = both.withColumn("shape", F.col("i") / (F.size("left") + F.size("right") - F.col("i"))).where(F.col("shape") >= CLONE_SHAPE)
+    score = 2 * F.col("shape") * F.col("words") / (F.col("shape") + F.col("words") + 1e-9)
+    return both.select("left_id", "right_id", F.round("shape", 6).alias("shape"), F.round("words", 6).alias("words"), F.round(score, 6).alias("score")).where(F.col("score") >= CLONE_BLEND)
+
+
+def structural_clones(spark: SparkSession, folder: str) -> DataFrame:
+    return clones(units(spark, folder))
+
+
+_KEYWORDS = ", ".join(f"'{w}'" for w in hashes.KEYWORDS)
+_SHAPE = rf"""k AS (SELECT doc_id, lang, list_transform(regexp_extract_all(regexp_replace(lower(text), '(?s)//[^\n]*|/\*.*?(?:\*/|\z)', '', 'g'), '{hashes.SHAPE_TOKEN.replace("'", "''")}'), lambda t: CASE WHEN regexp_matches(t, '^[a-z_$]') THEN
+CASE WHEN t IN ('true', 'false', 'null', 'none', 'nil') THEN 'bool' WHEN list_contains([{_KEYWORDS}], t) THEN t ELSE 'id' END WHEN regexp_matches(t, '^[0-9]') THEN 'num' WHEN regexp_matches(t, '^["''`]') THEN 'str' ELSE t END) AS t FROM documents),
+g AS (SELECT DISTINCT doc_id, list_aggregate(t[i : i + 7], 'string_agg', ' ') AS g FROM (SELECT doc_id, t, unnest(generate_series(1, len(t) - 7)) AS i FROM k WHERE len(t) >= 60)), gn AS (SELECT doc_id, count(*) AS n FROM g GROUP BY 1)"""
+CLONES_SQL = f"""WITH {SHINGLES_SQL}, {_SHAPE}, q AS (SELECT l, r, i / u AS words FROM j WHERE differs AND 100 * i >= 29 * u),
+h AS (SELECT l, r, words, count(*) AS i FROM q JOIN g a ON a.doc_id = l JOIN g b ON b.doc_id = r AND a.g = b.g GROUP BY 1, 2, 3), o AS (SELECT l, r, words, h.i / (x.n + y.n - h.i) AS shape FROM h JOIN gn x ON x.doc_id = l JOIN gn y ON y.doc_id = r)
+SELECT l AS left_id, r AS right_id, round(shape, 6) AS shape, round(words, 6) AS words, round(2 * shape * words / (shape + words + 1e-9), 6) AS score FROM o WHERE shape >= 0.55 AND round(2 * shape * words / (shape + words + 1e-9), 6) >= 0.45"""
+
+
+def duplication_findings(spark: SparkSession, folder: str) -> DataFrame:
+    """Findings on copies: the best earlier near duplicate of a document, its best structural clone, and each document with a block that another has, with how many others."""
+    near = near_duplicate_best(spark, folder).select("doc_id", F.lit("dup/near-duplicate").alias("rule_id"), F.col("match_id").alias("other"), F.lit(1).cast("long").alias("n"))
+    best = structural_clones(spark, folder).groupBy(F.col("right_id").alias("doc_id")).agg(F.max(F.struct("score", (-F.col("left_id")).alias("m")))["m"].alias("m"))
+    clone = best.select("doc_id", F.lit("dup/structural-clone").alias("rule_id"), (-F.col("m")).alias("other"), F.lit(1).cast("long").alias("n"))
+    blocks = kept(identical_block(spark, folder))
+    sides = blocks.select(F.col("left_id").alias("doc_id"), F.col("right_id").alias("other")).union(blocks.select("right_id", "left_id"))
+    same = sides.groupBy("doc_id").agg(F.min("other").alias("other"), F.count("*").alias("n")).select("doc_id", F.lit("dup/identical-block").alias("rule_id"), "other", "n")
+    return near.unionByName(clone).unionByName(same)
+
+
+DUPLICATION_SQL = f"""SELECT doc_id, 'dup/near-duplicate' AS rule_id, match_id AS other, 1::BIGINT AS n FROM ({BEST_SQL}) UNION ALL
+SELECT right_id, 'dup/structural-clone', left_id, 1 FROM (SELECT *, row_number() OVER (PARTITION BY right_id ORDER BY score DESC, left_id) AS k FROM ({CLONES_SQL})) WHERE k = 1 UNION ALL
+SELECT doc_id, 'dup/identical-block', min(other), count(*) FROM (SELECT left_id AS doc_id, right_id AS other FROM ({BLOCK_SQL}) UNION ALL SELECT right_id, left_id FROM ({BLOCK_SQL})) GROUP BY 1"""
+
+
+def shingle_hashes(spark: SparkSession, folder: str) -> DataFrame:
+    """Each document's 32-bit shingle hashes by two definitions: how many and the least, of the first four bytes of SHA-1 and by FNV-1a."""
+    words = T.shingles(T.tokens(F.col("text"), T.SIMPLE), K)
+    d = units(spark, folder).select("doc_id", F.array_distinct(words).alias("s")).where(F.size("s") > 0)
+    sha = F.transform("s", lambda x: F.conv(F.substring(F.sha1(x), 1, 8), 16, 10).cast("long"))
+    return d.select("doc_id", F.size(F.array_distinct(sha)).cast("long").alias("n"), F.array_min(sha).alias("least_sha1"))
+
+
+HASHES_SQL = r"""WITH w AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9_]+') AS w FROM documents), s AS (SELECT DISTINCT doc_id, list_aggregate(w[i : i + 4], 'string_agg', ' ') AS g FROM (SELECT doc_id, w, unnest(generate_series(1, greatest(1, len(w) - 4))) AS i FROM w WHERE len(w) > 0)),
+h AS (SELECT doc_id, ('0x' || substr(sha1(g), 1, 8))::BIGINT AS h FROM s) SELECT doc_id, count(DISTINCT h) AS n, min(h) AS least_sha1 FROM h GROUP BY 1"""
+
 QUERIES = {
     "exact_duplicates": exact_duplicates, "jaccard_pairs": jaccard_pairs, "near_duplicate_best": near_duplicate_best, "dup_clusters": dup_clusters,
-    "benchmark_overlap": benchmark_overlap, "identical_block": identical_block, "lsh_candidates": lsh_candidates,
+    "benchmark_overlap": benchmark_overlap, "identical_block": identical_block, "lsh_candidates": lsh_candidates, "structural_clones": structural_clones,
+    "duplication_findings": duplication_findings, "shingle_hashes": shingle_hashes,
 }
 ORACLES = {
     "exact_duplicates": EXACT_SQL, "jaccard_pairs": JACCARD_SQL, "near_duplicate_best": BEST_SQL, "dup_clusters": CLUSTERS_SQL,
-    "benchmark_overlap": OVERLAP_SQL, "identical_block": BLOCK_SQL,
+    "benchmark_overlap": OVERLAP_SQL, "identical_block": BLOCK_SQL, "structural_clones": CLONES_SQL, "duplication_findings": DUPLICATION_SQL, "shingle_hashes": HASHES_SQL,
 }
