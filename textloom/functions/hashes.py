@@ -106,17 +106,27 @@ def parameters(i: int) -> tuple[int, int]:
     return _mix(i * 0x9E3779B97F4A7C15) | 1, _mix(i * 0xBF58476D1CE4E5B9)
 
 
+_family: dict[int, tuple[np.ndarray, ...]] = {}
+#: Values that are hashed at once, by all hashes.
+STEP = 2048
+
+
 def signature(x: np.ndarray, n: int = 128) -> np.ndarray:
     """Of 32-bit values, the least of (a x + b) mod (2^61 - 1) in its low 32 bits, for each of n hashes; all bits set where there are no values."""
     out = np.full(n, 0xFFFFFFFF, dtype=np.uint64)
-    low32, low29 = np.uint64(0xFFFFFFFF), np.uint64(2**29 - 1)
-    for i in range(n if len(x) else 0):
-        a, b = (v % _PRIME for v in parameters(i))
-        high, low = np.uint64(a >> 32), np.uint64(a & 0xFFFFFFFF)
-        top = high * x  # below 2^61; times 2^32 it goes round the prime
-        least = low * x
-        total = (top >> np.uint64(29)) + ((top & low29) << np.uint64(32)) + (least & np.uint64(_PRIME)) + (least >> np.uint64(61)) + np.uint64(b)
-        out[i] = ((total % np.uint64(_PRIME)) & low32).min()
+    if n not in _family:
+        a, b = (np.array([v % _PRIME for v in column], dtype=np.uint64)[:, None] for column in zip(*map(parameters, range(n)), strict=True))
+        _family[n] = a >> np.uint64(32), a & np.uint64(0xFFFFFFFF), b
+    high, low, term = _family[n]
+    prime = np.uint64(_PRIME)
+    for at in range(0, len(x), STEP):
+        part = x[None, at : at + STEP]
+        top = high * part  # below 2^61; times 2^32 it goes round the prime
+        total = low * part
+        total = (total & prime) + (total >> np.uint64(61)) + term + (top >> np.uint64(29)) + ((top & np.uint64(2**29 - 1)) << np.uint64(32))
+        total = (total & prime) + (total >> np.uint64(61))
+        total[total >= prime] -= prime
+        np.minimum(out, (total & np.uint64(0xFFFFFFFF)).min(axis=1), out=out)
     return out
 
 
