@@ -11,7 +11,7 @@ def test_agrees_with_sql(spark, duck, name):
 
 @pytest.mark.parametrize("name", sorted(set(registry.queries()) - set(registry.oracles())))
 def test_runs(spark, name):
-    assert registry.queries()[name](spark, SF).count() >= 0
+    assert (registry.queries()[name](spark, SF).count() > 0) == (name != "event_changepoints")  # these events have no change; changepoints() is tested on steps
 
 
 def test_entry(spark):

@@ -131,3 +131,50 @@ def mask_comments(text: Column, pattern: str = COMMENT) -> Column:
 
     some = let(F.struct(F.split(text, pattern, -1).alias("pieces"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("found")), of)
     return F.when(text.rlike(pattern), some).otherwise(text)
+
+
+def re_escape(text: str) -> str:
+    """text as a pattern for itself."""
+    return "".join("\\" + c if not c.isalnum() and c not in "_/@ " else c for c in text)
+
+
+def imported_packages(text: Column) -> Column:
+    """Packages that code imports, requires or loads, by the first part of their names (two for scoped ones); paths aren't packages."""
+    found = F.concat(*[F.regexp_extract_all(text, F.lit(p), F.lit(1)) for p in (r"""\bfrom\s+['"]([^'"]+)['"]""", r"""\bimport\s*\(\s*['"]([^'"]+)['"]""", r"""\bimport\s+['"]([^'"]+)['"]""", r"""\brequire\s*\(\s*['"]([^'"]+)['"]""")])
+    named = F.filter(found, lambda s: ~s.rlike(r"^[./~]|^@/"))
+    return F.array_distinct(F.transform(named, lambda s: F.when(s.startswith("@"), F.substring_index(s, "/", 2)).otherwise(F.substring_index(s, "/", 1))))
+
+
+def signatures(text: Column) -> Column:
+    """Functions and arrow functions with their parameters' names."""
+    found = matches(text, r"\bfunction\s+[A-Za-z_$][\w$]*\s*\([^)]*\)|\b(?:const|let|var)\s+[A-Za-z_$][\w$]*\s*=\s*(?:async\s*)?\([^)]*\)\s*(?::[^=]+)?=>")
+    params = lambda v: F.filter(F.transform(F.split(F.regexp_extract(v, r"\(([^)]*)\)", 1), ","), lambda p: F.regexp_extract(p, r"([A-Za-z_$][\w$]*)", 1)), lambda p: p != "")
+    return F.transform(found, lambda m: F.struct(m["line"].alias("line"), F.regexp_extract(m["value"], r"(?:function|const|let|var)\s+([\w$]+)", 1).alias("name"), params(m["value"]).alias("params")))
+
+
+def in_rem(value: Column) -> Column:
+    """A CSS length in rem, 16 px each; null for other units."""
+    number = F.regexp_extract(F.trim(value), r"^(-?\d+(?:\.\d+)?)(?:px|rem|em)$", 1)
+    return F.when(number != "", number.cast("double") / F.when(F.trim(value).endswith("px"), 16).otherwise(1))
+
+
+def canonical_style(text: Column) -> Column:
+    """A style without comments, with its tokens sorted and single spaces."""
+    plain = F.regexp_replace(text, r"(?s)/\*.*?\*/", " ")
+    return F.array_join(F.array_sort(F.filter(F.split(F.trim(plain), r"\s+"), lambda x: x != "")), " ")
+
+
+def code_spans(text: Column) -> Column:
+    """Inline code of Markdown outside of fences, with its lines."""
+    bare = mask_comments(text, r"(?ms)^```.*?^```[^\n]*$|<!--.*?-->")
+    return transform_spans(matches(bare, r"`[^`\n]+`"))
+
+
+def transform_spans(found: Column) -> Column:
+    return F.transform(found, lambda m: F.struct(m["line"].alias("line"), F.regexp_replace(m["value"], "`", "").alias("text")))
+
+
+def admission_tokens(text: Column) -> Column:
+    """Tokens of code with strings and numbers as their kinds, case kept."""
+    found = F.regexp_extract_all(strip_comments(text), F.lit(r'''"(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*'|`(?:[^`\\]|\\.)*`|\d+(?:\.\d+)?|[A-Za-z_$][\w$]*|\S'''), F.lit(0))
+    return F.transform(found, lambda t: F.when(t.rlike(r"""^["'`].+"""), "<str>").when(t.rlike(r"^\d"), "<num>").otherwise(t))
