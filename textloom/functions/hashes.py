@@ -22,19 +22,19 @@ _KEYWORDS, _SHAPE = frozenset(KEYWORDS), re.compile(SHAPE_TOKEN)
 _COMMENT = re.compile(r"//[^\n]*|/\*.*?(?:\*/|\Z)", re.S)
 #: Words whose hashes are remembered.
 MEMORY = 1_000_000
-_known: dict[str, int] = {}
+class _Known(dict):
+    def __missing__(self, word: str) -> int:
+        h = self[word] = xxhash.xxh64_intdigest(word)
+        return h
+
+
+_known = _Known()
 
 
 def word_hashes(words: list[str]) -> np.ndarray:
     if len(_known) > MEMORY:
         _known.clear()
-    out = []
-    for w in words:
-        h = _known.get(w)
-        if h is None:
-            h = _known[w] = xxhash.xxh64_intdigest(w)
-        out.append(h)
-    return np.array(out, dtype=np.uint64)
+    return np.fromiter(map(_known.__getitem__, words), dtype=np.uint64, count=len(words))
 
 
 def runs(h: np.ndarray, k: int) -> np.ndarray:
@@ -44,9 +44,13 @@ def runs(h: np.ndarray, k: int) -> np.ndarray:
     width = min(k, len(h))
     total = np.zeros(len(h) - width + 1, dtype=np.uint64)
     for j in range(width):
-        total = (total + h[j : j + len(total)]) * np.uint64(0xD1342543DE82EF95)
+        total += h[j : j + len(total)]
+        total *= np.uint64(0xD1342543DE82EF95)
         total ^= total >> np.uint64(29)
-    return np.unique((total + np.uint64(width)).view(np.int64))
+    total += np.uint64(width)
+    out = total.view(np.int64)
+    out.sort()
+    return out[np.append(True, out[1:] != out[:-1])]
 
 
 def shingle_set(low: str, k: int = 5) -> np.ndarray:
